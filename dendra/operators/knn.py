@@ -32,6 +32,23 @@ def _blocks(df: DataFrame, n: int | None, block_rows: int) -> int:
     return max(1, math.ceil(n / block_rows))
 
 
+def block_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
+                b_left: int, b_right: int):
+    """Cogroup every left block with every right block.
+
+    A row's block is ``pmod(xxhash64(key), B)``; the left side is replicated
+    once per right block and vice versa, so each (lb, rb) group holds one
+    bounded block from each side.  Returns a ``PandasCogroupedOps``."""
+    # fresh attribute ids on each side, so a table can be paired with itself
+    left = left.select([F.col(c).alias(c) for c in left.columns])
+    right = right.select([F.col(c).alias(c) for c in right.columns])
+    lq = (left.withColumn("lb", F.pmod(F.xxhash64(left_key), F.lit(b_left)).cast("int"))
+          .withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(b_right - 1)))))
+    rq = (right.withColumn("rb", F.pmod(F.xxhash64(right_key), F.lit(b_right)).cast("int"))
+          .withColumn("lb", F.explode(F.sequence(F.lit(0), F.lit(b_left - 1)))))
+    return lq.groupBy("lb", "rb").cogroup(rq.groupBy("lb", "rb"))
+
+
 def _spark_type(df: DataFrame, col: str) -> T.DataType:
     return df.schema[col].dataType
 
@@ -81,12 +98,7 @@ def top_k(queries: DataFrame, index: DataFrame, k: int, *,
 
     bq = _blocks(queries, n_queries, block_rows)
     bi = _blocks(index, n_index, block_rows)
-    q = (queries.select(*q_cols)
-         .withColumn("lb", F.pmod(F.xxhash64("qid"), F.lit(bq)).cast("int"))
-         .withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(bi - 1)))))
-    r = (index.select(*i_cols)
-         .withColumn("rb", F.pmod(F.xxhash64("iid"), F.lit(bi)).cast("int"))
-         .withColumn("lb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1)))))
+    pairs = block_pairs(queries.select(*q_cols), index.select(*i_cols), "qid", "iid", bq, bi)
 
     qid_t = _spark_type(queries, q_id)
     iid_t = _spark_type(index, i_id)
@@ -117,8 +129,7 @@ def top_k(queries: DataFrame, index: DataFrame, k: int, *,
         rows, cols, sc, _ = V.top_k_rows(S, r_ids, k, larger_better, mask)
         return pd.DataFrame({"qid": lp["qid"].to_numpy()[rows], "iid": r_ids[cols], "score": sc})
 
-    partial = (q.groupBy("lb", "rb").cogroup(r.groupBy("lb", "rb"))
-               .applyInPandas(kernel, out_schema))
+    partial = pairs.applyInPandas(kernel, out_schema)
     order = F.col("score").desc() if larger_better else F.col("score").asc()
     w = Window.partitionBy("qid").orderBy(order, F.col("iid").asc())
     return (partial.withColumn("rank", F.row_number().over(w))

@@ -53,3 +53,90 @@ SELECT r.vec_id, r.nbr_id, round(greatest(r.s, ca.core, cb.core), 6) AS mrd
 FROM r JOIN core ca ON r.vec_id = ca.vec_id JOIN core cb ON r.nbr_id = cb.vec_id
 WHERE r.rk <= 3""",
 }
+
+
+def _ari_sql(src: str, truth: str, pred: str) -> str:
+    """ARI of two columns of relation ``src`` in pair-confusion form."""
+    return f"""(
+WITH c AS (SELECT {truth} AS t, {pred} AS p, count(*) AS n FROM {src} GROUP BY ALL),
+s AS (SELECT sum(n::DOUBLE * n) AS sc, sum(n)::DOUBLE AS nt FROM c),
+r AS (SELECT sum(x::DOUBLE * x) AS sr FROM (SELECT sum(n) AS x FROM c GROUP BY t)),
+k AS (SELECT sum(x::DOUBLE * x) AS sk FROM (SELECT sum(n) AS x FROM c GROUP BY p)),
+z AS (SELECT sc - nt AS tp, sk - sc AS fp, sr - sc AS fn, nt * nt - (sk - sc) - (sr - sc) - sc AS tn FROM s, r, k)
+SELECT CASE WHEN fn = 0 AND fp = 0 THEN 1.0 ELSE 2.0 * (tp * tn - fn * fp) / ((tp + fn) * (fn + tn) + (tp + fp) * (fp + tn)) END AS ari FROM z)"""
+
+
+def _sil_sql(src: str) -> str:
+    """Mean silhouette of relation src(vec_id, v, c)."""
+    return f"""(
+WITH sz AS (SELECT c, count(*) AS n FROM {src} GROUP BY c),
+d AS (SELECT a.vec_id, a.c AS own, b.c AS oc, sum(list_distance(a.v, b.v)) AS ds FROM {src} a, {src} b GROUP BY ALL),
+m AS (SELECT d.*, sz.n, CASE WHEN oc = own THEN (CASE WHEN sz.n > 1 THEN ds / (sz.n - 1) END) ELSE ds / sz.n END AS m
+      FROM d JOIN sz ON d.oc = sz.c),
+p AS (SELECT vec_id, max(CASE WHEN oc = own THEN m END) AS a, min(CASE WHEN oc <> own THEN m END) AS b,
+             max(CASE WHEN oc = own THEN n END) AS own_size FROM m GROUP BY vec_id)
+SELECT avg(CASE WHEN own_size <= 1 OR b IS NULL THEN 0.0 WHEN greatest(a, b) = 0 THEN 0.0
+                ELSE (b - a) / greatest(a, b) END) AS silhouette FROM p)"""
+
+
+def _db_sql(src: str) -> str:
+    """Davies-Bouldin of relation src(vec_id, v, c)."""
+    return f"""(
+WITH u AS (SELECT c, i, avg(x) AS m FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM {src}) GROUP BY c, i),
+cen AS (SELECT c, list(m ORDER BY i) AS cv FROM u GROUP BY c),
+sc AS (SELECT s.c, avg(list_distance(s.v, cen.cv)) AS s FROM {src} s JOIN cen ON s.c = cen.c GROUP BY s.c),
+cs AS (SELECT cen.c, cv, s FROM cen JOIN sc ON cen.c = sc.c),
+pr AS (SELECT a.c, max(CASE WHEN list_distance(a.cv, b.cv) = 0 THEN 0.0 ELSE (a.s + b.s) / list_distance(a.cv, b.cv) END) AS r,
+              max(list_distance(a.cv, b.cv)) AS dmax FROM cs a, cs b GROUP BY a.c)
+SELECT CASE WHEN (SELECT max(abs(s)) FROM cs) <= 1e-8 OR (SELECT max(dmax) FROM pr) <= 1e-8 THEN 0.0 ELSE avg(r) END AS davies_bouldin FROM pr)"""
+
+
+_VOTE_CTES = f"""{_PAIRS_COS},
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, nbr_id) AS rk FROM p),
+nn AS (SELECT vec_id, nbr_id, rk FROM r WHERE rk <= 5),
+v AS (SELECT nn.vec_id, e.label AS c, count(*) AS n, min(nn.rk) AS first_rk
+      FROM nn JOIN e ON nn.nbr_id = e.vec_id WHERE e.label <> -1 GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, first_rk) AS pos FROM v),
+agg AS (SELECT vec_id, max(CASE WHEN pos = 1 THEN c END) AS predicted,
+               max(CASE WHEN pos = 1 THEN n END) AS n_votes FROM o GROUP BY vec_id),
+asg AS (SELECT e.vec_id, coalesce(agg.predicted, -1) AS cluster, coalesce(agg.n_votes, 0) / 5.0 AS confidence,
+               e.label, e.v FROM e LEFT JOIN agg ON e.vec_id = agg.vec_id),
+nz AS (SELECT vec_id, v, cluster AS c FROM asg WHERE cluster <> -1)"""
+
+ORACLES.update({
+    "contingency": """
+SELECT lang, source, count(*)::BIGINT AS n FROM documents GROUP BY lang, source""",
+
+    "ari": f"""SELECT round(ari, 6) AS ari FROM {_ari_sql('documents', 'lang', 'source')}""",
+
+    "silhouette": f"""
+WITH {_EMB}, x AS (SELECT vec_id, v, label AS c FROM e)
+SELECT round(silhouette, 6) AS silhouette FROM {_sil_sql('x')}""",
+
+    "davies_bouldin": f"""
+WITH {_EMB}, x AS (SELECT vec_id, v, label AS c FROM e)
+SELECT round(davies_bouldin, 6) AS davies_bouldin FROM {_db_sql('x')}""",
+
+    "run_metrics": f"""
+WITH {_VOTE_CTES},
+base AS (SELECT count(DISTINCT CASE WHEN cluster <> -1 THEN cluster END) AS n_clusters, count(*) AS n_rows,
+                count(*) FILTER (WHERE cluster = -1) AS n_noise,
+                avg(CASE WHEN cluster <> -1 THEN confidence END) AS conf,
+                count(*) FILTER (WHERE confidence < 0.5) AS n_low FROM asg),
+sil AS {_sil_sql('nz')},
+db AS {_db_sql('nz')},
+ar AS {_ari_sql('asg', 'label', 'cluster')}
+SELECT n_clusters::BIGINT AS n_clusters, round(100.0 * n_noise / n_rows, 1) AS noise_pct,
+       CASE WHEN n_clusters >= 2 AND n_rows - n_noise > n_clusters THEN round(sil.silhouette, 4) END AS silhouette,
+       CASE WHEN n_clusters >= 2 AND n_rows - n_noise > n_clusters THEN round(db.davies_bouldin, 4) END AS davies_bouldin,
+       round(ar.ari, 4) AS ari, round(conf, 4) AS avg_membership_confidence,
+       n_low::BIGINT AS n_low_confidence, round(100.0 * n_noise / n_rows, 1) < 15.0 AS noise_healthy
+FROM base, sil, db, ar""",
+
+    "dominant_label": """
+WITH c AS (SELECT source, lang, count(*) AS n, min(doc_id) AS first_pos FROM documents GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, first_pos) AS rk FROM c)
+SELECT source, sum(n)::BIGINT AS size, max(CASE WHEN rk = 1 THEN lang END) AS dominant,
+       string_agg(printf('%s(%d)', lang, n), ', ' ORDER BY rk) AS distribution, count(*)::BIGINT AS n_labels
+FROM o GROUP BY source""",
+})

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dendra.session import read_table
-from dendra.operators import knn, vote
+from dendra.operators import knn, metrics, vote
 
 # Parameters of the registered queries (the reference's defaults where it
 # has one: top-k 5, min_cluster_size 3 with min_samples = min_cluster_size).
@@ -82,10 +82,68 @@ def q_mutual_reachability(spark, sf_dir):
     return out.select("vec_id", "nbr_id", _r6("mrd").alias("mrd"))
 
 
+def _docs(spark, sf_dir):
+    return read_table(spark, sf_dir, "documents")
+
+
+def q_contingency(spark, sf_dir):
+    """Contingency table of documents: language x source."""
+    return (metrics.contingency(_docs(spark, sf_dir), "lang", "source")
+            .select("lang", "source", F.col("n").cast("long").alias("n")))
+
+
+def q_ari(spark, sf_dir):
+    """Adjusted Rand index between two partitions of documents (lang, source)."""
+    return metrics.adjusted_rand(_docs(spark, sf_dir), "lang", "source").select(_r6("ari").alias("ari"))
+
+
+def q_silhouette(spark, sf_dir):
+    """Mean Euclidean silhouette of the embeddings grouped by label."""
+    e = _emb(spark, sf_dir)
+    return metrics.silhouette(e, id_col="vec_id", vec="embedding", cluster="label").select(
+        _r6("silhouette").alias("silhouette"))
+
+
+def q_davies_bouldin(spark, sf_dir):
+    """Davies-Bouldin index of the embeddings grouped by label."""
+    e = _emb(spark, sf_dir)
+    return metrics.davies_bouldin(e, id_col="vec_id", vec="embedding", cluster="label").select(
+        _r6("davies_bouldin").alias("davies_bouldin"))
+
+
+def q_run_metrics(spark, sf_dir):
+    """The six run metrics for a run whose clusters are the kNN-vote
+    predictions (confidence = winning votes / k), scored against labels."""
+    e = _emb(spark, sf_dir)
+    nn = knn.self_top_k(e, TOP_K, id_col="vec_id", vec="embedding", metric="cosine")
+    v = vote.majority_vote(nn, e, q_id="vec_id", a_id="vec_id", a_cluster="label",
+                           queries=e.select("vec_id"))
+    assign = (v.join(e.select("vec_id", "label"), "vec_id")
+              .select("vec_id", F.col("predicted").alias("cluster"),
+                      (F.col("n_votes") / F.lit(float(TOP_K))).alias("confidence"), "label"))
+    return metrics.run_metrics(assign, e, id_col="vec_id", cluster="cluster",
+                               confidence="confidence", truth="label", vec="embedding")
+
+
+def q_dominant_label(spark, sf_dir):
+    """Per source: size, dominant language (ties to the first met in doc_id
+    order) and the language distribution string."""
+    d = _docs(spark, sf_dir)
+    return (metrics.label_distribution(d, cluster="source", label="lang", pos="doc_id")
+            .select("source", F.col("size").cast("long").alias("size"), "dominant",
+                    "distribution", F.col("n_labels").cast("long").alias("n_labels")))
+
+
 QUERIES = {
     "knn_top5": q_knn_top5,
     "knn_filtered": q_knn_filtered,
     "knn_vote": q_knn_vote,
     "core_distance": q_core_distance,
     "mutual_reachability": q_mutual_reachability,
+    "contingency": q_contingency,
+    "ari": q_ari,
+    "silhouette": q_silhouette,
+    "davies_bouldin": q_davies_bouldin,
+    "run_metrics": q_run_metrics,
+    "dominant_label": q_dominant_label,
 }
