@@ -140,3 +140,75 @@ SELECT source, sum(n)::BIGINT AS size, max(CASE WHEN rk = 1 THEN lang END) AS do
        string_agg(printf('%s(%d)', lang, n), ', ' ORDER BY rk) AS distribution, count(*)::BIGINT AS n_labels
 FROM o GROUP BY source""",
 })
+
+
+# Python str.strip() whitespace, as an RE2 class
+_WS = r"[\t\n\x{0B}\x{0C}\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_STRIP = f"'^{_WS}+|{_WS}+\\z'"
+
+_HITS = f"""hits AS (
+  SELECT regexp_extract(html, '<html lang="([^"]+)"', 1) AS topic,
+         floor(page_id / 20)::INT AS query_no, (page_id % 20 + 1)::INT AS rank, url,
+         regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, html AS content,
+         regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<[^>]+>', ' ', 'g') AS description,
+         page_id FROM pages),
+cl AS (
+  SELECT *, split_part(url, '?', 1) AS url_clean,
+         regexp_extract(split_part(url, '?', 1), '/[a-z]{{2}}/(\d+)', 1) AS pmid,
+         CASE WHEN contains(coalesce(content, ''), '## Abstract' || chr(10) || chr(10))
+              THEN regexp_replace(regexp_extract(coalesce(content, ''), '(?s)## Abstract\n\n(.*?)(\n## |\z)', 1), {_STRIP}, '', 'g')
+              WHEN length(regexp_replace(coalesce(description, ''), {_STRIP}, '', 'g')) > 80
+              THEN regexp_replace(coalesce(description, ''), {_STRIP}, '', 'g') END AS abstract,
+         regexp_replace(CASE WHEN suffix(coalesce(title, ''), ' - PubMed') THEN left(title, length(title) - 9) ELSE coalesce(title, '') END,
+                        {_STRIP}, '', 'g') AS title_clean
+  FROM hits),
+valid AS (SELECT * FROM cl WHERE rank <= 20 AND pmid <> '' AND abstract IS NOT NULL AND abstract <> ''),
+topics AS (SELECT dense_rank() OVER (ORDER BY topic) AS topic_no, topic, 10 AS target FROM (SELECT DISTINCT topic FROM hits)),
+vt AS (SELECT valid.*, topics.topic_no, topics.target FROM valid JOIN topics USING (topic)),
+pt AS (SELECT * FROM vt QUALIFY row_number() OVER (PARTITION BY topic, pmid ORDER BY query_no, rank) = 1)"""
+
+
+def _before_chain(max_topics: int = 8) -> str:
+    """dedup-before-quota as a chain of CTEs, one per topic slot."""
+    parts = []
+    for t in range(1, max_topics + 1):
+        prev = " UNION ALL ".join(f"SELECT pmid FROM acc{j}" for j in range(1, t)) or "SELECT NULL::VARCHAR AS pmid WHERE false"
+        parts.append(f"""acc{t} AS (SELECT * FROM pt WHERE topic_no = {t} AND pmid NOT IN (SELECT pmid FROM ({prev}) WHERE pmid IS NOT NULL)
+  QUALIFY row_number() OVER (ORDER BY query_no, rank) <= target)""")
+    union = " UNION ALL ".join(f"SELECT * FROM acc{t}" for t in range(1, max_topics + 1))
+    return ",\n".join(parts) + f",\naccepted AS ({union})"
+
+
+ORACLES.update({
+    "page_canonical_url": "SELECT page_id, split_part(url, '?', 1) AS url_clean FROM pages",
+    "page_id_extract": r"""
+SELECT page_id, regexp_extract(split_part(url, '?', 1), '/[a-z]{2}/(\d+)', 1) AS item_id FROM pages
+WHERE regexp_extract(split_part(url, '?', 1), '/[a-z]{2}/(\d+)', 1) <> ''""",
+    "page_text_fallback": f"""WITH {_HITS}
+SELECT page_id, abstract FROM cl WHERE abstract IS NOT NULL AND abstract <> ''""",
+    "title_suffix_strip": f"""WITH {_HITS} SELECT page_id, title_clean AS title FROM cl""",
+    "ascii_safe": f"""WITH {_HITS} SELECT page_id, regexp_replace(title_clean, '[^\\x{{00}}-\\x{{7F}}]', '?', 'g') AS title FROM cl""",
+    "first_seen_dedup": f"""WITH {_HITS}
+SELECT pmid, page_id, topic FROM vt QUALIFY row_number() OVER (PARTITION BY pmid ORDER BY topic_no, query_no, rank) = 1""",
+    "topic_quota_after_dedup": f"""WITH {_HITS},
+q AS (SELECT * FROM pt QUALIFY row_number() OVER (PARTITION BY topic ORDER BY query_no, rank) <= target)
+SELECT topic, pmid, page_id FROM q QUALIFY row_number() OVER (PARTITION BY pmid ORDER BY topic_no, query_no, rank) = 1""",
+    "topic_quota_before_dedup": f"""WITH {_HITS},
+{_before_chain()}
+SELECT topic, pmid, page_id FROM accepted""",
+    "quota_status": f"""WITH {_HITS},
+{_before_chain()},
+c AS (SELECT topic, count(*) AS n FROM accepted GROUP BY topic)
+SELECT topics.topic_no::BIGINT AS topic_id, topics.topic, coalesce(c.n, 0)::BIGINT AS n, topics.target::BIGINT AS target,
+       CASE WHEN coalesce(c.n, 0) >= topics.target THEN 'OK' ELSE 'SHORT by ' || (topics.target - coalesce(c.n, 0))::VARCHAR END AS status
+FROM topics LEFT JOIN c USING (topic)""",
+    "sample_titles": f"""WITH {_HITS},
+{_before_chain()}
+SELECT topic, row_number() OVER (PARTITION BY topic ORDER BY query_no, rank)::BIGINT AS n, pmid,
+       regexp_replace(title_clean, '[^\\x{{00}}-\\x{{7F}}]', '?', 'g') AS title
+FROM accepted QUALIFY n <= 2""",
+    "dim_check": """
+SELECT count(*)::BIGINT AS n_vectors, min(len(embedding))::BIGINT AS min_dim, max(len(embedding))::BIGINT AS max_dim,
+       count(*) FILTER (WHERE len(embedding) <> 64)::BIGINT AS n_bad, count(*) FILTER (WHERE len(embedding) <> 64) = 0 AS ok
+FROM embeddings""",
+})

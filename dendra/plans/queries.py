@@ -7,13 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dendra.session import read_table
-from dendra.operators import knn, metrics, vote
+from dendra.functions import text as TX
+from dendra.operators import ingest, knn, metrics, vote
+from dendra.sources import tables as SRC
 
 # Parameters of the registered queries (the reference's defaults where it
 # has one: top-k 5, min_cluster_size 3 with min_samples = min_cluster_size).
 TOP_K = 5
 MIN_SAMPLES = 3
 FILTER_LABEL = 3
+TOPIC_TARGET = 10
+EMBEDDING_DIM = 64   # dimension of the driver's embeddings table
 
 
 def _emb(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,6 +138,87 @@ def q_dominant_label(spark, sf_dir):
                     "distribution", F.col("n_labels").cast("long").alias("n_labels")))
 
 
+def _hits(spark, sf_dir):
+    return SRC.pages_as_hits(read_table(spark, sf_dir, "pages"))
+
+
+def _valid(spark, sf_dir):
+    return ingest.clean_hits(_hits(spark, sf_dir), id_pattern=SRC.PAGES_ID_PATTERN, sources=None)
+
+
+def _topics(spark, sf_dir):
+    return SRC.topics_from_hits(_hits(spark, sf_dir), TOPIC_TARGET)
+
+
+def q_page_canonical_url(spark, sf_dir):
+    """URL without its query string."""
+    p = read_table(spark, sf_dir, "pages")
+    return p.select("page_id", TX.canonical_url("url").alias("url_clean"))
+
+
+def q_page_id_extract(spark, sf_dir):
+    """Numeric ID from the canonical URL; non-matching pages dropped."""
+    p = read_table(spark, sf_dir, "pages")
+    return (p.select("page_id", TX.extract_id("url", SRC.PAGES_ID_PATTERN).alias("item_id"))
+            .filter(F.col("item_id") != ""))
+
+
+def q_page_text_fallback(spark, sf_dir):
+    """Abstract by heading, else description longer than 80 chars, else none."""
+    h = _hits(spark, sf_dir)
+    return (h.select("page_id", TX.extract_abstract("content", "description").alias("abstract"))
+            .filter(F.col("abstract").isNotNull() & (F.col("abstract") != "")))
+
+
+def q_title_suffix_strip(spark, sf_dir):
+    """Title without the site suffix, Python-strip semantics."""
+    h = _hits(spark, sf_dir)
+    return h.select("page_id", TX.strip_title_suffix("title").alias("title"))
+
+
+def q_ascii_safe(spark, sf_dir):
+    """Titles with every non-ASCII character replaced by '?'."""
+    h = _hits(spark, sf_dir)
+    return h.select("page_id", TX.ascii_safe(TX.strip_title_suffix("title")).alias("title"))
+
+
+def q_first_seen_dedup(spark, sf_dir):
+    """Global first-seen-wins dedup of valid hits by ID."""
+    f = ingest.first_seen(_valid(spark, sf_dir), _topics(spark, sf_dir))
+    return f.select("pmid", "page_id", "topic")
+
+
+def q_topic_quota_after_dedup(spark, sf_dir):
+    """Per-topic quota of 10, then cross-topic dedup (topics may end short)."""
+    a = ingest.quota_after_dedup(_valid(spark, sf_dir), _topics(spark, sf_dir))
+    return a.select("topic", "pmid", "page_id")
+
+
+def q_topic_quota_before_dedup(spark, sf_dir):
+    """Topics filled in order, skipping IDs taken by earlier topics."""
+    a = ingest.quota_before_dedup(_valid(spark, sf_dir), _topics(spark, sf_dir))
+    return a.select("topic", "pmid", "page_id")
+
+
+def q_quota_status(spark, sf_dir):
+    """Accepted count per topic against its target (dedup-before-quota mode)."""
+    topics = _topics(spark, sf_dir)
+    a = ingest.quota_before_dedup(_valid(spark, sf_dir), topics)
+    return ingest.quota_status(a, topics).select(
+        F.col("topic_id").cast("long").alias("topic_id"), "topic", "n", "target", "status")
+
+
+def q_sample_titles(spark, sf_dir):
+    """First two accepted titles per topic, ASCII-safe."""
+    a = ingest.quota_before_dedup(_valid(spark, sf_dir), _topics(spark, sf_dir))
+    return ingest.sample_titles(a, 2)
+
+
+def q_dim_check(spark, sf_dir):
+    """Embedding dimension check over all rows."""
+    return ingest.dim_check(_emb(spark, sf_dir), "embedding", EMBEDDING_DIM)
+
+
 QUERIES = {
     "knn_top5": q_knn_top5,
     "knn_filtered": q_knn_filtered,
@@ -146,4 +231,15 @@ QUERIES = {
     "davies_bouldin": q_davies_bouldin,
     "run_metrics": q_run_metrics,
     "dominant_label": q_dominant_label,
+    "page_canonical_url": q_page_canonical_url,
+    "page_id_extract": q_page_id_extract,
+    "page_text_fallback": q_page_text_fallback,
+    "title_suffix_strip": q_title_suffix_strip,
+    "ascii_safe": q_ascii_safe,
+    "first_seen_dedup": q_first_seen_dedup,
+    "topic_quota_after_dedup": q_topic_quota_after_dedup,
+    "topic_quota_before_dedup": q_topic_quota_before_dedup,
+    "quota_status": q_quota_status,
+    "sample_titles": q_sample_titles,
+    "dim_check": q_dim_check,
 }
