@@ -62,7 +62,8 @@ def top_k(queries: DataFrame, index: DataFrame, k: int, *,
           exclude: str | None = None, self_join: bool = False,
           block_rows: int = DEFAULT_BLOCK_ROWS,
           n_queries: int | None = None, n_index: int | None = None,
-          out_id: str = "nbr_id", out_score: str = "score") -> DataFrame:
+          out_id: str = "nbr_id", out_score: str = "score",
+          round_digits: int | None = None) -> DataFrame:
     """Top-k index rows per query row.
 
     metric: ``cosine`` (vectors L2-normalised in Spark first), ``dot``,
@@ -70,7 +71,9 @@ def top_k(queries: DataFrame, index: DataFrame, k: int, *,
     optionally ``alpha * dense + (1 - alpha) * sparse``).  Sparse vectors are
     (terms BIGINT[], weights DOUBLE[]) column pairs.  ``exclude`` names a query
     column whose value is never returned as a neighbour (``self_join`` excludes
-    the query's own id).  Ties order by neighbour id ascending.
+    the query's own id).  Ties order by neighbour id ascending;
+    ``round_digits`` rounds scores before ranking so exact duplicates tie
+    regardless of floating summation order.
 
     Returns (q_id, rank, out_id, out_score)."""
     use_dense = q_vec is not None and i_vec is not None and metric != "sparse"
@@ -122,6 +125,8 @@ def top_k(queries: DataFrame, index: DataFrame, k: int, *,
             if a is not None and use_dense:
                 Ss = (1.0 - a) * Ss
             S = Ss if S is None else S + Ss
+        if round_digits is not None:
+            S = np.round(S, round_digits)
         r_ids = rp["iid"].to_numpy()
         mask = None
         if has_x:
@@ -142,14 +147,15 @@ def self_top_k(df: DataFrame, k: int, *, id_col: str = "id", vec: str | None = "
                terms: str | None = None, weights: str | None = None,
                metric: str = "cosine", block_rows: int = DEFAULT_BLOCK_ROWS,
                n_rows: int | None = None, out_id: str = "nbr_id",
-               out_score: str = "score") -> DataFrame:
+               out_score: str = "score", round_digits: int | None = None) -> DataFrame:
     """k nearest *other* rows of every row (the kNN graph)."""
     if n_rows is None:
         n_rows = df.count()
     return top_k(df, df, k, q_id=id_col, i_id=id_col, q_vec=vec, i_vec=vec,
                  q_terms=terms, q_weights=weights, i_terms=terms, i_weights=weights,
                  metric=metric, self_join=True, block_rows=block_rows,
-                 n_queries=n_rows, n_index=n_rows, out_id=out_id, out_score=out_score)
+                 n_queries=n_rows, n_index=n_rows, out_id=out_id, out_score=out_score,
+                 round_digits=round_digits)
 
 
 def filtered_top_k(queries: DataFrame, index: DataFrame, k: int, condition, **kw) -> DataFrame:

@@ -212,3 +212,65 @@ SELECT count(*)::BIGINT AS n_vectors, min(len(embedding))::BIGINT AS min_dim, ma
        count(*) FILTER (WHERE len(embedding) <> 64)::BIGINT AS n_bad, count(*) FILTER (WHERE len(embedding) <> 64) = 0 AS ok
 FROM embeddings""",
 })
+
+
+def _tfidf_sql(src: str, id_col: str, prefix: str, df_from: str | None = None) -> str:
+    """CTEs {prefix}tc, {prefix}w (doc_id, term, term_id, weight) for texts of src.
+    df_from: prefix of the corpus whose document frequencies to use."""
+    p = prefix
+    dfp = df_from or p
+    out = f"""{p}tok AS (SELECT {id_col} AS doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+')) AS term FROM {src}),
+{p}tc AS (SELECT doc_id, term, count(*) AS tf FROM {p}tok WHERE term <> '' GROUP BY ALL)"""
+    if df_from is None:
+        out += f""",
+{p}nd AS (SELECT count(DISTINCT doc_id)::DOUBLE AS n FROM {p}tc),
+{p}dfq AS (SELECT term, count(*)::DOUBLE AS df FROM {p}tc GROUP BY term)"""
+    out += f""",
+{p}raw AS (SELECT t.doc_id, t.term, t.tf * (ln((1 + {dfp}nd.n) / (1 + d.df)) + 1) AS raw
+           FROM {p}tc t JOIN {dfp}dfq d USING (term), {dfp}nd),
+{p}nrm AS (SELECT doc_id, sqrt(sum(raw * raw)) AS nrm FROM {p}raw GROUP BY doc_id),
+{p}w AS (SELECT r.doc_id, r.term, ('0x' || substr(md5(r.term), 1, 15))::BIGINT AS term_id, r.raw / n.nrm AS weight
+         FROM {p}raw r JOIN {p}nrm n USING (doc_id))"""
+    return out
+
+
+def _dense_sql(p: str) -> str:
+    """CTE {p}dv(doc_id, j, x): normalised signed projection of {p}w."""
+    h1 = "((term_id % 2147483647) * 16807 + j * 48271 + 1) % 2147483647"
+    h2 = f"(({h1}) * 69621) % 2147483647"
+    h3 = f"(({h2}) * 48271) % 2147483647"
+    return f"""{p}dq AS (SELECT doc_id, j, sum(weight * CASE WHEN {h3} < 1073741823 THEN 1.0 ELSE -1.0 END) AS x
+          FROM {p}w, range(64) t(j) GROUP BY ALL),
+{p}dn AS (SELECT doc_id, sqrt(sum(x * x)) AS n FROM {p}dq GROUP BY doc_id),
+{p}dv AS (SELECT q.doc_id, q.j, CASE WHEN n.n > 0 THEN q.x / n.n ELSE q.x END AS x FROM {p}dq q JOIN {p}dn n USING (doc_id))"""
+
+
+ORACLES.update({
+    "tfidf_weights": f"""WITH {_tfidf_sql('documents', 'doc_id', 'c')}
+SELECT doc_id, term, term_id, round(weight, 6) AS weight FROM cw""",
+    "vocab_index": f"""WITH {_tfidf_sql('documents', 'doc_id', 'c')}
+SELECT term, term_id, (row_number() OVER (ORDER BY term_id) - 1)::BIGINT AS col FROM (SELECT DISTINCT term, term_id FROM cw)""",
+    "doc_term_triples": f"""WITH {_tfidf_sql('documents', 'doc_id', 'c')},
+v AS (SELECT term_id, (row_number() OVER (ORDER BY term_id) - 1)::BIGINT AS col FROM (SELECT DISTINCT term_id FROM cw))
+SELECT doc_id, col, round(sum(weight), 6) AS val FROM cw JOIN v USING (term_id) GROUP BY doc_id, col""",
+    "corpus_sparsity": f"""WITH {_tfidf_sql('documents', 'doc_id', 'c')}
+SELECT count(DISTINCT doc_id)::BIGINT AS n_docs, count(DISTINCT term)::BIGINT AS vocab_size,
+       round(count(*) / count(DISTINCT doc_id), 1) AS avg_nnz FROM cw""",
+    "sparse_top5": f"""WITH {_tfidf_sql('documents', 'doc_id', 'c')},
+{_tfidf_sql('benchmark', 'item_id', 'q', df_from='c')},
+s AS (SELECT q.doc_id AS item_id, d.doc_id, sum(q.weight * d.weight) AS s FROM qw q JOIN cw d USING (term) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(s, 9) DESC, doc_id) AS rk FROM s)
+SELECT item_id, rk::BIGINT AS rank, doc_id, round(s, 6) AS score FROM r WHERE rk <= 5""",
+    "dense_embed": f"""WITH {_tfidf_sql('documents', 'doc_id', 'c')},
+{_dense_sql('c')}
+SELECT doc_id, list(round(x, 6) ORDER BY j) AS embedding FROM cdv GROUP BY doc_id""",
+    "hybrid_top5": f"""WITH {_tfidf_sql('documents', 'doc_id', 'c')},
+{_tfidf_sql('benchmark', 'item_id', 'q', df_from='c')},
+{_dense_sql('c')},
+{_dense_sql('q')},
+dd AS (SELECT a.doc_id AS item_id, b.doc_id, sum(a.x * b.x) AS s FROM qdv a JOIN cdv b USING (j) GROUP BY ALL),
+ss AS (SELECT q.doc_id AS item_id, d.doc_id, sum(q.weight * d.weight) AS s FROM qw q JOIN cw d USING (term) GROUP BY ALL),
+hs AS (SELECT dd.item_id, dd.doc_id, dd.s + coalesce(ss.s, 0) AS s FROM dd LEFT JOIN ss USING (item_id, doc_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(s, 9) DESC, doc_id) AS rk FROM hs)
+SELECT item_id, rk::BIGINT AS rank, doc_id, round(s, 6) AS score FROM r WHERE rk <= 5""",
+})

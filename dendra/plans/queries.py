@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from dendra.session import read_table
 from dendra.functions import text as TX
+from dendra.operators import features as FE
 from dendra.operators import ingest, knn, metrics, vote
 from dendra.sources import tables as SRC
 
@@ -219,6 +220,73 @@ def q_dim_check(spark, sf_dir):
     return ingest.dim_check(_emb(spark, sf_dir), "embedding", EMBEDDING_DIM)
 
 
+def _doc_weights(spark, sf_dir):
+    return FE.corpus_tfidf(_docs(spark, sf_dir), "doc_id", "text")
+
+
+def q_tfidf_weights(spark, sf_dir):
+    """L2-normalised TF-IDF weight of every (document, term)."""
+    w, _ = _doc_weights(spark, sf_dir)
+    return w.select("doc_id", "term", "term_id", _r6("weight").alias("weight"))
+
+
+def q_vocab_index(spark, sf_dir):
+    """Corpus vocabulary numbered in term-id order."""
+    w, _ = _doc_weights(spark, sf_dir)
+    return FE.vocabulary_index(w)
+
+
+def q_doc_term_triples(spark, sf_dir):
+    """Sparse document x column matrix as (doc_id, col, val) triples."""
+    w, _ = _doc_weights(spark, sf_dir)
+    return FE.doc_term_triples(w, FE.vocabulary_index(w)).select(
+        "doc_id", "col", _r6("val").alias("val"))
+
+
+def q_corpus_sparsity(spark, sf_dir):
+    """Documents, vocabulary size, mean non-zeros per document."""
+    w, _ = _doc_weights(spark, sf_dir)
+    return FE.corpus_sparsity(w)
+
+
+def _search_inputs(spark, sf_dir):
+    w, dfreq = _doc_weights(spark, sf_dir)
+    docs = FE.sparse_vectors(w)
+    bench = read_table(spark, sf_dir, "benchmark")
+    qw = FE.query_tfidf(bench, "item_id", "text", dfreq)
+    qs = FE.sparse_vectors(qw).withColumnRenamed("doc_id", "item_id")
+    return docs, qs
+
+
+def q_sparse_top5(spark, sf_dir):
+    """Top-5 documents per benchmark text by TF-IDF cosine (sparse dot)."""
+    docs, qs = _search_inputs(spark, sf_dir)
+    nn = knn.top_k(qs, docs, TOP_K, q_id="item_id", i_id="doc_id", q_vec=None, i_vec=None,
+                   q_terms="terms", q_weights="weights", i_terms="terms", i_weights="weights",
+                   metric="dot", round_digits=9, out_id="doc_id")
+    return nn.select("item_id", F.col("rank").cast("long").alias("rank"), "doc_id",
+                     _r6("score").alias("score"))
+
+
+def q_dense_embed(spark, sf_dir):
+    """Offline dense embedding (signed projection of TF-IDF) of every document."""
+    w, _ = _doc_weights(spark, sf_dir)
+    e = FE.dense_embed(FE.sparse_vectors(w), FE.DENSE_DIM)
+    return e.select("doc_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
+
+
+def q_hybrid_top5(spark, sf_dir):
+    """Hybrid search: dense dot + sparse dot, unweighted, top-5 per benchmark text."""
+    docs, qs = _search_inputs(spark, sf_dir)
+    docs = docs.join(FE.dense_embed(docs, FE.DENSE_DIM), "doc_id")
+    qs = qs.join(FE.dense_embed(qs, FE.DENSE_DIM, id_col="item_id"), "item_id")
+    nn = knn.top_k(qs, docs, TOP_K, q_id="item_id", i_id="doc_id", q_vec="embedding",
+                   i_vec="embedding", q_terms="terms", q_weights="weights", i_terms="terms",
+                   i_weights="weights", metric="hybrid", round_digits=9, out_id="doc_id")
+    return nn.select("item_id", F.col("rank").cast("long").alias("rank"), "doc_id",
+                     _r6("score").alias("score"))
+
+
 QUERIES = {
     "knn_top5": q_knn_top5,
     "knn_filtered": q_knn_filtered,
@@ -242,4 +310,11 @@ QUERIES = {
     "quota_status": q_quota_status,
     "sample_titles": q_sample_titles,
     "dim_check": q_dim_check,
+    "tfidf_weights": q_tfidf_weights,
+    "vocab_index": q_vocab_index,
+    "doc_term_triples": q_doc_term_triples,
+    "corpus_sparsity": q_corpus_sparsity,
+    "sparse_top5": q_sparse_top5,
+    "dense_embed": q_dense_embed,
+    "hybrid_top5": q_hybrid_top5,
 }
