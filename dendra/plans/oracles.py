@@ -146,7 +146,7 @@ FROM o GROUP BY source""",
 _WS = r"[\t\n\x{0B}\x{0C}\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _STRIP = f"'^{_WS}+|{_WS}+\\z'"
 
-_HITS = f"""hits AS (
+_HITS = rf"""hits AS (
   SELECT regexp_extract(html, '<html lang="([^"]+)"', 1) AS topic,
          floor(page_id / 20)::INT AS query_no, (page_id % 20 + 1)::INT AS rank, url,
          regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, html AS content,
@@ -219,7 +219,7 @@ def _tfidf_sql(src: str, id_col: str, prefix: str, df_from: str | None = None) -
     df_from: prefix of the corpus whose document frequencies to use."""
     p = prefix
     dfp = df_from or p
-    out = f"""{p}tok AS (SELECT {id_col} AS doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+')) AS term FROM {src}),
+    out = rf"""{p}tok AS (SELECT {id_col} AS doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+')) AS term FROM {src}),
 {p}tc AS (SELECT doc_id, term, count(*) AS tf FROM {p}tok WHERE term <> '' GROUP BY ALL)"""
     if df_from is None:
         out += f""",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from dendra.session import read_table
 from dendra.functions import text as TX
 from dendra.operators import features as FE
-from dendra.operators import ingest, knn, metrics, vote
+from dendra.operators import density, ingest, knn, metrics, vote
 from dendra.sources import tables as SRC
 
 # Parameters of the registered queries (the reference's defaults where it
@@ -19,6 +19,9 @@ MIN_SAMPLES = 3
 FILTER_LABEL = 3
 TOPIC_TARGET = 10
 EMBEDDING_DIM = 64   # dimension of the driver's embeddings table
+MIN_CLUSTER_SIZE = 3
+EPSILON = 1.2        # selection epsilon for the epsilon query (Euclidean units)
+CUT = 1.2            # weight cut for density components
 
 
 def _emb(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,6 +290,80 @@ def q_hybrid_top5(spark, sf_dir):
                      _r6("score").alias("score"))
 
 
+def _doc_points(spark, sf_dir):
+    w, _ = _doc_weights(spark, sf_dir)
+    return FE.sparse_vectors(w)
+
+
+def cluster_documents(spark, sf_dir, method="eom", epsilon=0.0):
+    """Raw-mode density clustering of documents on TF-IDF cosine distance."""
+    pts = _doc_points(spark, sf_dir)
+    r = density.hdbscan(pts, id_col="doc_id", vec=None, terms="terms", weights="weights",
+                        metric="cosine", min_cluster_size=MIN_CLUSTER_SIZE, method=method,
+                        epsilon=epsilon)
+    return r
+
+
+def q_hdbscan_eom(spark, sf_dir):
+    """Documents clustered by density (EOM) on TF-IDF cosine, with language."""
+    r = cluster_documents(spark, sf_dir, "eom")
+    d = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "lang")
+    return (r["assignments"].join(d, "id")
+            .select(F.col("id").alias("doc_id"), "cluster",
+                    F.round("confidence", 4).alias("confidence"), "lang"))
+
+
+def _cluster_embeddings(spark, sf_dir, method="eom", epsilon=0.0):
+    e = _emb(spark, sf_dir)
+    return density.hdbscan(e, id_col="vec_id", vec="embedding", metric="euclidean",
+                           min_cluster_size=MIN_CLUSTER_SIZE, method=method, epsilon=epsilon)
+
+
+def q_hdbscan_leaf(spark, sf_dir):
+    """Embeddings clustered by density with leaf selection (Euclidean)."""
+    r = _cluster_embeddings(spark, sf_dir, "leaf")
+    return r["assignments"].select(F.col("id").alias("vec_id"), "cluster",
+                                   F.round("confidence", 4).alias("confidence"))
+
+
+def q_hdbscan_epsilon(spark, sf_dir):
+    """Embeddings clustered by density, EOM with a selection epsilon."""
+    r = _cluster_embeddings(spark, sf_dir, "eom", EPSILON)
+    return r["assignments"].select(F.col("id").alias("vec_id"), "cluster",
+                                   F.round("confidence", 4).alias("confidence"))
+
+
+def q_mst_weight(spark, sf_dir):
+    """Total weight and edge count of the mutual-reachability MST (Euclidean,
+    min_samples 3) of all embeddings."""
+    e = _emb(spark, sf_dir)
+    core = density.core_distances(e, MIN_SAMPLES, id_col="vec_id", vec="embedding")
+    mst = density.mst_boruvka(e, core, id_col="vec_id", vec="embedding")
+    return mst.agg(F.round(F.sum("w"), 6).alias("mst_weight"),
+                   F.count(F.lit(1)).cast("long").alias("n_edges"))
+
+
+def q_density_components(spark, sf_dir):
+    """Connected components of the mutual-reachability graph below a cut
+    (= MST edges under the cut), labelled by their smallest id."""
+    e = _emb(spark, sf_dir)
+    core = density.core_distances(e, MIN_SAMPLES, id_col="vec_id", vec="embedding")
+    mst = density.mst_boruvka(e, core, id_col="vec_id", vec="embedding")
+    return density.components_below(mst, e.select(F.col("vec_id").alias("id")), CUT).select(
+        F.col("id").alias("vec_id"), "component")
+
+
+def flagship(spark, sf_dir):
+    """documents -> TF-IDF -> kNN core distances -> density clusters ->
+    composition of every cluster by language."""
+    r = cluster_documents(spark, sf_dir, "eom")
+    d = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "lang")
+    a = r["assignments"].join(d, "id")
+    return (metrics.label_distribution(a, cluster="cluster", label="lang", pos="id")
+            .select("cluster", F.col("size").cast("long").alias("size"), "dominant",
+                    "distribution", F.col("n_labels").cast("long").alias("n_labels")))
+
+
 QUERIES = {
     "knn_top5": q_knn_top5,
     "knn_filtered": q_knn_filtered,
@@ -317,4 +394,9 @@ QUERIES = {
     "sparse_top5": q_sparse_top5,
     "dense_embed": q_dense_embed,
     "hybrid_top5": q_hybrid_top5,
+    "hdbscan_eom": q_hdbscan_eom,
+    "hdbscan_leaf": q_hdbscan_leaf,
+    "hdbscan_epsilon": q_hdbscan_epsilon,
+    "mst_weight": q_mst_weight,
+    "density_components": q_density_components,
 }
