@@ -274,3 +274,86 @@ hs AS (SELECT dd.item_id, dd.doc_id, dd.s + coalesce(ss.s, 0) AS s FROM dd LEFT
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(s, 9) DESC, doc_id) AS rk FROM hs)
 SELECT item_id, rk::BIGINT AS rank, doc_id, round(s, 6) AS score FROM r WHERE rk <= 5""",
 })
+
+
+def _vote_run_sql(k: int, p: str) -> str:
+    """CTE {p}run(id, cluster, confidence, label): kNN-vote run with k neighbours."""
+    return f"""{p}r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, nbr_id) AS rk FROM p),
+{p}nn AS (SELECT vec_id, nbr_id, rk FROM {p}r WHERE rk <= {k}),
+{p}v AS (SELECT nn.vec_id, e.label AS c, count(*) AS n, min(nn.rk) AS first_rk
+      FROM {p}nn nn JOIN e ON nn.nbr_id = e.vec_id WHERE e.label <> -1 GROUP BY 1, 2),
+{p}o AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, first_rk) AS pos FROM {p}v),
+{p}agg AS (SELECT vec_id, max(CASE WHEN pos = 1 THEN c END) AS predicted,
+               max(CASE WHEN pos = 1 THEN n END) AS n_votes FROM {p}o GROUP BY vec_id),
+{p}run AS (SELECT e.vec_id AS id, coalesce(a.predicted, -1)::INT AS cluster,
+               coalesce(a.n_votes, 0) / {float(k)} AS confidence, e.label
+        FROM e LEFT JOIN {p}agg a ON e.vec_id = a.vec_id)"""
+
+
+_RUN = f"{_PAIRS_COS},\n{_vote_run_sql(5, '')}"
+
+ORACLES.update({
+    "cluster_summary": f"""WITH {_RUN},
+cc AS (SELECT cluster, label, count(*) AS n, min(id) AS first_pos FROM run GROUP BY ALL),
+oo AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, first_pos) AS rk FROM cc),
+d AS (SELECT cluster, sum(n)::BIGINT AS size, max(CASE WHEN rk = 1 THEN label END) AS dominant,
+             string_agg(printf('%s(%d)', label, n), ', ' ORDER BY rk) AS distribution FROM oo GROUP BY cluster),
+h AS (SELECT count(DISTINCT CASE WHEN cluster <> -1 THEN cluster END)::BIGINT AS n_clusters,
+             round(100.0 * count(*) FILTER (WHERE cluster = -1) / count(*), 1) AS noise_pct FROM run),
+ar AS {_ari_sql('run', 'label', 'cluster')}
+SELECT cluster, CASE WHEN cluster = -1 THEN 'NOISE' ELSE 'Cluster ' || cluster::VARCHAR END AS cluster_label,
+       size, dominant, distribution, n_clusters, noise_pct, round(ar.ari, 4) AS ari FROM d, h, ar""",
+    "top_members": f"""WITH {_RUN},
+a AS (SELECT * FROM run WHERE cluster <> -1),
+sz AS (SELECT cluster, count(*) AS size FROM a GROUP BY cluster),
+t AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY confidence DESC, id) AS member_rank FROM a)
+SELECT t.cluster, member_rank::BIGINT AS member_rank, id, round(confidence, 4) AS confidence,
+       greatest(size - 5, 0)::BIGINT AS more FROM t JOIN sz USING (cluster) WHERE member_rank <= 5""",
+    "paper_lookup": f"""WITH {_RUN},
+sz AS (SELECT cluster, count(*) AS cluster_size FROM run GROUP BY cluster),
+pr AS (SELECT a.id, b.id AS pid, row_number() OVER (PARTITION BY a.id ORDER BY b.confidence DESC, b.id) AS r
+       FROM run a JOIN run b ON a.cluster = b.cluster AND a.id <> b.id WHERE a.cluster <> -1),
+pl AS (SELECT id, list(pid ORDER BY r) AS peers FROM pr WHERE r <= 5 GROUP BY id)
+SELECT run.id, true AS found, run.cluster, round(run.confidence, 4) AS confidence, run.cluster = -1 AS is_noise,
+       sz.cluster_size::BIGINT AS cluster_size,
+       CASE WHEN run.cluster = -1 THEN []::BIGINT[] ELSE coalesce(pl.peers, []::BIGINT[]) END AS peers
+FROM run JOIN sz USING (cluster) LEFT JOIN pl ON run.id = pl.id""",
+    "lookup_suggestions": """
+SELECT suggestion, row_number() OVER (ORDER BY suggestion)::BIGINT AS pos
+FROM (SELECT vec_id::VARCHAR AS suggestion FROM embeddings ORDER BY suggestion LIMIT 10)""",
+    "noise_flags": f"""WITH {_RUN}
+SELECT id, cluster, CASE WHEN cluster = -1 THEN 'NOISE' ELSE 'Cluster ' || cluster::VARCHAR END AS cluster_label,
+       round(confidence, 4) AS confidence, confidence < 0.5 AS low_confidence FROM run""",
+    "label_codes": """
+SELECT lang AS label, (row_number() OVER (ORDER BY lang) - 1)::BIGINT AS code
+FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)""",
+    "run_compare": f"""WITH {_PAIRS_COS},
+{_vote_run_sql(5, 'a_')},
+{_vote_run_sql(3, 'b_')},
+ma AS (SELECT count(DISTINCT CASE WHEN cluster <> -1 THEN cluster END)::DOUBLE AS n_clusters,
+              round(100.0 * count(*) FILTER (WHERE cluster = -1) / count(*), 1) AS noise_pct,
+              round(avg(CASE WHEN cluster <> -1 THEN confidence END), 4) AS avg_conf FROM a_run),
+mb AS (SELECT count(DISTINCT CASE WHEN cluster <> -1 THEN cluster END)::DOUBLE AS n_clusters,
+              round(100.0 * count(*) FILTER (WHERE cluster = -1) / count(*), 1) AS noise_pct,
+              round(avg(CASE WHEN cluster <> -1 THEN confidence END), 4) AS avg_conf FROM b_run),
+ra AS {_ari_sql('a_run', 'label', 'cluster')},
+rb AS {_ari_sql('b_run', 'label', 'cluster')},
+bt AS (SELECT a.cluster AS ca, b.cluster AS cb FROM a_run a JOIN b_run b USING (id)),
+rx AS {_ari_sql('bt', 'ca', 'cb')}
+SELECT 'n_clusters' AS metric, ma.n_clusters AS run_a, mb.n_clusters AS run_b FROM ma, mb
+UNION ALL SELECT 'noise_pct', ma.noise_pct, mb.noise_pct FROM ma, mb
+UNION ALL SELECT 'ari', round(ra.ari, 4), round(rb.ari, 4) FROM ra, rb
+UNION ALL SELECT 'avg_conf', ma.avg_conf, mb.avg_conf FROM ma, mb
+UNION ALL SELECT 'ari_between_runs', round(rx.ari, 4), round(rx.ari, 4) FROM rx""",
+    "upsert_latest": """
+WITH latest AS (SELECT conv_id AS id, role, text FROM conversations
+                QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1),
+existing AS (SELECT conv_id AS id, role, text FROM conversations WHERE turn = 0)
+SELECT * FROM existing WHERE id NOT IN (SELECT id FROM latest)
+UNION ALL SELECT * FROM latest""",
+    "index_stats": """
+SELECT count(*)::BIGINT AS n_vectors, min(len(embedding))::BIGINT AS min_dim, max(len(embedding))::BIGINT AS max_dim,
+       count(DISTINCT label)::BIGINT AS n_labels FROM embeddings""",
+    "dense_sparse_join": f"""WITH {_tfidf_sql('documents', 'doc_id', 'c')}
+SELECT doc_id, 64::BIGINT AS dim, count(*)::BIGINT AS nnz, 0::BIGINT AS n_missing FROM cw GROUP BY doc_id""",
+})

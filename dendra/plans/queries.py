@@ -11,6 +11,7 @@ from dendra.functions import text as TX
 from dendra.operators import features as FE
 from dendra.operators import density, ingest, knn, metrics, vote
 from dendra.sources import tables as SRC
+from dendra.plans import reports as RP
 
 # Parameters of the registered queries (the reference's defaults where it
 # has one: top-k 5, min_cluster_size 3 with min_samples = min_cluster_size).
@@ -364,6 +365,87 @@ def flagship(spark, sf_dir):
                     "distribution", F.col("n_labels").cast("long").alias("n_labels")))
 
 
+def vote_run(spark, sf_dir, k=TOP_K):
+    """A run whose clusters are kNN-vote predictions over the embeddings:
+    (id, cluster, confidence = winning votes / k, label)."""
+    e = _emb(spark, sf_dir)
+    nn = knn.self_top_k(e, k, id_col="vec_id", vec="embedding", metric="cosine")
+    v = vote.majority_vote(nn, e, q_id="vec_id", a_id="vec_id", a_cluster="label",
+                           queries=e.select("vec_id"))
+    return (v.join(e.select("vec_id", "label"), "vec_id")
+            .select(F.col("vec_id").alias("id"), F.col("predicted").cast("int").alias("cluster"),
+                    (F.col("n_votes") / F.lit(float(k))).alias("confidence"), "label"))
+
+
+def q_cluster_summary(spark, sf_dir):
+    """Per cluster: label, size, dominant label and distribution, with the
+    run's cluster count, noise share and ARI."""
+    return RP.cluster_summary(vote_run(spark, sf_dir))
+
+
+def q_top_members(spark, sf_dir):
+    """Five most confident members of every cluster and how many more."""
+    return RP.top_members(vote_run(spark, sf_dir), 5)
+
+
+def q_paper_lookup(spark, sf_dir):
+    """Lookup of every embedding id: cluster, confidence, noise notice,
+    cluster size and five most confident peers."""
+    a = vote_run(spark, sf_dir)
+    return RP.paper_lookup(a.select("id"), a, 5)
+
+
+def q_lookup_suggestions(spark, sf_dir):
+    """First 10 ids in string order."""
+    return RP.lookup_suggestions(vote_run(spark, sf_dir), 10)
+
+
+def q_noise_flags(spark, sf_dir):
+    """Display label and low-confidence (< 0.5) flag per assignment."""
+    return RP.noise_flags(vote_run(spark, sf_dir))
+
+
+def q_label_codes(spark, sf_dir):
+    """Document languages numbered in sorted order."""
+    return RP.label_codes(_docs(spark, sf_dir), "lang")
+
+
+def q_run_compare(spark, sf_dir):
+    """Two runs (kNN vote with k = 5 and k = 3) side by side, plus the ARI
+    between them."""
+    return RP.run_compare(vote_run(spark, sf_dir, 5), vote_run(spark, sf_dir, 3))
+
+
+def q_upsert_latest(spark, sf_dir):
+    """Keyed upsert: the first turn of every conversation is the existing
+    index; every turn is an update batch; the latest batch per key wins."""
+    c = read_table(spark, sf_dir, "conversations")
+    existing = c.filter(F.col("turn") == 0).select(F.col("conv_id").alias("id"), "role", "text")
+    updates = c.select(F.col("conv_id").alias("id"), "role", "text", F.col("turn").alias("batch_no"))
+    return ingest.upsert_latest(existing, updates, key="id", batch_col="batch_no")
+
+
+def q_index_stats(spark, sf_dir):
+    """Vector count, dimension range and label count of the embedding index."""
+    e = _emb(spark, sf_dir)
+    return e.agg(F.count(F.lit(1)).cast("long").alias("n_vectors"),
+                 F.min(F.size("embedding")).cast("long").alias("min_dim"),
+                 F.max(F.size("embedding")).cast("long").alias("max_dim"),
+                 F.count_distinct("label").cast("long").alias("n_labels"))
+
+
+def q_dense_sparse_join(spark, sf_dir):
+    """Dense and sparse vectors of every document joined by id, with the
+    count of dense rows lacking a sparse vector (must be 0)."""
+    w, _ = _doc_weights(spark, sf_dir)
+    sp = FE.sparse_vectors(w)
+    de = FE.dense_embed(sp, FE.DENSE_DIM)
+    j = de.join(sp, "doc_id")
+    missing = de.join(sp, "doc_id", "left_anti").agg(F.count(F.lit(1)).cast("long").alias("n_missing"))
+    return metrics._attach(j.select("doc_id", F.size("embedding").cast("long").alias("dim"),
+                                    F.size("terms").cast("long").alias("nnz")), missing)
+
+
 QUERIES = {
     "knn_top5": q_knn_top5,
     "knn_filtered": q_knn_filtered,
@@ -399,4 +481,14 @@ QUERIES = {
     "hdbscan_epsilon": q_hdbscan_epsilon,
     "mst_weight": q_mst_weight,
     "density_components": q_density_components,
+    "cluster_summary": q_cluster_summary,
+    "top_members": q_top_members,
+    "paper_lookup": q_paper_lookup,
+    "lookup_suggestions": q_lookup_suggestions,
+    "noise_flags": q_noise_flags,
+    "label_codes": q_label_codes,
+    "run_compare": q_run_compare,
+    "upsert_latest": q_upsert_latest,
+    "index_stats": q_index_stats,
+    "dense_sparse_join": q_dense_sparse_join,
 }

@@ -21,8 +21,8 @@ def build_session(master: str | None = None, app: str = "dendra",
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-    if driver_memory:
-        b = b.config("spark.driver.memory", driver_memory)
+    b = b.config("spark.driver.memory",
+                 driver_memory or os.environ.get("DENDRA_DRIVER_MEMORY", "8g"))
     parts = shuffle_partitions or int(os.environ.get("DENDRA_SHUFFLE_PARTITIONS", "8"))
     b = (b.config("spark.ui.enabled", "false")
           .config("spark.ui.showConsoleProgress", "false")
