@@ -297,7 +297,7 @@ ORACLES.update({
 cc AS (SELECT cluster, label, count(*) AS n, min(id) AS first_pos FROM run GROUP BY ALL),
 oo AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, first_pos) AS rk FROM cc),
 d AS (SELECT cluster, sum(n)::BIGINT AS size, max(CASE WHEN rk = 1 THEN label END) AS dominant,
-             string_agg(printf('%s(%d)', label, n), ', ' ORDER BY rk) AS distribution FROM oo GROUP BY cluster),
+             string_agg(printf('%s(%d)', label::VARCHAR, n), ', ' ORDER BY rk) AS distribution FROM oo GROUP BY cluster),
 h AS (SELECT count(DISTINCT CASE WHEN cluster <> -1 THEN cluster END)::BIGINT AS n_clusters,
              round(100.0 * count(*) FILTER (WHERE cluster = -1) / count(*), 1) AS noise_pct FROM run),
 ar AS {_ari_sql('run', 'label', 'cluster')}
