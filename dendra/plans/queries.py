@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from dendra.session import read_table
 from dendra.functions import text as TX
 from dendra.operators import features as FE
-from dendra.operators import density, ingest, knn, metrics, vote
+from dendra.operators import density, ingest, knn, layout, metrics, predict, vote
+from dendra.operators.ordering import consecutive_index
 from dendra.sources import tables as SRC
 from dendra.plans import reports as RP
 
@@ -23,6 +24,14 @@ EMBEDDING_DIM = 64   # dimension of the driver's embeddings table
 MIN_CLUSTER_SIZE = 3
 EPSILON = 1.2        # selection epsilon for the epsilon query (Euclidean units)
 CUT = 1.2            # weight cut for density components
+# Layout parameters (the reference's: 40-d reduction with n_neighbors 5,
+# min_dist 0.0, cosine, seed 42; 2-d plots with min_dist 0.1).
+UMAP_NEIGHBORS = 5
+UMAP_COMPONENTS = 40
+UMAP_MIN_DIST = 0.0
+VIZ_MIN_DIST = 0.1
+SEED = 42
+EPOCHS = 30
 
 
 def _emb(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -446,6 +455,83 @@ def q_dense_sparse_join(spark, sf_dir):
                                     F.size("terms").cast("long").alias("nnz")), missing)
 
 
+def q_fuzzy_graph(spark, sf_dir):
+    """Symmetric fuzzy 5-neighbour graph of the embeddings (cosine)."""
+    g = layout.fuzzy_graph(_emb(spark, sf_dir), UMAP_NEIGHBORS, id_col="vec_id", vec="embedding")
+    return g.select(F.col("i").alias("vec_id"), F.col("j").alias("nbr_id"), _r6("p").alias("p"))
+
+
+def _layout(spark, sf_dir, n_components, min_dist):
+    e = _emb(spark, sf_dir)
+    g = layout.fuzzy_graph(e, UMAP_NEIGHBORS, id_col="vec_id", vec="embedding")
+    return layout.layout(e, g, n_components=n_components, min_dist=min_dist, seed=SEED,
+                         n_epochs=EPOCHS, id_col="vec_id", vec="embedding")
+
+
+def q_umap_layout(spark, sf_dir):
+    """40-d neighbour-graph layout of the embeddings."""
+    pos = _layout(spark, sf_dir, UMAP_COMPONENTS, UMAP_MIN_DIST)
+    return pos.select(F.col("id").alias("vec_id"),
+                      F.transform("coords", lambda x: F.round(x, 4)).alias("coords"))
+
+
+def q_plot_points_2d(spark, sf_dir):
+    """2-d layout clustered by density, as a plotting table with labels."""
+    pos = cut_lineage_df(_layout(spark, sf_dir, 2, VIZ_MIN_DIST))
+    r = density.hdbscan(pos, id_col="id", vec="coords", min_cluster_size=MIN_CLUSTER_SIZE)
+    e = _emb(spark, sf_dir).select(F.col("vec_id").alias("id"), "label")
+    assign = r["assignments"].join(e, "id")
+    return RP.plot_points(pos, assign).select(
+        F.col("id").alias("vec_id"), F.round("x", 4).alias("x"), F.round("y", 4).alias("y"),
+        "cluster", "label", "colour_index")
+
+
+def _conversation_texts(spark, sf_dir):
+    """Every conversation turn as a new text with a consecutive id."""
+    c = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return consecutive_index(c, ["conv_id", "turn"], out="qid")
+
+
+def q_project_new_points(spark, sf_dir):
+    """Conversation turns placed into a 2-d layout of the documents (both
+    embedded with the offline dense embedding against the corpus IDF)."""
+    w, dfreq = _doc_weights(spark, sf_dir)
+    docs = FE.dense_embed(FE.sparse_vectors(w), FE.DENSE_DIM)
+    conv = _conversation_texts(spark, sf_dir)
+    cw = FE.query_tfidf(conv, "qid", "text", dfreq)
+    cv = FE.dense_embed(FE.sparse_vectors(cw), FE.DENSE_DIM).withColumnRenamed("doc_id", "qid")
+    g = layout.fuzzy_graph(docs, UMAP_NEIGHBORS, id_col="doc_id", vec="embedding")
+    pos = layout.layout(docs, g, n_components=2, min_dist=VIZ_MIN_DIST, seed=SEED,
+                        n_epochs=EPOCHS, id_col="doc_id", vec="embedding")
+    pr = predict.project_new_points(cv, docs, pos, UMAP_NEIGHBORS, new_id="qid",
+                                    train_id="doc_id", vec="embedding")
+    return (pr.join(conv.select("qid", "conv_id", "turn"), "qid")
+            .select("conv_id", "turn", F.transform("coords", lambda x: F.round(x, 4)).alias("coords")))
+
+
+def q_approximate_predict(spark, sf_dir):
+    """Cluster and strength for every conversation turn from the documents'
+    fitted density hierarchy (TF-IDF cosine, neighbours among the documents)."""
+    w, dfreq = _doc_weights(spark, sf_dir)
+    docs = FE.sparse_vectors(w)
+    model = density.hdbscan(docs, id_col="doc_id", vec=None, terms="terms", weights="weights",
+                            metric="cosine", min_cluster_size=MIN_CLUSTER_SIZE)
+    conv = _conversation_texts(spark, sf_dir)
+    cw = FE.query_tfidf(conv, "qid", "text", dfreq)
+    cs = FE.sparse_vectors(cw).withColumnRenamed("doc_id", "qid")
+    p = predict.approximate_predict(model, cs, docs, MIN_CLUSTER_SIZE, new_id="qid",
+                                    train_id="doc_id", vec=None, terms="terms", weights="weights",
+                                    metric="cosine")
+    return (conv.select("qid", "conv_id", "turn").join(p, "qid", "left")
+            .select("conv_id", "turn", F.coalesce("cluster", F.lit(-1)).alias("cluster"),
+                    F.coalesce("confidence", F.lit(0.0)).alias("confidence")))
+
+
+def cut_lineage_df(df):
+    from dendra.session import cut_lineage
+    return cut_lineage(df)
+
+
 QUERIES = {
     "knn_top5": q_knn_top5,
     "knn_filtered": q_knn_filtered,
@@ -491,4 +577,9 @@ QUERIES = {
     "upsert_latest": q_upsert_latest,
     "index_stats": q_index_stats,
     "dense_sparse_join": q_dense_sparse_join,
+    "fuzzy_graph": q_fuzzy_graph,
+    "umap_layout": q_umap_layout,
+    "plot_points_2d": q_plot_points_2d,
+    "project_new_points": q_project_new_points,
+    "approximate_predict": q_approximate_predict,
 }
