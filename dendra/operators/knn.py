@@ -162,3 +162,70 @@ def filtered_top_k(queries: DataFrame, index: DataFrame, k: int, condition, **kw
     """Metadata pre-filter, applied *before* ranking so k rows survive it
     (the filter reaches the parquet scan as a pushed predicate)."""
     return top_k(queries, index.filter(condition), k, **kw)
+
+
+def lsh_top_k(df: DataFrame, k: int, *, id_col: str = "id", vec: str = "vec",
+              bands: int = 8, bits: int = 8, seed: int = 42,
+              block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """Approximate cosine kNN graph by random-hyperplane LSH.
+
+    Each band hashes a vector to ``bits`` sign bits of seeded random
+    hyperplanes; rows sharing a (band, bucket) are candidates.  A bucket is
+    never expanded into all its pairs: it is cut into sub-blocks of at most
+    ``block_rows`` rows (so a bucket holding a third of all rows is spread
+    over many tasks) and every sub-block pair runs the exact top-k kernel.
+    No candidate is capped; results are exact scores re-ranked across bands."""
+    first = df.select(F.size(vec)).first()
+    dim = int(first[0]) if first else 0
+    rng = np.random.default_rng(seed)
+    H = rng.normal(size=(bands * bits, dim))
+    Hl = [float(x) for x in H.ravel()]
+    nb = bands * bits
+
+    def sig(batches):
+        Hm = np.asarray(Hl).reshape(nb, dim)
+        weights = (1 << np.arange(bits)).astype(np.int64)
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            X = V.stack(pdf["v"])
+            S = (X @ Hm.T) >= 0
+            codes = (S.reshape(len(pdf), bands, bits) * weights).sum(axis=2)
+            yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), bands),
+                                "band": np.tile(np.arange(bands), len(pdf)),
+                                "bucket": codes.ravel().astype(np.int64)})
+
+    pts = df.select(F.col(id_col).alias("id"), V.l2_normalize(V.as_double(vec)).alias("v"))
+    id_t = df.schema[id_col].dataType.simpleString()
+    sigs = pts.mapInPandas(sig, f"id {id_t}, band int, bucket long")
+    sizes = sigs.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    nsub = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(block_rows))).cast("int")
+    tagged = (sigs.join(sizes, ["band", "bucket"])
+              .withColumn("ns", nsub)
+              .withColumn("sb", F.pmod(F.xxhash64("id"), F.col("ns")).cast("int"))
+              .join(pts, "id"))
+    left = (tagged.withColumn("lb", F.col("sb"))
+            .withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("ns") - 1)))
+            .select("band", "bucket", "lb", "rb", F.col("id").alias("qid"), F.col("v").alias("qv")))
+    right = (tagged.withColumn("rb", F.col("sb"))
+             .withColumn("lb", F.explode(F.sequence(F.lit(0), F.col("ns") - 1)))
+             .select("band", "bucket", "lb", "rb", F.col("id").alias("iid"), F.col("v").alias("iv")))
+    right = right.select([F.col(c).alias(c) for c in right.columns])
+    schema = f"qid {id_t}, iid {id_t}, score double"
+
+    def kernel(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
+        if len(lp) == 0 or len(rp) == 0:
+            return pd.DataFrame({"qid": lp["qid"].iloc[:0], "iid": rp["iid"].iloc[:0],
+                                 "score": np.zeros(0)})
+        S = V.stack(lp["qv"]) @ V.stack(rp["iv"]).T
+        r_ids = rp["iid"].to_numpy()
+        mask = lp["qid"].to_numpy()[:, None] == r_ids[None, :]
+        rows, cols, sc, _ = V.top_k_rows(S, r_ids, k, True, mask)
+        return pd.DataFrame({"qid": lp["qid"].to_numpy()[rows], "iid": r_ids[cols], "score": sc})
+
+    keys = ["band", "bucket", "lb", "rb"]
+    part = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(kernel, schema)
+    best = part.groupBy("qid", "iid").agg(F.max("score").alias("score"))
+    w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("iid").asc())
+    return (best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+            .select(F.col("qid").alias(id_col), "rank", F.col("iid").alias("nbr_id"), "score"))

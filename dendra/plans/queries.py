@@ -13,6 +13,7 @@ from dendra.operators import density, ingest, knn, layout, metrics, predict, vot
 from dendra.operators.ordering import consecutive_index
 from dendra.sources import tables as SRC
 from dendra.plans import reports as RP
+from dendra.plans import sweep as SW
 
 # Parameters of the registered queries (the reference's defaults where it
 # has one: top-k 5, min_cluster_size 3 with min_samples = min_cluster_size).
@@ -527,6 +528,29 @@ def q_approximate_predict(spark, sf_dir):
                     F.coalesce("confidence", F.lit(0.0)).alias("confidence")))
 
 
+def q_sweep_ranked(spark, sf_dir):
+    """Density-clustering sweep of the raw embeddings over the reference's
+    min_cluster_size x method grid, scored against the labels and ranked."""
+    e = _emb(spark, sf_dir)
+    grid = SW.param_grid(spark, dims=[None], neighbors=[None], min_dists=[None])
+    res = SW.run_sweep(e, e.select(F.col("vec_id").alias("id"), F.col("label").alias("truth")),
+                       grid, id_col="vec_id", vec="embedding", reduce=False)
+    return SW.rank_sweep(res)
+
+
+def q_knn_lsh_recall(spark, sf_dir):
+    """Recall of the LSH 5-NN graph against the exact one, over all embeddings."""
+    e = _emb(spark, sf_dir)
+    exact = knn.self_top_k(e, TOP_K, id_col="vec_id", vec="embedding", metric="cosine")
+    approx = knn.lsh_top_k(e, TOP_K, id_col="vec_id", vec="embedding")
+    hit = exact.join(approx.select("vec_id", "nbr_id"), ["vec_id", "nbr_id"], "left_semi")
+    return metrics._attach(
+        exact.agg(F.count(F.lit(1)).cast("long").alias("exact_pairs")),
+        hit.agg(F.count(F.lit(1)).cast("long").alias("found_pairs"))).select(
+        "exact_pairs", "found_pairs",
+        F.round(F.col("found_pairs") / F.col("exact_pairs"), 4).alias("recall"))
+
+
 def cut_lineage_df(df):
     from dendra.session import cut_lineage
     return cut_lineage(df)
@@ -582,4 +606,6 @@ QUERIES = {
     "plot_points_2d": q_plot_points_2d,
     "project_new_points": q_project_new_points,
     "approximate_predict": q_approximate_predict,
+    "sweep_ranked": q_sweep_ranked,
+    "knn_lsh_recall": q_knn_lsh_recall,
 }
