@@ -357,3 +357,6 @@ SELECT count(*)::BIGINT AS n_vectors, min(len(embedding))::BIGINT AS min_dim, ma
     "dense_sparse_join": f"""WITH {_tfidf_sql('documents', 'doc_id', 'c')}
 SELECT doc_id, 64::BIGINT AS dim, count(*)::BIGINT AS nnz, 0::BIGINT AS n_missing FROM cw GROUP BY doc_id""",
 })
+
+ORACLES["stream_first_seen"] = f"""WITH {_HITS}
+SELECT DISTINCT pmid FROM valid"""

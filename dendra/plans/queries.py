@@ -551,6 +551,15 @@ def q_knn_lsh_recall(spark, sf_dir):
         F.round(F.col("found_pairs") / F.col("exact_pairs"), 4).alias("recall"))
 
 
+def q_stream_first_seen(spark, sf_dir):
+    """Streaming first-seen dedup of page hits (one row per distinct ID)."""
+    from dendra.streaming import dedup
+    schema = read_table(spark, sf_dir, "pages").schema
+    out = dedup.first_seen_stream(spark, SRC.table_glob(sf_dir, "pages"), schema, SRC.pages_as_hits,
+                                  id_pattern=SRC.PAGES_ID_PATTERN, sources=None)
+    return out.select("pmid")
+
+
 def cut_lineage_df(df):
     from dendra.session import cut_lineage
     return cut_lineage(df)
@@ -608,4 +617,5 @@ QUERIES = {
     "approximate_predict": q_approximate_predict,
     "sweep_ranked": q_sweep_ranked,
     "knn_lsh_recall": q_knn_lsh_recall,
+    "stream_first_seen": q_stream_first_seen,
 }

@@ -16,6 +16,11 @@ from dendra import schemas
 PAGES_ID_PATTERN = r"/[a-z]{2}/(\d+)"
 
 
+def table_glob(sf_dir: str, name: str) -> str:
+    """Path pattern a file stream can watch for one driver table."""
+    return f"{sf_dir.rstrip('/')}/{name}*.parquet"
+
+
 # ----------------------------------------------------------------- JSON inputs
 
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
