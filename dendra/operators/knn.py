@@ -32,6 +32,28 @@ def _blocks(df: DataFrame, n: int | None, block_rows: int) -> int:
     return max(1, math.ceil(n / block_rows))
 
 
+MIN_BLOCK_ROWS = 256
+
+
+def plan_blocks(spark, n_left: int, n_right: int, block_rows: int = DEFAULT_BLOCK_ROWS):
+    """Block counts (B_left, B_right): blocks of at most ``block_rows`` rows,
+    then split further (down to ``MIN_BLOCK_ROWS``) until there are at least
+    two block pairs per core, so small inputs still use the whole cluster."""
+    bl = max(1, math.ceil(n_left / block_rows))
+    br = max(1, math.ceil(n_right / block_rows))
+    target = 2 * max(1, spark.sparkContext.defaultParallelism)
+    while bl * br < target:
+        can_l = n_left / (bl + 1) >= MIN_BLOCK_ROWS
+        can_r = n_right / (br + 1) >= MIN_BLOCK_ROWS
+        if can_r and (n_right / br >= n_left / bl or not can_l):
+            br += 1
+        elif can_l:
+            bl += 1
+        else:
+            break
+    return bl, br
+
+
 def block_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
                 b_left: int, b_right: int):
     """Cogroup every left block with every right block.
@@ -99,8 +121,9 @@ def top_k(queries: DataFrame, index: DataFrame, k: int, *,
         q_cols.append(F.col(exclude).alias("qx"))
     has_x = self_join or exclude is not None
 
-    bq = _blocks(queries, n_queries, block_rows)
-    bi = _blocks(index, n_index, block_rows)
+    nq = n_queries if n_queries is not None else queries.count()
+    ni = n_index if n_index is not None else index.count()
+    bq, bi = plan_blocks(queries.sparkSession, nq, ni, block_rows)
     pairs = block_pairs(queries.select(*q_cols), index.select(*i_cols), "qid", "iid", bq, bi)
 
     qid_t = _spark_type(queries, q_id)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dendra.functions import vectors as V
-from dendra.operators.knn import DEFAULT_BLOCK_ROWS, block_pairs
+from dendra.operators.knn import DEFAULT_BLOCK_ROWS, block_pairs, plan_blocks
 
 # Sweep sentinels when a metric is undefined.
 SWEEP_SIL_UNDEFINED = 0.0
@@ -77,7 +77,7 @@ def silhouette_samples(points: DataFrame, *, id_col: str, vec: str, cluster: str
     p = points.select(F.col(id_col).alias("pid"), V.as_double(vec).alias("v"),
                       F.col(cluster).cast("long").alias("c"))
     n = n_rows if n_rows is not None else p.count()
-    b = max(1, math.ceil(n / block_rows))
+    b, b2 = plan_blocks(points.sparkSession, n, n, block_rows)
     pid_t = points.schema[id_col].dataType
     schema = T.StructType([T.StructField("pid", pid_t), T.StructField("own", T.LongType()),
                            T.StructField("oc", T.LongType()), T.StructField("dsum", T.DoubleType())])
@@ -98,7 +98,7 @@ def silhouette_samples(points: DataFrame, *, id_col: str, vec: str, cluster: str
             "oc": np.tile(cs, len(lp)),
             "dsum": sums.ravel()})
 
-    sums = (block_pairs(p, p, "pid", "pid", b, b).applyInPandas(kernel, schema)
+    sums = (block_pairs(p, p, "pid", "pid", b, b2).applyInPandas(kernel, schema)
             .groupBy("pid", "own", "oc").agg(F.sum("dsum").alias("dsum")))
     sizes = p.groupBy(F.col("c").alias("oc")).agg(F.count(F.lit(1)).alias("sz"))
     means = (sums.join(sizes, "oc")
