@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,13 +60,14 @@ def idf_column() -> F.Column:
 
 def tfidf(tc: DataFrame, dfreq: DataFrame) -> DataFrame:
     """L2-normalised TF-IDF weight per (doc_id, term); terms without a
-    document frequency (out of the corpus vocabulary) are dropped."""
+    document frequency (out of the corpus vocabulary) are dropped.  The
+    document norm is a window over the document's terms (one shuffle by
+    doc_id, no second pass over the term counts)."""
     w = (tc.join(dfreq, "term")
          .withColumn("raw", F.col("tf") * idf_column()))
-    norm = w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("nrm"))
-    return (w.join(norm, "doc_id")
-            .select("doc_id", "term", term_id("term").alias("term_id"),
-                    (F.col("raw") / F.col("nrm")).alias("weight")))
+    nrm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("doc_id")))
+    return w.select("doc_id", "term", term_id("term").alias("term_id"),
+                    (F.col("raw") / nrm).alias("weight"))
 
 
 def sparse_vectors(weights: DataFrame) -> DataFrame:
@@ -77,7 +79,9 @@ def sparse_vectors(weights: DataFrame) -> DataFrame:
 
 def corpus_tfidf(docs: DataFrame, id_col: str, text_col: str):
     """TF-IDF weights of a corpus and its document-frequency table."""
-    tc = term_counts(docs, id_col, text_col)
+    # term counts feed both the document frequencies and the weights:
+    # tokenise the whole texts once
+    tc = term_counts(docs, id_col, text_col).persist(StorageLevel.MEMORY_AND_DISK)
     dfreq = document_frequency(tc)
     return tfidf(tc, dfreq), dfreq
 

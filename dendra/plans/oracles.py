@@ -360,3 +360,32 @@ SELECT doc_id, 64::BIGINT AS dim, count(*)::BIGINT AS nnz, 0::BIGINT AS n_missin
 
 ORACLES["stream_first_seen"] = f"""WITH {_HITS}
 SELECT DISTINCT pmid FROM valid"""
+
+ORACLES.update({
+    "search_report": f"""WITH {_tfidf_sql('documents', 'doc_id', 'c')},
+{_tfidf_sql('benchmark', 'item_id', 'q', df_from='c')},
+s AS (SELECT q.doc_id AS item_id, d.doc_id, sum(q.weight * d.weight) AS s FROM qw q JOIN cw d USING (term) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(s, 9) DESC, doc_id) AS rk FROM s)
+SELECT item_id, rk::BIGINT AS n, r.doc_id, printf('%.4f', round(s, 9)) AS score,
+       upper(coalesce(documents.lang, '?')) AS category, left(documents.text, 60) AS title
+FROM r JOIN documents ON r.doc_id = documents.doc_id WHERE rk <= 5""",
+    "related_vote": f"""WITH req AS (
+  SELECT 'doc:' || doc_id::VARCHAR AS req_id, doc_id::VARCHAR AS input FROM labels
+  UNION ALL SELECT 'text:' || item_id::VARCHAR, text FROM benchmark),
+res AS (SELECT req.req_id, coalesce(d.text, req.input) AS text, d.doc_id AS exclude_id
+        FROM req LEFT JOIN documents d ON req.input = d.doc_id::VARCHAR),
+{_tfidf_sql('documents', 'doc_id', 'c')},
+{_tfidf_sql('res', 'req_id', 'q', df_from='c')},
+s AS (SELECT q.doc_id AS req_id, d.doc_id, sum(q.weight * d.weight) AS s FROM qw q JOIN cw d USING (term)
+      JOIN res ON res.req_id = q.doc_id WHERE res.exclude_id IS NULL OR d.doc_id <> res.exclude_id GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY round(s, 9) DESC, doc_id) AS rk FROM s),
+nn AS (SELECT req_id, doc_id, rk FROM r WHERE rk <= 5),
+v AS (SELECT nn.req_id, documents.lang AS c, count(*) AS n, min(rk) AS first_rk
+      FROM nn JOIN documents USING (doc_id) WHERE documents.lang <> '-1' GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY n DESC, first_rk) AS pos FROM v),
+agg AS (SELECT req_id, max(CASE WHEN pos = 1 THEN c END) AS predicted, max(CASE WHEN pos = 1 THEN n END) AS n_votes,
+               sum(n) AS total_votes FROM o GROUP BY req_id)
+SELECT res.req_id, coalesce(agg.predicted, '-1') AS predicted, coalesce(agg.n_votes, 0)::BIGINT AS n_votes,
+       coalesce(agg.total_votes, 0)::BIGINT AS total_votes
+FROM res LEFT JOIN agg ON res.req_id = agg.req_id""",
+})

@@ -560,6 +560,59 @@ def q_stream_first_seen(spark, sf_dir):
     return out.select("pmid")
 
 
+def q_search_report(spark, sf_dir):
+    """Search results as the reference prints them: numbered, score with 4
+    decimals, upper-case category, title cut to 60 characters."""
+    docs, qs = _search_inputs(spark, sf_dir)
+    nn = knn.top_k(qs, docs, TOP_K, q_id="item_id", i_id="doc_id", q_vec=None, i_vec=None,
+                   q_terms="terms", q_weights="weights", i_terms="terms", i_weights="weights",
+                   metric="dot", round_digits=9, out_id="doc_id")
+    d = _docs(spark, sf_dir).select("doc_id", "lang", "text")
+    return (nn.join(d, "doc_id")
+            .select("item_id", F.col("rank").cast("long").alias("n"), "doc_id",
+                    TX.fmt4(F.round("score", 9)).alias("score"),
+                    F.upper(TX.default_str("lang")).alias("category"),
+                    TX.truncate("text", 60).alias("title")))
+
+
+def _requests(spark, sf_dir):
+    """Requests: every labelled document by id, and every benchmark text."""
+    lab = read_table(spark, sf_dir, "labels").select(
+        F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("req_id"),
+        F.col("doc_id").cast("string").alias("input"))
+    bench = read_table(spark, sf_dir, "benchmark").select(
+        F.concat(F.lit("text:"), F.col("item_id").cast("string")).alias("req_id"),
+        F.col("text").alias("input"))
+    return lab.unionByName(bench)
+
+
+def q_related_vote(spark, sf_dir):
+    """Related documents for each request (a known document id: its text,
+    itself excluded; otherwise the text as given), top-5 by TF-IDF cosine,
+    and the majority vote of the neighbours' languages."""
+    w, dfreq = _doc_weights(spark, sf_dir)
+    docs = FE.sparse_vectors(w)
+    d = _docs(spark, sf_dir).select("doc_id", "text", "lang")
+    req = _requests(spark, sf_dir)
+    req = consecutive_index(req, ["req_id"], out="qid")
+    resolved = (req.join(d.select(F.col("doc_id").cast("string").alias("input"),
+                                  F.col("doc_id").alias("exclude_id"), F.col("text").alias("doc_text")),
+                         "input", "left")
+                .select("qid", "req_id", F.coalesce("doc_text", "input").alias("text"), "exclude_id"))
+    qw = FE.query_tfidf(resolved, "qid", "text", dfreq)
+    qs = (FE.sparse_vectors(qw).withColumnRenamed("doc_id", "qid")
+          .join(resolved.select("qid", "exclude_id"), "qid"))
+    nn = knn.top_k(qs, docs, TOP_K, q_id="qid", i_id="doc_id", q_vec=None, i_vec=None,
+                   q_terms="terms", q_weights="weights", i_terms="terms", i_weights="weights",
+                   metric="dot", exclude="exclude_id", round_digits=9, out_id="doc_id")
+    v = vote.majority_vote(nn, d.select("doc_id", F.col("lang").alias("cluster")),
+                           q_id="qid", nbr_id="doc_id", a_id="doc_id", a_cluster="cluster",
+                           queries=resolved.select("qid"))
+    return (resolved.select("qid", "req_id").join(v, "qid")
+            .select("req_id", F.col("predicted").cast("string").alias("predicted"),
+                    "n_votes", "total_votes"))
+
+
 def cut_lineage_df(df):
     from dendra.session import cut_lineage
     return cut_lineage(df)
@@ -618,4 +671,6 @@ QUERIES = {
     "sweep_ranked": q_sweep_ranked,
     "knn_lsh_recall": q_knn_lsh_recall,
     "stream_first_seen": q_stream_first_seen,
+    "search_report": q_search_report,
+    "related_vote": q_related_vote,
 }
