@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +33,8 @@ def build_session(master: str | None = None, app: str = "dendra",
           .config("spark.sql.adaptive.skewJoin.enabled", "true")
           .config("spark.sql.session.timeZone", "UTC")
           .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-          .config("spark.sql.execution.arrow.maxRecordsPerBatch", "4096"))
+          .config("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+          .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true"))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -79,11 +81,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (written to the shared checkpoint dir), used by the
-    iterative operators so each round's plan stays short and a lost executor
-    recomputes from the last written round, not from the start."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as a parquet table in the shared checkpoint folder
+    and read it back.
+
+    Used by every iterative operator, so each round's plan stays short and a
+    lost executor recomputes from the last written round.  A written table
+    (rather than ``Dataset.checkpoint``) also gives the optimizer true file
+    statistics: checkpointed plans carry their parent's size estimates, which
+    compound across rounds of joins."""
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark)
+    path = f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def table_path(sf_dir: str, name: str) -> str:
