@@ -101,5 +101,13 @@ def table_path(sf_dir: str, name: str) -> str:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Read one table.  A scan that yields fewer partitions than the cluster
+    has cores (e.g. a single-row-group file) is spread round-robin so per-row
+    work (tokenising whole texts, regex over html) uses every core; inputs
+    that already arrive in many splits are left as they are."""
     ship_package(spark)
-    return spark.read.parquet(table_path(sf_dir, name))
+    df = spark.read.parquet(table_path(sf_dir, name))
+    par = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        df = df.repartition(par)
+    return df
