@@ -80,9 +80,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Materialise ``df`` as a parquet table in the shared checkpoint folder
-    and read it back.
+    and read it back (optionally partitioned, so later filters on that column
+    prune files).
 
     Used by every iterative operator, so each round's plan stays short and a
     lost executor recomputes from the last written round.  A written table
@@ -92,7 +93,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark)
     path = f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(partition_by)
+    w.parquet(path)
     return spark.read.parquet(path)
 
 
