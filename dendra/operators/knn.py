@@ -26,12 +26,6 @@ from dendra.functions import vectors as V
 DEFAULT_BLOCK_ROWS = 2048
 
 
-def _blocks(df: DataFrame, n: int | None, block_rows: int) -> int:
-    if n is None:
-        n = df.count()
-    return max(1, math.ceil(n / block_rows))
-
-
 MIN_BLOCK_ROWS = 256
 
 

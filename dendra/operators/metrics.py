@@ -62,10 +62,6 @@ def adjusted_rand(df: DataFrame, truth: str, pred: str) -> DataFrame:
     return pair_counts(df, truth, pred).select(ari_column().alias("ari"))
 
 
-def _cluster_sizes(points: DataFrame, cluster: str) -> DataFrame:
-    return points.groupBy(cluster).agg(F.count(F.lit(1)).alias("_size"))
-
-
 def silhouette_samples(points: DataFrame, *, id_col: str, vec: str, cluster: str,
                        block_rows: int = DEFAULT_BLOCK_ROWS,
                        n_rows: int | None = None) -> DataFrame:

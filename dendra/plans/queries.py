@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dendra.session import read_table
+from dendra.session import cut_lineage, read_table
 from dendra.functions import text as TX
 from dendra.operators import features as FE
 from dendra.operators import density, ingest, knn, layout, metrics, predict, vote
@@ -478,7 +478,7 @@ def q_umap_layout(spark, sf_dir):
 
 def q_plot_points_2d(spark, sf_dir):
     """2-d layout clustered by density, as a plotting table with labels."""
-    pos = cut_lineage_df(_layout(spark, sf_dir, 2, VIZ_MIN_DIST))
+    pos = cut_lineage(_layout(spark, sf_dir, 2, VIZ_MIN_DIST))
     r = density.hdbscan(pos, id_col="id", vec="coords", min_cluster_size=MIN_CLUSTER_SIZE)
     e = _emb(spark, sf_dir).select(F.col("vec_id").alias("id"), "label")
     assign = r["assignments"].join(e, "id")
@@ -613,11 +613,6 @@ def q_related_vote(spark, sf_dir):
                     "n_votes", "total_votes"))
 
 
-def cut_lineage_df(df):
-    from dendra.session import cut_lineage
-    return cut_lineage(df)
-
-
 QUERIES = {
     "knn_top5": q_knn_top5,
     "knn_filtered": q_knn_filtered,
