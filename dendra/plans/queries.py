@@ -613,6 +613,22 @@ def q_related_vote(spark, sf_dir):
                     "n_votes", "total_votes"))
 
 
+def q_cluster_corpus(spark, sf_dir):
+    """The reference's main run on the documents: dense embedding ->
+    40-d neighbour-graph layout (5 neighbours, min_dist 0.0, cosine, seed 42)
+    -> density clusters (min_cluster_size 3, EOM, Euclidean) -> the six run
+    metrics against the document language."""
+    w, _ = _doc_weights(spark, sf_dir)
+    de = cut_lineage(FE.dense_embed(FE.sparse_vectors(w), FE.DENSE_DIM))
+    g = layout.fuzzy_graph(de, UMAP_NEIGHBORS, id_col="doc_id", vec="embedding")
+    pos = cut_lineage(layout.layout(de, g, n_components=UMAP_COMPONENTS, min_dist=UMAP_MIN_DIST,
+                                    seed=SEED, n_epochs=EPOCHS, id_col="doc_id", vec="embedding"))
+    r = density.hdbscan(pos, id_col="id", vec="coords", min_cluster_size=MIN_CLUSTER_SIZE)
+    d = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "lang")
+    a = r["assignments"].join(d, "id")
+    return metrics.run_metrics(a, pos, id_col="id", truth="lang", vec="coords")
+
+
 QUERIES = {
     "knn_top5": q_knn_top5,
     "knn_filtered": q_knn_filtered,
@@ -668,4 +684,5 @@ QUERIES = {
     "stream_first_seen": q_stream_first_seen,
     "search_report": q_search_report,
     "related_vote": q_related_vote,
+    "cluster_corpus": q_cluster_corpus,
 }
