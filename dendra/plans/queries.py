@@ -344,12 +344,22 @@ def q_hdbscan_epsilon(spark, sf_dir):
                                    F.round("confidence", 4).alias("confidence"))
 
 
+def _mst(spark, sf_dir):
+    """MST of the mutual-reachability graph of all embeddings (Euclidean,
+    min_samples 3); one kNN pass gives core distances and candidate edges."""
+    e = _emb(spark, sf_dir)
+    nn = cut_lineage(density.knn_distances(e, max(MIN_SAMPLES, 15), id_col="vec_id",
+                                           vec="embedding"))
+    core = nn.filter(F.col("rank") == MIN_SAMPLES).select(F.col("i").alias("id"),
+                                                          F.col("d").alias("core"))
+    return e, density.mst_boruvka(e, core, id_col="vec_id", vec="embedding",
+                                  candidates=nn.select("i", "j", "d"))
+
+
 def q_mst_weight(spark, sf_dir):
     """Total weight and edge count of the mutual-reachability MST (Euclidean,
     min_samples 3) of all embeddings."""
-    e = _emb(spark, sf_dir)
-    core = density.core_distances(e, MIN_SAMPLES, id_col="vec_id", vec="embedding")
-    mst = density.mst_boruvka(e, core, id_col="vec_id", vec="embedding")
+    _, mst = _mst(spark, sf_dir)
     return mst.agg(F.round(F.sum("w"), 6).alias("mst_weight"),
                    F.count(F.lit(1)).cast("long").alias("n_edges"))
 
@@ -357,9 +367,7 @@ def q_mst_weight(spark, sf_dir):
 def q_density_components(spark, sf_dir):
     """Connected components of the mutual-reachability graph below a cut
     (= MST edges under the cut), labelled by their smallest id."""
-    e = _emb(spark, sf_dir)
-    core = density.core_distances(e, MIN_SAMPLES, id_col="vec_id", vec="embedding")
-    mst = density.mst_boruvka(e, core, id_col="vec_id", vec="embedding")
+    e, mst = _mst(spark, sf_dir)
     return density.components_below(mst, e.select(F.col("vec_id").alias("id")), CUT).select(
         F.col("id").alias("vec_id"), "component")
 
