@@ -346,14 +346,11 @@ def q_hdbscan_epsilon(spark, sf_dir):
 
 def _mst(spark, sf_dir):
     """MST of the mutual-reachability graph of all embeddings (Euclidean,
-    min_samples 3); one kNN pass gives core distances and candidate edges."""
+    min_samples 3); one kNN pass gives core distances (and, for large inputs,
+    candidate edges)."""
     e = _emb(spark, sf_dir)
-    nn = cut_lineage(density.knn_distances(e, max(MIN_SAMPLES, 15), id_col="vec_id",
-                                           vec="embedding"))
-    core = nn.filter(F.col("rank") == MIN_SAMPLES).select(F.col("i").alias("id"),
-                                                          F.col("d").alias("core"))
-    return e, density.mst_boruvka(e, core, id_col="vec_id", vec="embedding",
-                                  candidates=nn.select("i", "j", "d"))
+    _, mst = density.core_and_mst(e, MIN_SAMPLES, e.count(), id_col="vec_id", vec="embedding")
+    return e, mst
 
 
 def q_mst_weight(spark, sf_dir):
