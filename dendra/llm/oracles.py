@@ -86,3 +86,26 @@ SELECT doc_id, item_id, ((max(m * 1000 + 999 - c)) // 1000)::BIGINT AS n_matched
        (999 - max(m * 1000 + 999 - c) % 1000)::BIGINT AS n_compared, max(overlap) AS overlap
 FROM scored WHERE overlap >= 0.75 GROUP BY doc_id, item_id
 """
+
+ORACLES["op3_jaccard"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[p + 1 : p + least(5, len(ws))], ' ') AS g
+  FROM (SELECT *, unnest(range(greatest(len(ws) - 4, 1))) AS p FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+  JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, na.n, nb.n
+  HAVING 100 * count(*) >= 75 * (na.n + nb.n - count(*))),
+reach(a, b) AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles,
+       least(d.doc_id, coalesce(m.lo, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id)
+LEFT JOIN (SELECT a AS doc_id, min(b) AS lo FROM reach GROUP BY a) m USING (doc_id)
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dendra.llm import ann, common, decontam, langid, mixing, secrets, tokens
+from dendra.llm import ann, common, decontam, jaccard, langid, mixing, secrets, tokens
 
 
 def op1_mix(spark, sf_dir):
@@ -16,6 +16,11 @@ def op2_decontaminate(spark, sf_dir):
                                        common.read(spark, sf_dir, "benchmark"))
 
 
+def op3_jaccard(spark, sf_dir):
+    """Near-duplicate component of every document."""
+    return jaccard.jaccard_components(common.read(spark, sf_dir, "documents"))
+
+
 def op6_secrets(spark, sf_dir):
     """Secret spans of every document."""
     return secrets.secret_spans(common.read(spark, sf_dir, "documents"))
@@ -40,4 +45,4 @@ def op10_language(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_mix, op2_decontaminate, op6_secrets, op8_token_counts, op9_nearest, op10_language)}
+    op1_mix, op2_decontaminate, op3_jaccard, op6_secrets, op8_token_counts, op9_nearest, op10_language)}
