@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dendra.llm import ann, common, decontam, jaccard, langid, mixing, secrets, tokens
+from dendra.llm import ann, common, decontam, jaccard, langid, mixing, secrets, substrings, tokens
 
 
 def op1_mix(spark, sf_dir):
@@ -26,6 +26,11 @@ def op6_secrets(spark, sf_dir):
     return secrets.secret_spans(common.read(spark, sf_dir, "documents"))
 
 
+def op7_repeated_substrings(spark, sf_dir):
+    """Bytes of every document left after removing repeated 400-byte strings."""
+    return substrings.remove_repeats(common.read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op8_token_counts(spark, sf_dir, tokenizer_path=None):
     """Token counts of every document with a public byte-level vocabulary."""
     if tokenizer_path is None:
@@ -45,4 +50,4 @@ def op10_language(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_mix, op2_decontaminate, op3_jaccard, op6_secrets, op8_token_counts, op9_nearest, op10_language)}
+    op1_mix, op2_decontaminate, op3_jaccard, op6_secrets, op7_repeated_substrings, op8_token_counts, op9_nearest, op10_language)}
