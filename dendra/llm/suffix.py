@@ -1,9 +1,10 @@
 """Suffix arrays by induced sorting, and permuted common prefixes.
 
 The bytes of a shard are sorted by induced sorting: suffixes are classified,
-the leftmost-smaller (LMS) substrings are sorted by one induction and named,
-the string of names is sorted recursively, and a second induction orders all
-suffixes.  On the byte alphabet an induction moves whole buckets at a time.
+the leftmost-smaller (LMS) substrings are sorted and named, the string of names is
+sorted recursively, and one induction orders all suffixes from the order of
+the LMS suffixes.  On the byte alphabet the induction moves whole buckets at a
+time; on the larger alphabets of names it splits groups of equal beginnings.
 """
 
 from __future__ import annotations
@@ -77,53 +78,50 @@ def _induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray
     return np.concatenate(order)[::-1]
 
 
-def _induce_small(t: list[int], s: list[bool], lms: list[int], k: int) -> list[int]:
-    """The same induction, suffix by suffix, for large alphabets."""
-    n = len(t)
-    ends = [0] * k
-    for c in t:
-        ends[c] += 1
-    total, starts = 0, [0] * k
-    for c in range(k):
-        starts[c] = total
-        total += ends[c]
-        ends[c] = total
-    sa = [-1] * n
-    tail = ends[:]
-    for i in reversed(lms):
-        c = t[i]
-        tail[c] -= 1
-        sa[tail[c]] = i
-    head = starts
-    for x in range(n):
-        j = sa[x] - 1
-        if j >= 0 and not s[j]:
-            c = t[j]
-            sa[head[c]] = j
-            head[c] += 1
-    tail = ends
-    for x in range(n - 1, -1, -1):
-        j = sa[x] - 1
-        if j >= 0 and s[j]:
-            c = t[j]
-            tail[c] -= 1
-            sa[tail[c]] = j
-    return sa
-
-
-def _same_as_previous(t: np.ndarray, a: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Per sorted LMS substring (start ``a``, length ``size``): equal to the one
-    before it?"""
-    same = np.zeros(len(a), bool)
-    act = np.flatnonzero(size[1:] == size[:-1]) + 1
+def _refine(items: np.ndarray, key_at, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sort ``items`` by their key sequences ``key_at(items, offset)`` of
+    ``length`` keys each: groups that agree so far are split by the next key.
+    Returns (order, group of each ordered item); groups are numbered by the
+    place of their first member."""
+    order = items.copy()
+    size = length.copy()
+    group = np.zeros(len(items), np.int64)
+    act = np.arange(len(items))                    # places still undecided
     off = 0
     while len(act):
-        done = size[act] <= off
-        same[act[done]] = True
-        act = act[~done]
-        act = act[t[a[act] + off] == t[a[act - 1] + off]]
+        key = key_at(order[act], off)
+        both = group[act] * (int(key.max()) + 1) + key
+        o = np.argsort(both, kind="stable")
+        order[act], size[act], both = order[act][o], size[act][o], both[o]
+        new = np.ones(len(act), bool)
+        new[1:] = both[1:] != both[:-1]
+        group[act] = act[np.maximum.accumulate(np.where(new, np.arange(len(act)), 0))]
         off += 1
-    return same
+        alone = new & np.append(new[1:], True)
+        act = act[~alone & (size[act] > off)]
+    return order, group
+
+
+def _segments(t: np.ndarray, s: np.ndarray, lms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(symbol and type as one key, distance to the next LMS position) per
+    position; the last position has distance 0."""
+    n = len(t)
+    nxt = np.searchsorted(lms, np.arange(n), side="right")
+    return 2 * t + s, np.append(lms, n - 1)[nxt] - np.arange(n)
+
+
+def _induce_large(t: np.ndarray, s: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The same induction for large alphabets: every suffix is placed by its
+    symbols up to the next LMS position and then by that suffix's rank."""
+    pair, dist = _segments(t, s, lms)
+    rank = np.zeros(len(t), np.int64)
+    rank[order] = np.arange(len(order))
+
+    def key_at(i, off):
+        d = dist[i]
+        return np.where(off > d, rank[i + d], pair[i + np.minimum(off, d)])
+
+    return _refine(np.arange(len(t)), key_at, dist + 2)[0]
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
@@ -137,28 +135,14 @@ def _sort(t: np.ndarray, k: int, bytes_like: bool) -> np.ndarray:
     if n == 1:
         return np.zeros(1, np.int64)
     s, lms = _classify(t)
-
-    def induce(order: np.ndarray) -> np.ndarray:
-        if bytes_like:
-            return _induce(t, s, order, k)
-        return np.asarray(_induce_small(tl, sl, order.tolist(), k))
-
-    if not bytes_like:
-        tl, sl = t.tolist(), s.tolist()
-    by_symbol = lms[np.argsort(t[lms], kind="stable")]
-    sa = induce(by_symbol)
-    is_lms = np.zeros(n, bool)
-    is_lms[lms] = True
-    a = sa[is_lms[sa]]
-    size = np.empty(n, np.int64)
-    size[lms] = np.append(np.diff(lms) + 1, 1)
-    name = np.cumsum(~_same_as_previous(t, a, size[a])) - 1
+    pair, dist = _segments(t, s, lms)
+    a, group = _refine(lms, lambda i, off: pair[i + off], dist[lms] + 1)
+    name = np.cumsum(np.append(True, group[1:] != group[:-1])) - 1
     if name[-1] + 1 < len(lms):
         number = np.empty(n, np.int64)
         number[a] = name
-        sub = _sort(number[lms], int(name[-1]) + 1, bytes_like=False)
-        a = lms[sub]
-    return induce(a)
+        a = lms[_sort(number[lms], int(name[-1]) + 1, bytes_like=False)]
+    return _induce(t, s, a, k) if bytes_like else _induce_large(t, s, lms, a)
 
 
 def permuted_lcp(t: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
