@@ -34,8 +34,9 @@ PERCENT = 75
 HEAVY_COUNT, HEAVY_WINDOW, HEAVY_MAX = 8, 1 << 22, 200_000
 # Prefix elements per shuffle partition, and ways a heavy element is split.
 PREFIX_ROWS, HEAVY_SPLIT = 1_500_000, 64
-# Rounds that link classes to one pivot per shared element before the rest.
-PIVOT_ROUNDS = 2
+# Rounds that test classes against a few pivots before the rest, and the
+# pivots per class and round.  Only the work depends on them, never the result.
+PIVOT_ROUNDS, PIVOTS = 2, 3
 
 _ODD = [int(x) | 1 for x in np.random.default_rng(5).integers(1, 2**63, 2 * SHINGLE)]
 _HEAVY_BIT = np.uint64(1 << 63)
@@ -166,11 +167,13 @@ def _ordered(s: np.ndarray, heavy: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
-    """(gram, cls) of the prefix elements, once per class and task."""
+    """(gram, cls, place in the set) of the prefix elements, once per class and
+    task."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for b in batches:
             grams, cls = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            pos = [np.empty(0, np.int32)]
             for t in b.column("text").to_pylist():
                 s = shingle_set(t)
                 c = class_of(s)
@@ -180,42 +183,43 @@ def _prefixes(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
                 p = _ordered(s, heavy)[:prefix_length(len(s))]
                 grams.append(p)
                 cls.append(np.full(len(p), c, np.int64))
+                pos.append(np.arange(len(p), dtype=np.int32))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(cls))],
-                ["gram", "cls"])
+                [pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(cls)),
+                 pa.array(np.concatenate(pos))], ["gram", "cls", "pos"])
 
-    return docs.mapInArrow(scan, "gram long, cls long")
+    return docs.mapInArrow(scan, "gram long, cls long, pos int")
 
 
 def _shared(prefixes: DataFrame, partitions: int) -> DataFrame:
     """The distinct prefix rows whose element is in several classes.  Heavy
     elements (negative as signed) are dealt ``HEAVY_SPLIT`` ways and all kept."""
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column("gram").to_numpy(zero_copy_only=False),
-                b.column("cls").to_numpy(zero_copy_only=False)) for b in batches]
+        got = [[b.column(x).to_numpy(zero_copy_only=False) for x in ("gram", "cls", "pos")]
+               for b in batches]
         if not got:
             return
-        g, c = (np.concatenate(x) for x in zip(*got))
+        g, c, p = (np.concatenate(x) for x in zip(*got))
         del got
         o = np.lexsort((c, g))
-        g, c = g[o], c[o]
+        g, c, p = g[o], c[o], p[o]
         first = np.ones(len(g), bool)
         first[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
-        g, c = g[first], c[first]
+        g, c, p = g[first], c[first], p[first]
         if not len(g):
             return
         same = np.zeros(len(g), bool)
         same[1:] = g[1:] == g[:-1]
         same[:-1] |= same[1:]
         ok = same | (g < 0)
-        g, c = g[ok], c[ok]
+        g, c, p = g[ok], c[ok], p[ok]
         for i in range(0, len(g), 65536):
-            yield pa.RecordBatch.from_arrays([pa.array(g[i:i + 65536]), pa.array(c[i:i + 65536])],
-                                             ["gram", "cls"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[i:i + 65536]) for x in (g, c, p)],
+                                             ["gram", "cls", "pos"])
 
     way = F.when(F.col("gram") < 0, F.pmod("cls", F.lit(HEAVY_SPLIT))).otherwise(F.lit(0))
     return (prefixes.repartition(partitions, F.xxhash64("gram", way))
-            .mapInArrow(keep, "gram long, cls long"))
+            .mapInArrow(keep, "gram long, cls long, pos int"))
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, heavy: np.ndarray) -> DataFrame:
@@ -257,10 +261,15 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .mapInArrow(check, "a long, b long"))
 
 
+def _overlap(a: str, b: str):
+    """Common elements of a linked pair, at least, from its sizes."""
+    return F.ceil(F.lit(PERCENT) * (F.col(a) + F.col(b)) / (100 + PERCENT))
+
+
 def _needed(a: str, b: str):
     """Common prefix elements that a linked pair must have, from its sizes: its
     overlap is at most these plus what the shorter rest can give."""
-    need = F.ceil(F.lit(PERCENT) * (F.col(a) + F.col(b)) / (100 + PERCENT))
+    need = _overlap(a, b)
     rest = F.greatest(F.ceil(F.col(a) * PERCENT / 100), F.ceil(F.col(b) * PERCENT / 100)) - 1
     return F.greatest(F.lit(1), need - rest)
 
@@ -269,6 +278,44 @@ def _fits(a: str, b: str):
     return ((F.col(a) * 100 >= F.col(b) * PERCENT) & (F.col(b) * 100 >= F.col(a) * PERCENT))
 
 
+def _pivot_pairs(at: DataFrame, first, step: int) -> DataFrame:
+    """(a, b): each class with the ``PIVOTS`` pivots of another component that
+    it shares most elements with.  An element's pivot is the class that comes
+    first by ``first``, then by a hash that differs from step to step."""
+    pivots = (at.groupBy("gram")
+              .agg(F.min(F.struct(first.alias("o"), F.xxhash64("cls", F.lit(step)).alias("h"),
+                                  "cls", "n", "comp")).alias("p"))
+              .select("gram", F.col("p.cls").alias("b"), F.col("p.n").alias("nb"),
+                      F.col("p.comp").alias("cb")))
+    near = (at.join(pivots, "gram").filter((F.col("comp") != F.col("cb")) & _fits("n", "nb"))
+            .groupBy(F.col("cls").alias("a"), "b")
+            .agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("nb").alias("nb")))
+    best = Window.partitionBy("a").orderBy(F.desc("c"), "b")
+    return (near.filter(2 * F.col("c") >= _needed("n", "nb"))
+            .withColumn("r", F.row_number().over(best)).filter(F.col("r") <= PIVOTS)
+            .select("a", "b"))
+
+
+def _all_pairs(at: DataFrame) -> DataFrame:
+    """(a, b): every two classes of different components whose sizes fit and
+    that may link.  They meet at an element that can be their first common one:
+    what is left of either set from there on must hold the whole overlap.  A
+    class with too few elements left in blocks of several components (``k``)
+    meets nobody."""
+    at = at.drop("k").join(at.groupBy("cls").agg(F.count(F.lit(1)).alias("k")), "cls")
+
+    def side(x: str) -> DataFrame:
+        return at.select("gram", F.col("cls").alias(x), F.col("n").alias("n" + x),
+                         F.col("comp").alias("c" + x), F.col("k").alias("k" + x),
+                         (F.col("n") - F.col("pos")).alias("rest" + x))
+
+    x, y = side("a"), side("b")
+    return (x.join(y, (x["gram"] == y["gram"]) & F.expr("a < b AND ca <> cb") & _fits("na", "nb")
+                   & (F.least("resta", "restb") >= _overlap("na", "nb"))
+                   & (F.least("ka", "kb") >= _needed("na", "nb")))
+            .select("a", "b").distinct())
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """One row per document: ``doc_id``, ``n_shingles`` (size of its set) and
     ``component_id`` (smallest doc_id reachable by links, itself included).
@@ -303,7 +350,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
                                  max(partitions_for(spark), -(-int(size) // PREFIX_ROWS)))
                          .join(classes.select("cls", "n"), "cls"))
 
-    links, label = None, None
+    # share of a class's prefix that other classes have too: near 1 for the
+    # middle of a group of copies, so these become the first pivots
+    blocks = blocks.join(blocks.groupBy("cls").agg(F.count(F.lit(1)).alias("k")), "cls")
+    middle = -F.floor(100 * F.col("k") / (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1))
+
+    links, label, sets = None, None, None
     for step in range(PIVOT_ROUNDS + 1):
         at = blocks
         if label is not None:
@@ -315,31 +367,19 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         else:
             at = at.withColumn("comp", F.col("cls"))
         if step < PIVOT_ROUNDS:
-            order = F.xxhash64("cls", F.lit(step))
-            pivots = (at.groupBy("gram").agg(F.min(F.struct(order, "cls", "n", "comp")).alias("p"))
-                      .select("gram", F.col("p.cls").alias("b"), F.col("p.n").alias("nb"),
-                              F.col("p.comp").alias("cb")))
-            near = (at.join(pivots, "gram").filter((F.col("comp") != F.col("cb")) & _fits("n", "nb"))
-                    .groupBy(F.col("cls").alias("a"), "b").agg(
-                        F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("nb").alias("nb")))
-            best = Window.partitionBy("a").orderBy(F.desc("c"), "b")
-            pairs = (near.filter(2 * F.col("c") >= _needed("n", "nb"))
-                     .withColumn("r", F.row_number().over(best)).filter("r = 1").select("a", "b"))
+            pairs = _pivot_pairs(at, middle if step == 0 else F.lit(0), step)
         else:
-            x = at.select("gram", F.col("cls").alias("a"), F.col("n").alias("na"),
-                          F.col("comp").alias("ca"))
-            y = at.select("gram", F.col("cls").alias("b"), F.col("n").alias("nb"),
-                          F.col("comp").alias("cb"))
-            pairs = (x.join(y, "gram").filter("a < b AND ca <> cb").filter(_fits("na", "nb"))
-                     .groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("na").alias("na"),
-                                            F.first("nb").alias("nb"))
-                     .filter(F.col("c") >= _needed("na", "nb")).select("a", "b"))
+            pairs = _all_pairs(at)
         pairs = cut_lineage(pairs)
         if pairs.isEmpty():
             continue
-        wanted = (pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
-                  .distinct().join(classes.select("cls", "doc_id"), "cls"))
-        found = cut_lineage(_verified(pairs, _sets_of(docs, wanted, heavy)))
+        wanted = (pairs.select(F.col("a").alias("cls"))
+                  .unionByName(pairs.select(F.col("b").alias("cls"))).distinct())
+        if sets is not None:
+            wanted = wanted.join(sets.select("cls"), "cls", "left_anti")
+        more = cut_lineage(_sets_of(docs, wanted.join(classes.select("cls", "doc_id"), "cls"), heavy))
+        sets = more if sets is None else sets.unionByName(more)
+        found = cut_lineage(_verified(pairs, sets))
         links = found if links is None else cut_lineage(links.unionByName(found))
         label = components(links)
 
