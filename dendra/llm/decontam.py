@@ -74,7 +74,11 @@ def _item_seeds(items: DataFrame, lengths: list[int]) -> DataFrame:
                       F.least(p, F.lit(REACH)).alias("_ip"))
 
 
-def _bit_table(seeds: DataFrame, n_bits: int) -> Column:
+def filter_bits(rows: int) -> int:
+    return min(MAX_BITS, max(MIN_BITS, 1 << (16 * rows).bit_length()))
+
+
+def bit_table(seeds: DataFrame, n_bits: int) -> Column:
     """A two-probe Bloom filter of the hashes as a constant array of longs;
     at most ``MAX_BITS / 64`` rows come to the driver."""
     at = F.explode(F.array(*[_probe(F.col("_hash"), i, n_bits) for i in range(2)]))
@@ -91,7 +95,8 @@ def _probe(h: Column, i: int, n_bits: int) -> Column:
     return F.shiftrightunsigned(h, 32 * i).bitwiseAND(F.lit(n_bits - 1)).cast("int")
 
 
-def _maybe(h: Column, table: Column, n_bits: int) -> Column:
+def maybe(h: Column, table: Column, n_bits: int) -> Column:
+    """May the hash be among those of the table?"""
     hit = None
     for i in range(2):
         bit = _probe(h, i, n_bits)
@@ -125,8 +130,8 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                      items.filter(F.col("_in") < SPAN).select("_in").distinct().collect())
     seeds = cut_lineage(_item_seeds(items, lengths))
     n_seeds = seeds.count()
-    n_bits = min(MAX_BITS, max(MIN_BITS, 1 << (16 * n_seeds).bit_length()))
-    table = _bit_table(seeds, n_bits)
+    n_bits = filter_bits(n_seeds)
+    table = bit_table(seeds, n_bits)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                     words(F.col("text")).alias("_ws"))
     ws, n, n_masks = F.col("_ws"), F.size("_ws"), len(MASKS)
@@ -136,14 +141,16 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         ps = F.when(n >= span, F.sequence(F.lit(0), n - span)).otherwise(
             F.array().cast("array<int>"))
         return F.transform(
-            F.filter(ps, lambda p: _maybe(h(p), table, n_bits)),
+            F.filter(ps, lambda p: maybe(h(p), table, n_bits)),
             lambda p: F.struct(_around(ws, p).alias("_w"), F.least(p, F.lit(REACH)).alias("_p"),
                                h(p).alias("_hash")))
 
     cand = [found(SPAN, lambda p: _mask_hash(ws, p, p % n_masks))]
     cand += [found(k, lambda p, k=k: _hash_at(ws, p, range(k), 100 + k)) for k in lengths]
-    hits = (d.select("doc_id", F.explode(F.concat(*cand)).alias("_c"))
-            .select("doc_id", "_c.*")
+    # explode_outer: for explode, the optimizer would infer a filter on the
+    # generator's input and so compute the hashes twice
+    hits = (d.select("doc_id", F.explode_outer(F.concat(*cand)).alias("_c"))
+            .filter(F.col("_c").isNotNull()).select("doc_id", "_c.*")
             .join(F.broadcast(seeds) if n_seeds <= BROADCAST_SEEDS else seeds, "_hash"))
 
     # words of item and document along the diagonal of the hit

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dendra.llm import ann, common, decontam, jaccard, langid, mixing, secrets, substrings, tokens
+from dendra.llm import ann, common, decontam, jaccard, langid, licenses, mixing, secrets, substrings, tokens, toxicity
 
 
 def op1_mix(spark, sf_dir):
@@ -21,6 +21,17 @@ def op3_jaccard(spark, sf_dir):
     return jaccard.jaccard_components(common.read(spark, sf_dir, "documents"))
 
 
+def op4_licenses(spark, sf_dir):
+    """License notices found in every document."""
+    return licenses.find_licenses(common.read(spark, sf_dir, "documents"), licenses.templates(spark))
+
+
+def op5_toxicity(spark, sf_dir):
+    """Toxicity score of every document."""
+    return toxicity.toxicity(common.read(spark, sf_dir, "documents"),
+                             common.read(spark, sf_dir, "labels"))
+
+
 def op6_secrets(spark, sf_dir):
     """Secret spans of every document."""
     return secrets.secret_spans(common.read(spark, sf_dir, "documents"))
@@ -50,4 +61,4 @@ def op10_language(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_mix, op2_decontaminate, op3_jaccard, op6_secrets, op7_repeated_substrings, op8_token_counts, op9_nearest, op10_language)}
+    op1_mix, op2_decontaminate, op3_jaccard, op4_licenses, op5_toxicity, op6_secrets, op7_repeated_substrings, op8_token_counts, op9_nearest, op10_language)}
