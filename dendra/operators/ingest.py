@@ -91,29 +91,28 @@ def quota_after_dedup(valid: DataFrame, topics: DataFrame) -> DataFrame:
     return _first_per(quota, ["pmid"], ["topic_no", "query_no", "rank"])
 
 
-def quota_before_dedup(valid: DataFrame, topics: DataFrame,
-                       checkpoint_every: int = 8) -> DataFrame:
+def quota_before_dedup(valid: DataFrame, topics: DataFrame) -> DataFrame:
     """Topics filled in order; an ID accepted by an earlier topic is skipped
     while filling, so a later hit takes its place.
 
     What topic t may take depends on what topics < t accepted, so this runs
     one Spark job per topic (topics are configuration, a short list) with an
-    anti join against the accepted IDs."""
+    anti join against the accepted IDs.  What a topic takes is written before
+    the next one, so the plan stays flat."""
     h = _with_topic_no(valid, topics)
-    per_topic = _first_per(h, ["topic", "pmid"], ["query_no", "rank"]).cache()
+    per_topic = cut_lineage(_first_per(h, ["topic", "pmid"], ["query_no", "rank"]))
     order = [(int(r["topic_id"]), r["name"], int(r["target"]))
              for r in topics.select("topic_id", "name", "target").orderBy("topic_id").collect()]
     accepted = None
     w = Window.partitionBy("topic").orderBy("query_no", "rank")
-    for i, (_, name, target) in enumerate(order):
+    for _, name, target in order:
         cand = per_topic.filter(F.col("topic") == name)
         if accepted is not None:
             cand = cand.join(accepted.select("pmid"), "pmid", "left_anti")
         take = (cand.withColumn("_rn", F.row_number().over(w))
                 .filter(F.col("_rn") <= target).drop("_rn"))
+        take = cut_lineage(take)
         accepted = take if accepted is None else accepted.unionByName(take)
-        if (i + 1) % checkpoint_every == 0:
-            accepted = cut_lineage(accepted)
     if accepted is None:
         return per_topic.limit(0)
     return accepted

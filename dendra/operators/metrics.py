@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dendra.functions import vectors as V
+from dendra.functions.text import HEALTHY_NOISE_PCT
 from dendra.operators.knn import DEFAULT_BLOCK_ROWS, block_pairs, plan_blocks
 
 # Sweep sentinels when a metric is undefined.
@@ -35,12 +36,12 @@ def pair_counts(df: DataFrame, truth: str, pred: str) -> DataFrame:
     """One row: sum of squared cell, row and column counts and N."""
     g = (df.select(F.col(truth).alias("_t"), F.col(pred).alias("_p"))
          .cube("_t", "_p").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("gid")))
-    n2 = F.col("n").cast("double") * F.col("n").cast("double")
+    n2 = F.col("n").cast("decimal(19,0)") * F.col("n").cast("decimal(19,0)")   # exact
     return g.agg(
         F.sum(F.when(F.col("gid") == 0, n2)).alias("sum_cells"),
         F.sum(F.when(F.col("gid") == 1, n2)).alias("sum_rows"),
         F.sum(F.when(F.col("gid") == 2, n2)).alias("sum_cols"),
-        F.max(F.when(F.col("gid") == 3, F.col("n"))).cast("double").alias("n_total"))
+        F.max(F.when(F.col("gid") == 3, F.col("n"))).cast("decimal(19,0)").alias("n_total"))
 
 
 def ari_column(sum_cells="sum_cells", sum_rows="sum_rows", sum_cols="sum_cols",
@@ -48,12 +49,11 @@ def ari_column(sum_cells="sum_cells", sum_rows="sum_rows", sum_cols="sum_cols",
     """Adjusted Rand index from pair counts (pair-confusion form); 1.0 when
     the two partitions agree on every pair."""
     sc, sr, sk, n = (F.col(sum_cells), F.col(sum_rows), F.col(sum_cols), F.col(n_total))
-    tp = sc - n
-    fp = sk - sc
-    fn = sr - sc
-    tn = n * n - fp - fn - sc
+    same = (sr == sc) & (sk == sc)
+    tp, fp, fn, tn = (x.cast("double") for x in (
+        sc - n, sk - sc, sr - sc, n * n - (sk - sc) - (sr - sc) - sc))
     den = (tp + fn) * (fn + tn) + (tp + fp) * (fp + tn)
-    return (F.when((fn == 0) & (fp == 0), F.lit(1.0))
+    return (F.when(same, F.lit(1.0))
              .otherwise(F.lit(2.0) * (tp * tn - fn * fp) / den))
 
 
@@ -204,7 +204,7 @@ def run_metrics(assign: DataFrame, points: DataFrame | None = None, *,
         sil_c.alias("silhouette"), db_c.alias("davies_bouldin"),
         F.round("ari_raw", 4).alias("ari"), conf_c.alias("avg_membership_confidence"),
         F.col("n_low_confidence").cast("long").alias("n_low_confidence"),
-        (noise_pct < 15.0).alias("noise_healthy"))
+        (noise_pct < HEALTHY_NOISE_PCT).alias("noise_healthy"))
 
 
 def _attach(one_row: DataFrame, other_one_row: DataFrame) -> DataFrame:

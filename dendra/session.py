@@ -49,7 +49,7 @@ def ship_package(spark: SparkSession) -> None:
     """Make ``dendra`` importable in executor Python workers (pandas
     functions reference it): zip the package once and ``addPyFile`` it."""
     sc = spark.sparkContext
-    key = id(sc._jsc)
+    key = sc.applicationId
     if key in _SHIPPED:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
@@ -67,14 +67,16 @@ def ship_package(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when neither the context nor the conf names one (a local test run)
-    is a scratch folder created."""
+    A scratch folder is made only for a local master; elsewhere machines don't
+    share it, so a session without the setting is refused."""
     sc = spark.sparkContext
     cur = sc.getCheckpointDir()
     if cur:
         return cur
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         conf_dir = tempfile.mkdtemp(prefix="dendra-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir()

@@ -54,13 +54,18 @@ def save_model(model: dict, base: str) -> None:
 
 def load_model(spark: SparkSession, base: str) -> dict:
     return {name: spark.read.parquet(os.path.join(base, name)) for name in MODEL_TABLES
-            if os.path.exists(os.path.join(base, name)) or "://" in base}
+            if path_exists(spark, os.path.join(base, name))}
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Does a path exist in the store it names (any Hadoop file system)?"""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def cached_or_compute(spark: SparkSession, path: str, compute) -> DataFrame:
-    """Write-once table: read it when present, else compute, write, read."""
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - missing path
+    """Write-once table: read it when it was written completely, else compute,
+    write, read.  Any other failure to read it is raised."""
+    if not path_exists(spark, os.path.join(path, "_SUCCESS")):
         compute().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    return spark.read.parquet(path)
