@@ -54,6 +54,43 @@ FROM r JOIN core ca ON r.vec_id = ca.vec_id JOIN core cb ON r.nbr_id = cb.vec_id
 WHERE r.rk <= 3""",
 }
 
+_CUT = 1.2          # the cut of the registered query
+
+# All mutual-reachability weights g(vec_id, nbr_id, w), min_samples 3.
+_MRD = f"""{_PAIRS_EUC},
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s, nbr_id) AS rk FROM p),
+core AS (SELECT vec_id, s AS core FROM r WHERE rk = 3),
+g AS (SELECT p.vec_id, p.nbr_id, greatest(p.s, a.core, b.core) AS w
+      FROM p JOIN core a ON p.vec_id = a.vec_id JOIN core b ON p.nbr_id = b.vec_id)"""
+
+# Prim's algorithm: dist holds each outside point's lightest edge to the tree
+# (NULL once inside); every step takes the lightest of all.
+ORACLES["mst_weight"] = f"""
+WITH RECURSIVE {_MRD},
+ids AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS i FROM core),
+m AS MATERIALIZED (
+  SELECT i, list(w ORDER BY j) AS ws
+  FROM (SELECT a.i, b.i AS j, g.w FROM ids a CROSS JOIN ids b
+        LEFT JOIN g ON g.vec_id = a.vec_id AND g.nbr_id = b.vec_id)
+  GROUP BY i),
+prim(step, dist, total) AS (
+  SELECT 0, ws, 0::DOUBLE FROM m WHERE i = 1
+  UNION ALL
+  SELECT step + 1,
+         list_transform(dist, lambda x, k: CASE WHEN x IS NULL OR k = m.i THEN NULL
+                                           ELSE least(x, m.ws[k]) END),
+         total + list_min(dist)
+  FROM prim JOIN m ON m.i = list_position(dist, list_min(dist))
+  WHERE list_min(dist) IS NOT NULL)
+SELECT round(max(total), 6) AS mst_weight, max(step)::BIGINT AS n_edges FROM prim"""
+
+ORACLES["density_components"] = f"""
+WITH RECURSIVE {_MRD},
+light AS MATERIALIZED (SELECT vec_id AS a, nbr_id AS b FROM g WHERE w <= {_CUT}),
+reach(a, b) AS (SELECT a, b FROM light UNION SELECT r.a, l.b FROM reach r JOIN light l ON r.b = l.a)
+SELECT c.vec_id, least(c.vec_id, coalesce(x.lo, c.vec_id)) AS component
+FROM core c LEFT JOIN (SELECT a, min(b) AS lo FROM reach GROUP BY a) x ON x.a = c.vec_id"""
+
 
 def _ari_sql(src: str, truth: str, pred: str) -> str:
     """ARI of two columns of relation ``src`` in pair-confusion form."""
