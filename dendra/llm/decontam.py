@@ -40,13 +40,18 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), NON_WORD), "")
 
 
-def _hash_at(ws: Column, p: Column, offsets, kind: int) -> Column:
-    return F.xxhash64(F.lit(kind), *[F.get(ws, p + o) for o in offsets])
+def word_hashes(ws: Column) -> Column:
+    """Each word hashed once, so that windows hash numbers."""
+    return F.transform(ws, lambda w: F.xxhash64(w))
 
 
-def _mask_hash(ws: Column, p: Column, mask: Column) -> Column:
+def _hash_at(hs: Column, p: Column, offsets, kind: int) -> Column:
+    return F.xxhash64(F.lit(kind), *[F.get(hs, p + o) for o in offsets])
+
+
+def _mask_hash(hs: Column, p: Column, mask: Column) -> Column:
     """Hash of the window at ``p`` under the given mask number."""
-    h = [_hash_at(ws, p, m, k) for k, m in enumerate(MASKS)]
+    h = [_hash_at(hs, p, m, k) for k, m in enumerate(MASKS)]
     return F.when(mask == 0, h[0]).when(mask == 1, h[1]).otherwise(h[2])
 
 
@@ -58,19 +63,20 @@ def _around(ws: Column, p: Column) -> Column:
 def _item_seeds(items: DataFrame, lengths: list[int]) -> DataFrame:
     """(hash, item_id, words around it, position among them) of every item
     position under every mask, and of every short item as a whole."""
-    ws, p = F.col("_iws"), F.col("_p")
-    masks = F.explode(F.array(*[_mask_hash(ws, p, F.lit(k)) for k in range(len(MASKS))]))
+    items = items.withColumn("_ih", word_hashes(F.col("_iws")))
+    hs, p = F.col("_ih"), F.col("_p")
+    masks = F.explode(F.array(*[_mask_hash(hs, p, F.lit(k)) for k in range(len(MASKS))]))
     long = (items.filter(F.col("_in") >= SPAN)
             .withColumn("_p", F.explode(F.sequence(F.lit(0), F.col("_in") - SPAN)))
             .withColumn("_hash", masks))
     parts = [long]
     for k in lengths:
         parts.append(items.filter(F.col("_in") == k).withColumn("_p", F.lit(0))
-                     .withColumn("_hash", _hash_at(ws, F.lit(0), range(k), 100 + k)))
+                     .withColumn("_hash", _hash_at(hs, F.lit(0), range(k), 100 + k)))
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
-    return out.select("_hash", "item_id", _around(ws, p).alias("_iws"),
+    return out.select("_hash", "item_id", _around(F.col("_iws"), p).alias("_iws"),
                       F.least(p, F.lit(REACH)).alias("_ip"))
 
 
@@ -106,6 +112,13 @@ def maybe(h: Column, table: Column, n_bits: int) -> Column:
     return hit
 
 
+def marked(places: Column, h, table: Column, n_bits: int) -> Column:
+    """(p, h) of the places whose hash ``h(p)`` may be in the table; each hash
+    is computed once."""
+    hashed = F.transform(places, lambda p: F.struct(p.alias("p"), h(p).alias("h")))
+    return F.filter(hashed, lambda x: maybe(x["h"], table, n_bits))
+
+
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_matched, n_compared, overlap) for every document
     that holds a benchmark item, or a stretch of one.
@@ -133,20 +146,20 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n_bits = filter_bits(n_seeds)
     table = bit_table(seeds, n_bits)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                    words(F.col("text")).alias("_ws"))
-    ws, n, n_masks = F.col("_ws"), F.size("_ws"), len(MASKS)
+                    words(F.col("text")).alias("_ws")).withColumn("_hs", word_hashes(F.col("_ws")))
+    ws, hs, n, n_masks = F.col("_ws"), F.col("_hs"), F.size("_ws"), len(MASKS)
 
     def found(span: int, h) -> Column:
         """(window around, position in it, hash) of the positions that may hit."""
         ps = F.when(n >= span, F.sequence(F.lit(0), n - span)).otherwise(
             F.array().cast("array<int>"))
         return F.transform(
-            F.filter(ps, lambda p: maybe(h(p), table, n_bits)),
-            lambda p: F.struct(_around(ws, p).alias("_w"), F.least(p, F.lit(REACH)).alias("_p"),
-                               h(p).alias("_hash")))
+            marked(ps, h, table, n_bits),
+            lambda x: F.struct(_around(ws, x["p"]).alias("_w"),
+                               F.least(x["p"], F.lit(REACH)).alias("_p"), x["h"].alias("_hash")))
 
-    cand = [found(SPAN, lambda p: _mask_hash(ws, p, p % n_masks))]
-    cand += [found(k, lambda p, k=k: _hash_at(ws, p, range(k), 100 + k)) for k in lengths]
+    cand = [found(SPAN, lambda p: _mask_hash(hs, p, p % n_masks))]
+    cand += [found(k, lambda p, k=k: _hash_at(hs, p, range(k), 100 + k)) for k in lengths]
     # explode_outer: for explode, the optimizer would infer a filter on the
     # generator's input and so compute the hashes twice
     hits = (d.select("doc_id", F.explode_outer(F.concat(*cand)).alias("_c"))

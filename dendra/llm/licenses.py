@@ -14,7 +14,7 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dendra.llm.decontam import bit_table, filter_bits, maybe, words
+from dendra.llm.decontam import bit_table, filter_bits, marked, words
 from dendra.session import cut_lineage
 
 SHINGLE = 5
@@ -115,7 +115,7 @@ def find_licenses(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     ws, n = F.col("_ws"), F.size("_ws")
     places = F.when(n >= SHINGLE, F.sequence(F.lit(0), n - SHINGLE)).otherwise(
         F.array().cast("array<int>"))
-    hit = F.filter(places, lambda p: maybe(_shingle(ws, p), table, n_bits))
+    hit = F.transform(marked(places, lambda p: _shingle(ws, p), table, n_bits), lambda x: x["p"])
     d = d.select("doc_id", "_ws", hit.alias("_at"))
 
     def windows(unit: int, need: int) -> Column:
