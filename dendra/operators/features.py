@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,7 +80,7 @@ def corpus_tfidf(docs: DataFrame, id_col: str, text_col: str):
     """TF-IDF weights of a corpus and its document-frequency table."""
     # term counts feed both the document frequencies and the weights:
     # tokenise the whole texts once
-    tc = term_counts(docs, id_col, text_col).persist(StorageLevel.MEMORY_AND_DISK)
+    tc = cut_lineage(term_counts(docs, id_col, text_col))
     dfreq = document_frequency(tc)
     return tfidf(tc, dfreq), dfreq
 

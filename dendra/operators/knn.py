@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dendra.functions import vectors as V
+from dendra.session import cut_lineage
 
 DEFAULT_BLOCK_ROWS = 2048
 
@@ -191,7 +192,10 @@ def lsh_top_k(df: DataFrame, k: int, *, id_col: str = "id", vec: str = "vec",
     never expanded into all its pairs: it is cut into sub-blocks of at most
     ``block_rows`` rows (so a bucket holding a third of all rows is spread
     over many tasks) and every sub-block pair runs the exact top-k kernel.
-    No candidate is capped; results are exact scores re-ranked across bands."""
+    No candidate is capped; results are exact scores re-ranked across bands.
+    Rows that met fewer than ``k`` others are searched exactly, so every row
+    gets ``k`` neighbours (all others, if fewer).  ``bits`` sets the bucket
+    size: about n / 2**bits rows, so take log2(n / rows wanted per bucket)."""
     first = df.select(F.size(vec)).first()
     dim = int(first[0]) if first else 0
     rng = np.random.default_rng(seed)
@@ -244,5 +248,12 @@ def lsh_top_k(df: DataFrame, k: int, *, id_col: str = "id", vec: str = "vec",
     part = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(kernel, schema)
     best = part.groupBy("qid", "iid").agg(F.max("score").alias("score"))
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("iid").asc())
-    return (best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-            .select(F.col("qid").alias(id_col), "rank", F.col("iid").alias("nbr_id"), "score"))
+    found = cut_lineage(best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+                        .select(F.col("qid").alias(id_col), "rank", F.col("iid").alias("nbr_id"),
+                                "score"))
+    full = found.filter(F.col("rank") == k).select(id_col)
+    short = cut_lineage(df.select(id_col, vec).join(full, id_col, "left_anti"))
+    exact = top_k(short, df, k, q_id=id_col, i_id=id_col, q_vec=vec, i_vec=vec, metric="cosine",
+                  exclude=id_col, block_rows=block_rows)
+    return found.join(full, id_col, "left_semi").unionByName(
+        exact.select(id_col, F.col("rank").cast("int").alias("rank"), "nbr_id", "score"))

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from dendra.functions import vectors as V
 from dendra.functions.text import HEALTHY_NOISE_PCT
 from dendra.operators.knn import DEFAULT_BLOCK_ROWS, block_pairs, plan_blocks
+from dendra.session import cut_lineage
 
 # Sweep sentinels when a metric is undefined.
 SWEEP_SIL_UNDEFINED = 0.0
@@ -131,7 +132,7 @@ def davies_bouldin(points: DataFrame, *, id_col: str, vec: str, cluster: str,
     scat = (points.select(F.col(cluster).alias("c"), V.as_double(vec).alias("v"))
             .join(cen, "c")
             .groupBy("c").agg(F.avg(V.euclidean("v", "centroid")).alias("s")))
-    cs = cen.join(scat, "c").cache()
+    cs = cut_lineage(cen.join(scat, "c"))
     k = cs.count()
     b = max(1, math.ceil(k / block_rows))
     schema = "c long, r double, dmax double"
@@ -168,6 +169,9 @@ def run_metrics(assign: DataFrame, points: DataFrame | None = None, *,
     of non-noise rows.  ``undefined='null'`` leaves undefined metrics NULL
     (single runs); ``'sweep'`` uses the sweep sentinels 0.0 / 99.0 / 0.0.
     All are rounded to 4 decimals after aggregation."""
+    # read by every metric: computed once
+    assign = cut_lineage(assign.select(
+        *dict.fromkeys(c for c in (id_col, cluster, confidence, truth) if c)))
     base = assign.agg(
         F.count_distinct(F.when(F.col(cluster) != -1, F.col(cluster))).alias("n_clusters"),
         F.count(F.lit(1)).alias("n_rows"),
@@ -176,15 +180,15 @@ def run_metrics(assign: DataFrame, points: DataFrame | None = None, *,
         F.count_if(F.col(confidence) < 0.5).alias("n_low_confidence"))
     row = base
     if truth is not None:
-        row = _attach(row, adjusted_rand(assign, truth, cluster).withColumnRenamed("ari", "ari_raw"))
+        row = attach(row, adjusted_rand(assign, truth, cluster).withColumnRenamed("ari", "ari_raw"))
     else:
         row = row.withColumn("ari_raw", F.lit(None).cast("double"))
     if points is not None and vec is not None:
-        non_noise = (assign.filter(F.col(cluster) != -1).select(id_col, cluster)
-                     .join(points.select(id_col, vec), id_col))
+        non_noise = cut_lineage(assign.filter(F.col(cluster) != -1).select(id_col, cluster)
+                                .join(points.select(id_col, vec), id_col))
         sil = silhouette(non_noise, id_col=id_col, vec=vec, cluster=cluster, block_rows=block_rows)
         db = davies_bouldin(non_noise, id_col=id_col, vec=vec, cluster=cluster, block_rows=block_rows)
-        row = _attach(_attach(row, sil.withColumnRenamed("silhouette", "sil_raw")),
+        row = attach(attach(row, sil.withColumnRenamed("silhouette", "sil_raw")),
                       db.withColumnRenamed("davies_bouldin", "db_raw"))
     else:
         row = row.withColumn("sil_raw", F.lit(None).cast("double")).withColumn(
@@ -197,7 +201,7 @@ def run_metrics(assign: DataFrame, points: DataFrame | None = None, *,
         sil_c = F.coalesce(sil_c, F.lit(SWEEP_SIL_UNDEFINED))
         db_c = F.coalesce(db_c, F.lit(SWEEP_DB_UNDEFINED))
         conf_c = F.coalesce(conf_c, F.lit(SWEEP_CONF_UNDEFINED))
-    noise_pct = F.round(F.lit(100.0) * F.col("n_noise") / F.col("n_rows"), 1)
+    noise_pct = F.round(F.try_divide(F.lit(100.0) * F.col("n_noise"), F.col("n_rows")), 1)   # no rows: null
     return row.select(
         F.col("n_clusters").cast("long").alias("n_clusters"),
         noise_pct.alias("noise_pct"),
@@ -207,11 +211,13 @@ def run_metrics(assign: DataFrame, points: DataFrame | None = None, *,
         (noise_pct < HEALTHY_NOISE_PCT).alias("noise_healthy"))
 
 
-def _attach(one_row: DataFrame, other_one_row: DataFrame) -> DataFrame:
-    """Put two single-row aggregates side by side (equi-join on a constant
-    key: both sides have exactly one row)."""
-    return (one_row.withColumn("_k", F.lit(1))
-            .join(other_one_row.withColumn("_k", F.lit(1)), "_k").drop("_k"))
+def attach(rows: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a single-row table to every row, as a scalar subquery
+    (no join; more than one row is an error)."""
+    one = one_row.select(F.struct(*one_row.columns).alias("_one")).scalar()
+    return (rows.withColumn("_one", one)
+            .select(*[F.col(c) for c in rows.columns],
+                    *[F.col("_one")[c].alias(c) for c in one_row.columns]))
 
 
 def label_distribution(df: DataFrame, *, cluster: str, label: str, pos: str) -> DataFrame:

@@ -90,8 +90,8 @@ def q_core_distance(spark, sf_dir):
 def q_mutual_reachability(spark, sf_dir):
     """max(core(a), core(b), d(a, b)) on every kNN-graph edge (k = min_samples)."""
     e = _emb(spark, sf_dir)
-    nn = knn.self_top_k(e, MIN_SAMPLES, id_col="vec_id", vec="embedding", metric="euclidean")
-    nn = nn.cache()
+    nn = cut_lineage(knn.self_top_k(e, MIN_SAMPLES, id_col="vec_id", vec="embedding",
+                                    metric="euclidean"))
     core = (nn.filter(F.col("rank") == MIN_SAMPLES)
             .select("vec_id", F.col("score").alias("core")))
     out = (nn.join(core, "vec_id")
@@ -387,9 +387,10 @@ def vote_run(spark, sf_dir, k=TOP_K):
     nn = knn.self_top_k(e, k, id_col="vec_id", vec="embedding", metric="cosine")
     v = vote.majority_vote(nn, e, q_id="vec_id", a_id="vec_id", a_cluster="label",
                            queries=e.select("vec_id"))
-    return (v.join(e.select("vec_id", "label"), "vec_id")
-            .select(F.col("vec_id").alias("id"), F.col("predicted").cast("int").alias("cluster"),
-                    (F.col("n_votes") / F.lit(float(k))).alias("confidence"), "label"))
+    return cut_lineage(
+        v.join(e.select("vec_id", "label"), "vec_id")
+        .select(F.col("vec_id").alias("id"), F.col("predicted").cast("int").alias("cluster"),
+                (F.col("n_votes") / F.lit(float(k))).alias("confidence"), "label"))
 
 
 def q_cluster_summary(spark, sf_dir):
@@ -457,7 +458,7 @@ def q_dense_sparse_join(spark, sf_dir):
     de = FE.dense_embed(sp, FE.DENSE_DIM)
     j = de.join(sp, "doc_id")
     missing = de.join(sp, "doc_id", "left_anti").agg(F.count(F.lit(1)).cast("long").alias("n_missing"))
-    return metrics._attach(j.select("doc_id", F.size("embedding").cast("long").alias("dim"),
+    return metrics.attach(j.select("doc_id", F.size("embedding").cast("long").alias("dim"),
                                     F.size("terms").cast("long").alias("nnz")), missing)
 
 
@@ -549,7 +550,7 @@ def q_knn_lsh_recall(spark, sf_dir):
     exact = knn.self_top_k(e, TOP_K, id_col="vec_id", vec="embedding", metric="cosine")
     approx = knn.lsh_top_k(e, TOP_K, id_col="vec_id", vec="embedding")
     hit = exact.join(approx.select("vec_id", "nbr_id"), ["vec_id", "nbr_id"], "left_semi")
-    return metrics._attach(
+    return metrics.attach(
         exact.agg(F.count(F.lit(1)).cast("long").alias("exact_pairs")),
         hit.agg(F.count(F.lit(1)).cast("long").alias("found_pairs"))).select(
         "exact_pairs", "found_pairs",
@@ -618,14 +619,18 @@ def q_related_vote(spark, sf_dir):
                     "n_votes", "total_votes"))
 
 
-def q_cluster_corpus(spark, sf_dir):
-    """The reference's main run on the documents: dense embedding ->
+def corpus_run(spark, sf_dir, sparse=False):
+    """Metrics of one clustering run over the documents.  Dense: embedding ->
     40-d neighbour-graph layout (5 neighbours, min_dist 0.0, cosine, seed 42)
-    -> density clusters (min_cluster_size 3, EOM, Euclidean) -> the six run
-    metrics against the document language."""
+    -> density clusters (min_cluster_size 3, EOM, Euclidean).  Sparse: the
+    neighbour graph is that of the TF-IDF vectors; the layout starts from their
+    signed projection."""
     w, _ = _doc_weights(spark, sf_dir)
-    de = cut_lineage(FE.dense_embed(FE.sparse_vectors(w), FE.DENSE_DIM))
-    g = layout.fuzzy_graph(de, UMAP_NEIGHBORS, id_col="doc_id", vec="embedding")
+    sp = cut_lineage(FE.sparse_vectors(w))
+    de = cut_lineage(FE.dense_embed(sp, FE.DENSE_DIM))
+    g = (layout.fuzzy_graph(sp, UMAP_NEIGHBORS, id_col="doc_id", vec=None, terms="terms",
+                            weights="weights") if sparse
+         else layout.fuzzy_graph(de, UMAP_NEIGHBORS, id_col="doc_id", vec="embedding"))
     pos = cut_lineage(layout.layout(de, g, n_components=UMAP_COMPONENTS, min_dist=UMAP_MIN_DIST,
                                     seed=SEED, n_epochs=EPOCHS, id_col="doc_id", vec="embedding"))
     r = density.hdbscan(pos, id_col="id", vec="coords", min_cluster_size=MIN_CLUSTER_SIZE)
@@ -634,6 +639,22 @@ def q_cluster_corpus(spark, sf_dir):
     return metrics.run_metrics(a, pos, id_col="id", truth="lang", vec="coords")
 
 
+def q_cluster_corpus(spark, sf_dir):
+    """The reference's main run on the documents: dense embedding ->
+    40-d neighbour-graph layout (5 neighbours, min_dist 0.0, cosine, seed 42)
+    -> density clusters (min_cluster_size 3, EOM, Euclidean) -> the six run
+    metrics against the document language."""
+    return corpus_run(spark, sf_dir)
+
+
+def q_run_compare_corpora(spark, sf_dir):
+    """The dense and the sparse clustering run of the documents, their six
+    metrics side by side."""
+    return RP.compare_metrics(cut_lineage(corpus_run(spark, sf_dir)),
+                              cut_lineage(corpus_run(spark, sf_dir, sparse=True)),
+                              ("dense", "sparse"))
+
+
 QUERIES = {
     "knn_top5": q_knn_top5,
     "knn_filtered": q_knn_filtered,
@@ -690,4 +711,5 @@ QUERIES = {
     "search_report": q_search_report,
     "related_vote": q_related_vote,
     "cluster_corpus": q_cluster_corpus,
+    "run_compare_corpora": q_run_compare_corpora,
 }

@@ -19,9 +19,9 @@ def header_metrics(assign: DataFrame, *, truth: str = "label") -> DataFrame:
     """n_clusters, noise_pct and ARI of a run (one row)."""
     base = assign.agg(
         F.count_distinct(F.when(F.col("cluster") != -1, F.col("cluster"))).cast("long").alias("n_clusters"),
-        F.round(F.lit(100.0) * F.count_if(F.col("cluster") == -1) / F.count(F.lit(1)), 1).alias("noise_pct"))
+        F.round(F.try_divide(F.lit(100.0) * F.count_if(F.col("cluster") == -1), F.count(F.lit(1))), 1).alias("noise_pct"))
     ari = metrics.adjusted_rand(assign, truth, "cluster").select(F.round("ari", 4).alias("ari"))
-    return metrics._attach(base, ari)
+    return metrics.attach(base, ari)
 
 
 def cluster_summary(assign: DataFrame, *, pos: str = "id", label: str = "label") -> DataFrame:
@@ -29,7 +29,7 @@ def cluster_summary(assign: DataFrame, *, pos: str = "id", label: str = "label")
     plus the run's header metrics."""
     dist = metrics.label_distribution(assign, cluster="cluster", label=label, pos=pos)
     head = header_metrics(assign, truth=label)
-    return (metrics._attach(dist, head)
+    return (metrics.attach(dist, head)
             .select("cluster", TX.cluster_label("cluster").alias("cluster_label"),
                     F.col("size").cast("long").alias("size"), "dominant", "distribution",
                     "n_clusters", "noise_pct", "ari"))
@@ -105,10 +105,10 @@ def run_compare(a: DataFrame, b: DataFrame, *, truth: str = "label", id_col: str
     def one(x):
         return x.agg(
             F.count_distinct(F.when(F.col("cluster") != -1, F.col("cluster"))).cast("double").alias("n_clusters"),
-            F.round(F.lit(100.0) * F.count_if(F.col("cluster") == -1) / F.count(F.lit(1)), 1).alias("noise_pct"),
+            F.round(F.try_divide(F.lit(100.0) * F.count_if(F.col("cluster") == -1), F.count(F.lit(1))), 1).alias("noise_pct"),
             F.round(F.avg(F.when(F.col("cluster") != -1, F.col("confidence"))), 4).alias("avg_conf"))
-    ma = metrics._attach(one(a), metrics.adjusted_rand(a, truth, "cluster").select(F.round("ari", 4).alias("ari")))
-    mb = metrics._attach(one(b), metrics.adjusted_rand(b, truth, "cluster").select(F.round("ari", 4).alias("ari")))
+    ma = metrics.attach(one(a), metrics.adjusted_rand(a, truth, "cluster").select(F.round("ari", 4).alias("ari")))
+    mb = metrics.attach(one(b), metrics.adjusted_rand(b, truth, "cluster").select(F.round("ari", 4).alias("ari")))
     stack = "stack(4, 'n_clusters', n_clusters, 'noise_pct', noise_pct, 'ari', ari, 'avg_conf', avg_conf) as (metric, v)"
     ua = ma.selectExpr(stack).withColumnRenamed("v", names[0])
     ub = mb.selectExpr(stack).withColumnRenamed("v", names[1])
@@ -120,6 +120,60 @@ def run_compare(a: DataFrame, b: DataFrame, *, truth: str = "label", id_col: str
     return ua.join(ub, "metric", "full_outer").unionByName(cross)
 
 
+def compare_metrics(a: DataFrame, b: DataFrame | None, names=("run_a", "run_b")) -> DataFrame:
+    """Two ``run_metrics`` rows side by side as (metric, run_a, run_b); a
+    missing run (``b=None``) gives nulls."""
+    cols = ["n_clusters", "noise_pct", "silhouette", "davies_bouldin", "ari",
+            "avg_membership_confidence"]
+
+    def long(x, name):
+        return x.select(F.inline(F.array(*[
+            F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias(name)) for c in cols])))
+    left = long(a, names[0])
+    if b is None:
+        return left.withColumn(names[1], F.lit(None).cast("double"))
+    return left.join(long(b, names[1]), "metric", "full_outer")
+
+
+def lookup_report(requests: DataFrame, assign: DataFrame, peers: int = 5, suggestions: int = 10, *,
+                  req_id: str = "id", id_col: str = "id") -> DataFrame:
+    """``paper_lookup`` with the first IDs (string order) as suggestions on the
+    rows whose ID is unknown (empty otherwise)."""
+    s = lookup_suggestions(assign, suggestions, id_col=id_col)
+    first = s.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "suggestion"))),
+                              lambda x: x["suggestion"]).alias("suggestions"))   # at most `suggestions`
+    r = metrics.attach(paper_lookup(requests, assign, peers, req_id=req_id, id_col=id_col), first)
+    return r.withColumn("suggestions", F.when(F.col("found"), F.array().cast("array<string>"))
+                        .otherwise(F.col("suggestions")))
+
+
+def matches_with_clusters(matches: DataFrame, assign: DataFrame, *, match_id: str = "nbr_id",
+                          id_col: str = "id") -> DataFrame:
+    """Search matches with the cluster label of each match; ``?`` for matches
+    that are not part of the run."""
+    a = assign.select(F.col(id_col).alias(match_id), "cluster", "confidence")
+    return (matches.join(a, match_id, "left")
+            .withColumn("cluster_label", TX.cluster_label("cluster")))
+
+
+def named_clusters(assign: DataFrame, names: DataFrame) -> DataFrame:
+    """Size of every non-noise cluster under its display name; ``names`` is
+    (cluster, name), clusters without a name read ``Cluster <n>``."""
+    sizes = (assign.filter(F.col("cluster") != -1).groupBy("cluster")
+             .agg(F.count(F.lit(1)).alias("size")))
+    return (sizes.join(names.select("cluster", "name"), "cluster", "left")
+            .select("cluster", TX.display_name("name", "cluster").alias("name"), "size"))
+
+
+def id_misses(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """One row: keys of both tables, of ``a`` only and of ``b`` only."""
+    j = (a.select(key).distinct().withColumn("_a", F.lit(1))
+         .join(b.select(key).distinct().withColumn("_b", F.lit(1)), key, "full_outer"))
+    return j.agg(F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("n_both"),
+                 F.count_if(F.col("_b").isNull()).alias("n_only_a"),
+                 F.count_if(F.col("_a").isNull()).alias("n_only_b"))
+
+
 def plot_points(coords: DataFrame, assign: DataFrame, *, id_col: str = "id",
                 palette: int = 10) -> DataFrame:
     """2-D point table for plotting: x, y, cluster, label and colour index."""

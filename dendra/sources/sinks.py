@@ -14,21 +14,23 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dendra.operators.metrics import attach
+
 MODEL_TABLES = ("tree", "closed", "mst", "core", "selected", "assignments")
 
 
-def write_articles(articles: DataFrame, path: str) -> None:
-    articles.write.mode("overwrite").parquet(path)
+def write_articles(articles: DataFrame, path: str, format: str = "parquet") -> None:
+    articles.write.mode("overwrite").format(format).save(path)
 
 
-def write_embeddings(emb: DataFrame, path: str) -> None:
-    emb.write.mode("overwrite").parquet(path)
+def write_embeddings(emb: DataFrame, path: str, format: str = "parquet") -> None:
+    emb.write.mode("overwrite").format(format).save(path)
 
 
 def write_run(run_id: str, params: DataFrame, metrics_row: DataFrame, assignments: DataFrame,
               base: str) -> None:
     """Append one run: params + metrics (one row) and its assignments."""
-    one = params.withColumn("_k", F.lit(1)).join(metrics_row.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    one = attach(params, metrics_row)
     one.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id") \
         .parquet(os.path.join(base, "runs"))
     assignments.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id") \

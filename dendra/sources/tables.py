@@ -23,18 +23,23 @@ def table_glob(sf_dir: str, name: str) -> str:
 
 # ----------------------------------------------------------------- JSON inputs
 
-def read_articles(spark: SparkSession, path: str) -> DataFrame:
-    """Article JSON array (one document, not splittable: prefer parquet at scale)."""
-    return spark.read.schema(schemas.ARTICLE).option("multiLine", True).json(path)
+def read_articles(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Articles from a JSON array, or from JSON lines with ``multi_line=False``
+    (an array is one document and can't be split: lines or parquet at scale)."""
+    return spark.read.schema(schemas.ARTICLE).option("multiLine", multi_line).json(path)
 
 
-def read_dense_embeddings(spark: SparkSession, path: str) -> DataFrame:
-    return (spark.read.schema(schemas.DENSE_EMBEDDING).option("multiLine", True).json(path)
-            .select("id", "values", "metadata.category", "metadata.title", "metadata"))
+def read_dense_embeddings(spark: SparkSession, path: str, multi_line: bool = True,
+                          drop: tuple[str, ...] = ()) -> DataFrame:
+    """Dense embeddings; ``drop`` names metadata keys that are left out."""
+    meta = F.col("metadata").dropFields(*drop) if drop else F.col("metadata")
+    return (spark.read.schema(schemas.DENSE_EMBEDDING).option("multiLine", multi_line).json(path)
+            .select("id", "values", "metadata.category", "metadata.title",
+                    meta.alias("metadata")))
 
 
-def read_sparse_embeddings(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.SPARSE_EMBEDDING).option("multiLine", True).json(path)
+def read_sparse_embeddings(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    return spark.read.schema(schemas.SPARSE_EMBEDDING).option("multiLine", multi_line).json(path)
 
 
 def read_run_result(spark: SparkSession, path: str):
@@ -77,3 +82,59 @@ def topics_from_hits(hits: DataFrame, target: int) -> DataFrame:
         .cast("int").alias("topic_id"),
         "name", F.lit(target).cast("int").alias("target"),
         F.array().cast("array<string>").alias("queries"))
+
+
+def pages_as_pubmed_hits(pages: DataFrame) -> DataFrame:
+    """Raw pages as PubMed search hits in the shapes such hits take: pages of
+    other hosts and pages without an ID, IDs met twice, 25 hits a query, titles
+    with and without the site suffix, abstracts under a heading, empty ones,
+    descriptions only, short ones, and nulls.  Shapes follow the page id."""
+    html, p = F.col("html"), F.col("page_id")
+    host = F.lit("https://pubmed.ncbi.nlm.nih.gov/")
+    title = F.regexp_extract(html, r"(?s)<title>(.*?)</title>", 1)
+    article = F.regexp_replace(F.regexp_extract(html, r"(?s)<article>(.*?)</article>", 1),
+                               r"<[^>]+>", " ")
+    tail = F.when(p % 2 == 0, F.lit("\n## Keywords\n\nnone")).otherwise(F.lit(""))
+    return pages.select(
+        F.regexp_extract(html, r'<html lang="([^"]+)"', 1).alias("topic"),
+        F.floor(p / 25).cast("int").alias("query_no"),
+        (F.pmod(p, F.lit(25)) + 1).cast("int").alias("rank"),
+        F.when(p % 7 == 0, F.concat(F.lit("https://example.org/"), p.cast("string")))
+        .when(p % 7 == 1, F.concat(host, F.lit("about/")))
+        .when(p % 7 == 2, F.concat(host, F.floor(p / 4).cast("string"), F.lit("/?term=x")))
+        .otherwise(F.concat(host, p.cast("string"), F.lit("/"))).alias("url"),
+        F.when(p % 11 != 0, F.concat(
+            title, F.when(p % 2 == 0, F.lit(" - PubMed")).otherwise(F.lit("")))).alias("title"),
+        F.when(p % 13 == 0, F.lit(None).cast("string"))
+        .when(p % 3 == 0, F.concat(F.lit("# Page\n\n## Abstract\n\n"), article, tail))
+        .when(p % 5 == 0, F.lit("## Abstract\n\n"))
+        .otherwise(F.lit("no heading")).alias("content"),
+        F.when(p % 17 == 0, F.lit(None).cast("string"))
+        .when(p % 4 == 0, F.lit("short")).otherwise(article).alias("description"),
+        F.lit(None).cast("double").alias("relevance_score"),
+        p)
+
+
+def embeddings_as_run(emb: DataFrame) -> DataFrame:
+    """The embeddings table as a stored run (id, cluster, confidence, label):
+    every sixth id is noise, every ninth is not part of the run."""
+    i = F.col("vec_id")
+    return emb.filter(i % 9 != 0).select(
+        i.alias("id"), F.when(i % 6 == 0, F.lit(-1)).otherwise(F.col("label")).cast("int").alias("cluster"),
+        ((i * 37) % 101 / F.lit(100.0)).alias("confidence"), "label")
+
+
+def parts_as_sweep(part: DataFrame) -> DataFrame:
+    """The part table as sweep results (schema ``SWEEP_ROW`` plus grid_pos)."""
+    k, s = F.col("p_partkey").cast("long"), F.col("p_size")
+
+    def pick(values, at):
+        return F.get(F.array(*[F.lit(v) for v in values]), (at % len(values)).cast("int"))
+    return part.select(
+        k.alias("grid_pos"), pick([2, 5, 10, 20, 40, 60], s).alias("umap_dims"),
+        pick([3, 5, 10, 15], k).alias("umap_neighbors"),
+        pick([0.0, 0.05, 0.1], k).alias("umap_min_dist"),
+        pick([3, 5, 8, 10], s).alias("hdbscan_min_cs"), pick(["eom", "leaf"], k).alias("hdbscan_method"),
+        s.alias("clusters"), (k % 40).cast("double").alias("noise_pct"),
+        ((k * 31 % 50) / F.lit(50.0)).alias("silhouette"), F.lit(1.0).alias("davies_bouldin"),
+        F.least(F.lit(1.0), (k * 7919 % 110) / F.lit(100.0)).alias("ari"), F.lit(0.9).alias("avg_conf"))

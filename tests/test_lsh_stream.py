@@ -32,3 +32,13 @@ def test_predict_stream(spark, tmp_path):
                                out_path=str(tmp_path / "work"))
     assert out.count() == 10 and out.agg(F.sum("y")).first()[0] == 90.0
     assert os.path.exists(str(tmp_path / "work" / "ckpt"))
+
+
+def test_lsh_rows_without_candidates_are_searched_exactly(spark):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, [float(v) for v in x])
+                                for i, x in enumerate(rng.normal(size=(40, 12)))],
+                               "id long, vec array<double>")
+    got = knn.lsh_top_k(df, 5, bands=1, bits=10)      # nearly every bucket holds one row
+    assert {r["count"] for r in got.groupBy("id").count().collect()} == {5}
+    assert got.filter("id = nbr_id").count() == 0
