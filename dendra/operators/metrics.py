@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from dendra.functions import vectors as V
 from dendra.functions.text import HEALTHY_NOISE_PCT
 from dendra.operators.knn import DEFAULT_BLOCK_ROWS, block_pairs, plan_blocks
+from dendra.operators.ordering import consecutive_index
 from dendra.session import cut_lineage
 
 # Sweep sentinels when a metric is undefined.
@@ -63,49 +64,70 @@ def adjusted_rand(df: DataFrame, truth: str, pred: str) -> DataFrame:
     return pair_counts(df, truth, pred).select(ari_column().alias("ari"))
 
 
+# Stands for no cluster in the block sums of the silhouette.
+_NO_CLUSTER = -(1 << 62)
+
+
 def silhouette_samples(points: DataFrame, *, id_col: str, vec: str, cluster: str,
                        block_rows: int = DEFAULT_BLOCK_ROWS,
                        n_rows: int | None = None) -> DataFrame:
     """Per-point silhouette with Euclidean distance (noise rows must already
     be removed).  Singleton clusters and a = b = 0 give 0.
 
-    Each block task returns, per left point and right-block cluster, the
-    distance sum; sums are then combined per (point, cluster)."""
+    The points on the right are blocked in cluster order, so a cluster lies
+    whole in one block or at the edges of its neighbours.  A block task returns
+    per left point the least mean distance to the whole clusters in it, and
+    distance sums only of the point's own cluster and of clusters cut by the
+    block's edges: at most four rows per point and block, however many
+    clusters there are."""
     p = points.select(F.col(id_col).alias("pid"), V.as_double(vec).alias("v"),
                       F.col(cluster).cast("long").alias("c"))
     n = n_rows if n_rows is not None else p.count()
     b, b2 = plan_blocks(points.sparkSession, n, n, block_rows)
     pid_t = points.schema[id_col].dataType
     schema = T.StructType([T.StructField("pid", pid_t), T.StructField("own", T.LongType()),
-                           T.StructField("oc", T.LongType()), T.StructField("dsum", T.DoubleType())])
+                           T.StructField("oc", T.LongType()), T.StructField("dsum", T.DoubleType()),
+                           T.StructField("least", T.DoubleType())])
 
     def kernel(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if len(lp) == 0 or len(rp) == 0:
             return pd.DataFrame({"pid": lp["pid"].iloc[:0], "own": np.zeros(0, np.int64),
-                                 "oc": np.zeros(0, np.int64), "dsum": np.zeros(0)})
+                                 "oc": np.zeros(0, np.int64), "dsum": np.zeros(0),
+                                 "least": np.zeros(0)})
+        rp = rp.sort_values("idx", kind="stable")
         D = V.dense_scores(V.stack(lp["v"]), V.stack(rp["v"]), "euclidean")
-        rc = rp["c"].to_numpy()
-        cs, inv = np.unique(rc, return_inverse=True)
-        sums = np.zeros((len(lp), len(cs)))
-        for j in range(len(cs)):
-            sums[:, j] = D[:, inv == j].sum(axis=1)
+        cs, starts, counts = np.unique(rp["c"].to_numpy(), return_index=True, return_counts=True)
+        sums = np.add.reduceat(D, starts, axis=1)
+        whole = counts == rp["sz"].to_numpy()[starts]
+        own = lp["c"].to_numpy()
+        mine = cs[None, :] == own[:, None]
+        least = np.where(whole[None, :] & ~mine, sums / counts[None, :], np.inf).min(axis=1)
+        some = np.flatnonzero(np.isfinite(least))
+        r, c = np.nonzero(mine | ~whole[None, :])
+        pid = lp["pid"].to_numpy()
         return pd.DataFrame({
-            "pid": np.repeat(lp["pid"].to_numpy(), len(cs)),
-            "own": np.repeat(lp["c"].to_numpy(), len(cs)),
-            "oc": np.tile(cs, len(lp)),
-            "dsum": sums.ravel()})
-
-    sums = (block_pairs(p, p, "pid", "pid", b, b2).applyInPandas(kernel, schema)
-            .groupBy("pid", "own", "oc").agg(F.sum("dsum").alias("dsum")))
-    sizes = p.groupBy(F.col("c").alias("oc")).agg(F.count(F.lit(1)).alias("sz"))
-    means = (sums.join(sizes, "oc")
-             .withColumn("m", F.when(F.col("oc") == F.col("own"),
-                                     F.when(F.col("sz") > 1, F.col("dsum") / (F.col("sz") - 1)))
-                         .otherwise(F.col("dsum") / F.col("sz"))))
+            "pid": np.concatenate([pid[r], pid[some]]), "own": np.concatenate([own[r], own[some]]),
+            "oc": np.concatenate([cs[c], np.full(len(some), _NO_CLUSTER)]),
+            "dsum": np.concatenate([sums[r, c], np.zeros(len(some))]),
+            "least": np.concatenate([np.full(len(r), np.inf), least[some]])})
+
+    sizes = cut_lineage(p.groupBy("c").agg(F.count(F.lit(1)).alias("sz")))
+    rows = max(1, math.ceil(n / b2))
+    left = (p.withColumn("lb", F.pmod(F.xxhash64("pid"), F.lit(b)).cast("int"))
+            .withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(b2 - 1)))))
+    right = (consecutive_index(p.join(sizes, "c"), ["c", "pid"])
+             .withColumn("rb", F.floor(F.col("idx") / rows).cast("int"))
+             .withColumn("lb", F.explode(F.sequence(F.lit(0), F.lit(b - 1)))))
+    sums = (left.groupBy("lb", "rb").cogroup(right.groupBy("lb", "rb")).applyInPandas(kernel, schema)
+            .groupBy("pid", "own", "oc").agg(F.sum("dsum").alias("dsum"), F.min("least").alias("least")))
+    is_own, no_cluster = F.col("oc") == F.col("own"), F.col("oc") == _NO_CLUSTER
+    means = (sums.join(sizes.withColumnRenamed("c", "oc"), "oc", "left")
+             .withColumn("a", F.when(is_own & (F.col("sz") > 1), F.col("dsum") / (F.col("sz") - 1)))
+             .withColumn("b", F.when(no_cluster, F.col("least"))
+                         .when(~is_own, F.col("dsum") / F.col("sz"))))
     per = (means.groupBy("pid", "own")
-           .agg(F.max(F.when(F.col("oc") == F.col("own"), F.col("m"))).alias("a"),
-                F.min(F.when(F.col("oc") != F.col("own"), F.col("m"))).alias("b"),
-                F.max(F.when(F.col("oc") == F.col("own"), F.col("sz"))).alias("own_size")))
+           .agg(F.max("a").alias("a"), F.min("b").alias("b"),
+                F.max(F.when(is_own, F.col("sz"))).alias("own_size")))
     s = (F.when((F.col("own_size") <= 1) | F.col("b").isNull(), F.lit(0.0))
           .when(F.greatest("a", "b") == 0, F.lit(0.0))
           .otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")))

@@ -421,8 +421,9 @@ v AS (SELECT nn.req_id, documents.lang AS c, count(*) AS n, min(rk) AS first_rk
       FROM nn JOIN documents USING (doc_id) WHERE documents.lang <> '-1' GROUP BY ALL),
 o AS (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY n DESC, first_rk) AS pos FROM v),
 agg AS (SELECT req_id, max(CASE WHEN pos = 1 THEN c END) AS predicted, max(CASE WHEN pos = 1 THEN n END) AS n_votes,
-               sum(n) AS total_votes FROM o GROUP BY req_id)
+               sum(n) AS total_votes,
+               string_agg(printf('cluster %s: %d votes', c, n), ', ' ORDER BY pos) AS vote_dist FROM o GROUP BY req_id)
 SELECT res.req_id, coalesce(agg.predicted, '-1') AS predicted, coalesce(agg.n_votes, 0)::BIGINT AS n_votes,
-       coalesce(agg.total_votes, 0)::BIGINT AS total_votes
+       coalesce(agg.total_votes, 0)::BIGINT AS total_votes, coalesce(agg.vote_dist, '') AS vote_dist
 FROM res LEFT JOIN agg ON res.req_id = agg.req_id""",
 })

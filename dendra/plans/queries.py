@@ -534,6 +534,33 @@ def q_approximate_predict(spark, sf_dir):
                     F.coalesce("confidence", F.lit(0.0)).alias("confidence")))
 
 
+def q_predict_report(spark, sf_dir):
+    """Cluster and strength predicted for each request (a document id or a
+    text), the cluster a known id actually has, and the composition of the
+    predicted cluster: size, languages by count, five most confident members
+    and how many more."""
+    w, dfreq = _doc_weights(spark, sf_dir)
+    docs = cut_lineage(FE.sparse_vectors(w))
+    model = density.hdbscan(docs, id_col="doc_id", vec=None, terms="terms", weights="weights",
+                            metric="cosine", min_cluster_size=MIN_CLUSTER_SIZE)
+    req = cut_lineage(_resolved(spark, sf_dir))
+    qs = (FE.sparse_vectors(FE.query_tfidf(req, "qid", "text", dfreq))
+          .withColumnRenamed("doc_id", "qid"))
+    p = predict.approximate_predict(model, qs, docs, MIN_CLUSTER_SIZE, new_id="qid",
+                                    train_id="doc_id", vec=None, terms="terms", weights="weights",
+                                    metric="cosine")
+    lang = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "lang")
+    run = cut_lineage(model["assignments"].join(lang, "id"))
+    actual = run.select(F.col("id").alias("exclude_id"), F.col("cluster").alias("actual"))
+    comp = RP.cluster_composition(run, 5, label="lang")
+    return (req.select("qid", "req_id", "exclude_id").join(p, "qid", "left")
+            .withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
+            .join(actual, "exclude_id", "left").join(comp, "cluster", "left")
+            .select("req_id", F.col("cluster").alias("predicted"), "actual",
+                    F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
+                    "size", "distribution", "top_members", "more"))
+
+
 def q_sweep_ranked(spark, sf_dir):
     """Density-clustering sweep of the raw embeddings over the reference's
     min_cluster_size x method grid, scored against the labels and ranked."""
@@ -592,6 +619,17 @@ def _requests(spark, sf_dir):
     return lab.unionByName(bench)
 
 
+def _resolved(spark, sf_dir):
+    """Requests (qid, req_id, text, exclude_id): a known document id stands for
+    its text (and is excluded from its own matches), else the text as given."""
+    d = _docs(spark, sf_dir).select("doc_id", "text", "lang")
+    req = consecutive_index(_requests(spark, sf_dir), ["req_id"], out="qid")
+    return (req.join(d.select(F.col("doc_id").cast("string").alias("input"),
+                              F.col("doc_id").alias("exclude_id"), F.col("text").alias("doc_text")),
+                     "input", "left")
+            .select("qid", "req_id", F.coalesce("doc_text", "input").alias("text"), "exclude_id"))
+
+
 def q_related_vote(spark, sf_dir):
     """Related documents for each request (a known document id: its text,
     itself excluded; otherwise the text as given), top-5 by TF-IDF cosine,
@@ -599,12 +637,7 @@ def q_related_vote(spark, sf_dir):
     w, dfreq = _doc_weights(spark, sf_dir)
     docs = FE.sparse_vectors(w)
     d = _docs(spark, sf_dir).select("doc_id", "text", "lang")
-    req = _requests(spark, sf_dir)
-    req = consecutive_index(req, ["req_id"], out="qid")
-    resolved = (req.join(d.select(F.col("doc_id").cast("string").alias("input"),
-                                  F.col("doc_id").alias("exclude_id"), F.col("text").alias("doc_text")),
-                         "input", "left")
-                .select("qid", "req_id", F.coalesce("doc_text", "input").alias("text"), "exclude_id"))
+    resolved = _resolved(spark, sf_dir)
     qw = FE.query_tfidf(resolved, "qid", "text", dfreq)
     qs = (FE.sparse_vectors(qw).withColumnRenamed("doc_id", "qid")
           .join(resolved.select("qid", "exclude_id"), "qid"))
@@ -616,7 +649,7 @@ def q_related_vote(spark, sf_dir):
                            queries=resolved.select("qid"))
     return (resolved.select("qid", "req_id").join(v, "qid")
             .select("req_id", F.col("predicted").cast("string").alias("predicted"),
-                    "n_votes", "total_votes"))
+                    "n_votes", "total_votes", "vote_dist"))
 
 
 def corpus_run(spark, sf_dir, sparse=False):
@@ -705,6 +738,7 @@ QUERIES = {
     "plot_points_2d": q_plot_points_2d,
     "project_new_points": q_project_new_points,
     "approximate_predict": q_approximate_predict,
+    "predict_report": q_predict_report,
     "sweep_ranked": q_sweep_ranked,
     "knn_lsh_recall": q_knn_lsh_recall,
     "stream_first_seen": q_stream_first_seen,

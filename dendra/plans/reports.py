@@ -156,6 +156,21 @@ def matches_with_clusters(matches: DataFrame, assign: DataFrame, *, match_id: st
             .withColumn("cluster_label", TX.cluster_label("cluster")))
 
 
+def cluster_composition(assign: DataFrame, n: int = 5, *, id_col: str = "id",
+                        label: str = "label") -> DataFrame:
+    """One row per non-noise cluster: size, labels by count, the ``n`` most
+    confident members and how many more there are."""
+    a = assign.filter(F.col("cluster") != -1)
+    dist = metrics.label_distribution(a, cluster="cluster", label=label, pos=id_col)
+    # at most n rows per cluster
+    top = (top_members(a, n, id_col=id_col).groupBy("cluster")
+           .agg(F.array_sort(F.collect_list(F.struct("member_rank", F.col(id_col).alias("m"))))
+                .alias("_t"), F.max("more").alias("more")))
+    return (dist.join(top, "cluster")
+            .select("cluster", F.col("size").cast("long").alias("size"), "dominant", "distribution",
+                    F.col("_t.m").alias("top_members"), "more"))
+
+
 def named_clusters(assign: DataFrame, names: DataFrame) -> DataFrame:
     """Size of every non-noise cluster under its display name; ``names`` is
     (cluster, name), clusters without a name read ``Cluster <n>``."""

@@ -99,6 +99,14 @@ t AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY confidence DESC
              count(*) OVER (PARTITION BY cluster) AS size FROM run WHERE cluster <> -1)
 SELECT cluster, member_rank::BIGINT AS member_rank, id, round(confidence, 4) AS confidence,
        greatest(size - 5, 0)::BIGINT AS more FROM t WHERE member_rank <= 5""",
+    "stored_run_composition": f"""WITH {_RUN},
+cc AS (SELECT cluster, label, count(*) AS n, min(id) AS first_pos FROM run WHERE cluster <> -1 GROUP BY ALL),
+oo AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, first_pos) AS rk FROM cc),
+d AS (SELECT cluster, sum(n)::BIGINT AS size, max(CASE WHEN rk = 1 THEN label END) AS dominant,
+             string_agg(printf('%s(%d)', label::VARCHAR, n), ', ' ORDER BY rk) AS distribution FROM oo GROUP BY cluster),
+t AS (SELECT cluster, id, row_number() OVER (PARTITION BY cluster ORDER BY confidence DESC, id) AS r FROM run)
+SELECT d.*, l.top_members, greatest(size - 5, 0)::BIGINT AS more
+FROM d JOIN (SELECT cluster, list(id ORDER BY r) AS top_members FROM t WHERE r <= 5 GROUP BY cluster) l USING (cluster)""",
     "stored_run_flags": f"""WITH {_RUN}
 SELECT id, cluster, {_LABEL.format('cluster')} AS cluster_label, round(confidence, 4) AS confidence,
        confidence < 0.5 AS low_confidence FROM run""",

@@ -140,6 +140,11 @@ def q_stored_run_members(spark, sf_dir):
     return RP.top_members(_stored_run(spark, sf_dir), 5)
 
 
+def q_stored_run_composition(spark, sf_dir):
+    """Composition of every cluster of a stored run."""
+    return RP.cluster_composition(_stored_run(spark, sf_dir), 5)
+
+
 def q_stored_run_flags(spark, sf_dir):
     """Display label and low-confidence flag of every row of a stored run."""
     return RP.noise_flags(_stored_run(spark, sf_dir))
@@ -217,5 +222,5 @@ def q_sweep_best(spark, sf_dir):
 QUERIES = {f.__name__[2:]: f for f in (
     q_clean_hits, q_unique_hits_total, q_articles_roundtrip, q_dense_roundtrip, q_sparse_roundtrip,
     q_run_roundtrip, q_cached_table, q_model_roundtrip, q_stored_run_summary, q_stored_run_members,
-    q_stored_run_flags, q_stored_run_metrics, q_run_compare_missing, q_lookup_report,
+    q_stored_run_composition,    q_stored_run_flags, q_stored_run_metrics, q_run_compare_missing, q_lookup_report,
     q_matches_with_clusters, q_named_clusters, q_dense_sparse_misses, q_upsert_partial, q_sweep_best)}

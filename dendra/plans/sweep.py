@@ -73,10 +73,15 @@ def run_sweep(points: DataFrame, truth: DataFrame, grid: DataFrame, *, id_col: s
         else:
             pts = cut_lineage(base)
         n = pts.count()
+        # one neighbour pass per reduction: every core distance and the tree's candidates
+        k = max(1, min(max([15, *by_mcs]), n - 1))
+        nn = cut_lineage(density.knn_distances(pts, k, id_col="id", vec="coords"))
         for mcs, runs in by_mcs.items():
             ms = max(1, min(mcs, n - 1))
-            core = cut_lineage(density.core_distances(pts, ms, id_col="id", vec="coords"))
-            mst = cut_lineage(density.mst_boruvka(pts, core, id_col="id", vec="coords"))
+            core = cut_lineage(nn.filter(F.col("rank") == ms).select(
+                F.col("i").alias("id"), F.col("d").alias("core")))
+            mst = cut_lineage(density.mst_boruvka(pts, core, id_col="id", vec="coords",
+                                                  candidates=nn.select("i", "j", "d")))
             tree, closed = density.condensed_tree(mst, pts.select("id"), mcs)
             for r in runs:
                 sel = (density.select_eom(closed) if r["hdbscan_method"] == "eom"

@@ -56,6 +56,26 @@ def test_identical_partitions_and_one_cluster(spark):
     assert m["silhouette"] is None and m["davies_bouldin"] is None
 
 
+def test_silhouette_of_many_clusters_in_small_blocks(spark):
+    rng = np.random.default_rng(4)
+    X = rng.normal(size=(60, 3))
+    lab = np.concatenate([np.full(25, 7), np.arange(20) // 2 + 100, np.full(14, -5), [900]])
+    df = spark.createDataFrame([(i, [float(v) for v in X[i]], int(lab[i])) for i in range(60)],
+                               "id long, v array<double>, c int")
+    D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
+    want = {}
+    for i in range(60):
+        own = lab == lab[i]
+        a = D[i, own].sum() / max(own.sum() - 1, 1)
+        b = min(D[i, lab == c].mean() for c in set(lab) if c != lab[i])
+        want[i] = 0.0 if own.sum() == 1 else (b - a) / max(a, b)
+    for block in (7, 13, 60):
+        got = metrics.silhouette_samples(df, id_col="id", vec="v", cluster="c", block_rows=block)
+        rows = {r["id"]: r["silhouette"] for r in got.collect()}
+        assert rows.keys() == want.keys()
+        assert max(abs(rows[i] - want[i]) for i in want) < 1e-9
+
+
 def test_silhouette_db_against_numpy(spark):
     rng = np.random.default_rng(0)
     X = np.vstack([rng.normal(size=(6, 3)), rng.normal(size=(5, 3)) + 4, rng.normal(size=(1, 3)) - 5])
