@@ -1,14 +1,21 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-A seed is a fixed mask over ``SPAN`` consecutive words: masked positions are
-ignored, the others are hashed together.  Benchmark items are hashed at every
-position under every mask.  Documents are hashed at every position too, with
-the masks taking turns from position to position, and the hashes are joined.
-Any three neighbouring windows ignore different thirds of the positions, so a
-single substituted word always leaves one of them intact.  Around each hit the
-words of document and item are compared along the diagonal, and the pair is
-kept when a stretch of words agrees in at least ``MIN_SIMILARITY`` of its
-positions.  DataFrame functions only.
+A seed is a fixed pattern over consecutive words: some positions are ignored,
+the others are hashed together.  Benchmark items and documents are hashed at
+every position under every pattern, and the hashes are joined.  Around each
+hit the words of document and item are compared along the diagonal, and the
+pair is kept when a stretch of words agrees in at least ``MIN_SIMILARITY`` of
+its positions.
+
+Patterns of items of 12 words and more ignore one residue modulo 3 (weight 8)
+or two residues modulo 4 (weight 6); shifted copies of one pattern are hashed
+once.  Any two substitutions leave one of the latter intact in every 12 words.
+Items of 8 to 11 words have the patterns modulo 4 over 8 words (weight 4),
+which two substitutions can't break, items of 5 to 7 words four patterns of
+weight 4, which one can't break: ``MIN_SIMILARITY`` allows them no more.
+Three or four substitutions in 12 to 19 words can break every pattern: of all
+places of three, 44 % do at 12 words, 9 % at 15 and 5 % at 16; of four, 20 %
+at 16.  DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -18,11 +25,27 @@ from pyspark.sql import functions as F
 
 from dendra.session import cut_lineage
 
+# Fewest words compared, unless the item is shorter and compared whole.
 SPAN = 12
-# Offsets inside the window that each mask hashes (the others are ignored).
-MASKS = tuple(tuple(i for i in range(SPAN) if i % 3 != r) for r in range(3))
-# Items shorter than a window are hashed whole, down to this many words.
+# Items of fewer words match nothing.
 MIN_WORDS = 5
+# Item lengths (from, to) of each group of patterns.
+GROUPS = {"long": (SPAN, None), "middle": (8, SPAN - 1), "short": (MIN_WORDS, 7)}
+# Partial hashes of a group: (name, left, right, words between them).
+PARTS = {
+    "long": [("_t3", "_h", "_h", 3), ("_g3", "_t3", "_t3", 6),
+             ("_t4", "_h", "_h", 4), ("_g4", "_t4", "_h", 8)],
+    "middle": [("_t4", "_h", "_h", 4)],
+    "short": [("_t1", "_h", "_h", 1), ("_t2", "_h", "_h", 2)],
+}
+# Patterns of a group: (left, right, words between them, words spanned).
+PATTERNS = {
+    "long": [("_g3", "_g3", 1, 11), ("_g3", "_g3", 2, 12),
+             ("_g4", "_g4", 1, 10), ("_g4", "_g4", 2, 11), ("_g4", "_g4", 3, 12)],
+    "middle": [("_t4", "_t4", 1, 6), ("_t4", "_t4", 2, 7), ("_t4", "_t4", 3, 8)],
+    "short": [("_t1", "_t1", 2, 4), ("_t1", "_t1", 3, 5), ("_t1", "_t2", 2, 5),
+              ("_t2", "_t1", 2, 5)],
+}
 # Length of the stretch that is compared, and the share that must agree.
 STRETCH = 16
 MIN_SIMILARITY = 0.75
@@ -45,14 +68,27 @@ def word_hashes(ws: Column) -> Column:
     return F.transform(ws, lambda w: F.xxhash64(w))
 
 
-def _hash_at(hs: Column, p: Column, offsets, kind: int) -> Column:
-    return F.xxhash64(F.lit(kind), *[F.get(hs, p + o) for o in offsets])
+def _joined(left: str, right: str, by: int, *kind: Column) -> Column:
+    """Each hash of ``left`` with the one of ``right`` that is ``by`` words on.
+    The last ones lack a partner: no item has their hashes."""
+    later = F.slice(F.col(right), F.lit(by + 1), F.size(right))
+    return F.zip_with(F.col(left), later, lambda x, y: F.xxhash64(*kind, x, y))
 
 
-def _mask_hash(hs: Column, p: Column, mask: Column) -> Column:
-    """Hash of the window at ``p`` under the given mask number."""
-    h = [_hash_at(hs, p, m, k) for k, m in enumerate(MASKS)]
-    return F.when(mask == 0, h[0]).when(mask == 1, h[1]).otherwise(h[2])
+def _with_parts(rows: DataFrame, ws: str, groups: list[str]) -> DataFrame:
+    """The rows with the partial hashes of the groups' patterns, each hashed
+    once."""
+    rows = rows.withColumn("_h", word_hashes(F.col(ws)))
+    for name, left, right, by in dict.fromkeys(x for g in groups for x in PARTS[g]):
+        rows = rows.withColumn(name, _joined(left, right, by))
+    return rows
+
+
+def _patterns(groups: list[str]):
+    """(span, hashes of all positions) of the groups' patterns."""
+    for g in groups:
+        for k, (left, right, by, span) in enumerate(PATTERNS[g]):
+            yield span, _joined(left, right, by, F.lit(10 * list(PATTERNS).index(g) + k))
 
 
 def _around(ws: Column, p: Column) -> Column:
@@ -60,24 +96,25 @@ def _around(ws: Column, p: Column) -> Column:
     return F.slice(ws, F.greatest(p - REACH, F.lit(0)) + 1, SPAN + 2 * REACH)
 
 
-def _item_seeds(items: DataFrame, lengths: list[int]) -> DataFrame:
-    """(hash, item_id, words around it, position among them) of every item
-    position under every mask, and of every short item as a whole."""
-    items = items.withColumn("_ih", word_hashes(F.col("_iws")))
-    hs, p = F.col("_ih"), F.col("_p")
-    masks = F.explode(F.array(*[_mask_hash(hs, p, F.lit(k)) for k in range(len(MASKS))]))
-    long = (items.filter(F.col("_in") >= SPAN)
-            .withColumn("_p", F.explode(F.sequence(F.lit(0), F.col("_in") - SPAN)))
-            .withColumn("_hash", masks))
-    parts = [long]
-    for k in lengths:
-        parts.append(items.filter(F.col("_in") == k).withColumn("_p", F.lit(0))
-                     .withColumn("_hash", _hash_at(hs, F.lit(0), range(k), 100 + k)))
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out.select("_hash", "item_id", _around(F.col("_iws"), p).alias("_iws"),
-                      F.least(p, F.lit(REACH)).alias("_ip"))
+def _item_seeds(items: DataFrame, groups: list[str]) -> DataFrame:
+    """(hash, item_id, words around it, position among them, words compared at
+    least) of every item position under every pattern of its length."""
+    p, out = F.col("_p"), []
+    for g in groups:
+        low, high = GROUPS[g]
+        own = _with_parts(items.filter(F.col("_in").between(low, high or (1 << 30))), "_iws", [g])
+        seeds = F.array(*[F.struct(F.lit(span).alias("span"), h.alias("h"))
+                          for span, h in _patterns([g])])
+        out.append(own.select("item_id", "_iws", "_in", F.explode(seeds).alias("_s"))
+                   .select("item_id", "_iws", "_in", "_s.span",
+                           F.posexplode("_s.h").alias("_p", "_hash"))
+                   .filter(p + F.col("span") <= F.col("_in")))
+    seeds = out[0]
+    for x in out[1:]:
+        seeds = seeds.unionByName(x)
+    return seeds.select("_hash", "item_id", _around(F.col("_iws"), p).alias("_iws"),
+                        F.least(p, F.lit(REACH)).alias("_ip"),
+                        F.least("_in", F.lit(SPAN)).alias("_least"))
 
 
 def filter_bits(rows: int) -> int:
@@ -119,51 +156,34 @@ def marked(places: Column, h, table: Column, n_bits: int) -> Column:
     return F.filter(hashed, lambda x: maybe(x["h"], table, n_bits))
 
 
-def contaminated_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, n_matched, n_compared, overlap) for every document
-    that holds a benchmark item, or a stretch of one.
-
-    ``n_matched`` of ``n_compared`` words agree around the best hit
-    (``REACH`` words to either side); ``overlap`` is the best share of
-    agreeing words in a stretch of ``STRETCH`` words (the compared words, if
-    fewer).  A pair is kept at ``overlap`` >= ``MIN_SIMILARITY``.  Items of 5
-    to 11 words must appear whole; shorter items, null and empty texts match
-    nothing.  Repeated rows and ids count once per (doc_id, item_id).  Empty
-    tables give an empty result.
-
-    Scale: hashing, probing and comparing run in one stage over the documents;
-    a Bloom filter of the benchmark's hashes, at most ``MAX_BITS`` bits, keeps
-    nearly all positions from becoming rows.  The hashes are broadcast up to
-    ``BROADCAST_SEEDS`` rows (counted first), else joined by a shuffle.  Hits
-    are compared where they arise and pre-aggregated per pair."""
+def _hits(docs: DataFrame, benchmark: DataFrame, *keys: str) -> DataFrame:
+    """(keys, item_id, overlap, words matched, words compared) of the hits that
+    agree well enough; ``docs`` has the keys and ``text``."""
     items = (benchmark.select(F.col("item_id").alias("item_id"), words(F.col("text")).alias("_iws"))
              .withColumn("_in", F.size("_iws")).filter(F.col("_in") >= MIN_WORDS).distinct())
-    # at most SPAN - MIN_WORDS rows
-    lengths = sorted(r[0] for r in
-                     items.filter(F.col("_in") < SPAN).select("_in").distinct().collect())
-    seeds = cut_lineage(_item_seeds(items, lengths))
+    # at most one row a group
+    group = F.when(F.col("_in") >= SPAN, "long").when(F.col("_in") >= 8, "middle").otherwise("short")
+    groups = sorted(r[0] for r in items.select(group).distinct().collect()) or ["long"]
+    seeds = cut_lineage(_item_seeds(items, groups))
     n_seeds = seeds.count()
     n_bits = filter_bits(n_seeds)
     table = bit_table(seeds, n_bits)
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                    words(F.col("text")).alias("_ws")).withColumn("_hs", word_hashes(F.col("_ws")))
-    ws, hs, n, n_masks = F.col("_ws"), F.col("_hs"), F.size("_ws"), len(MASKS)
-
-    def found(span: int, h) -> Column:
-        """(window around, position in it, hash) of the positions that may hit."""
-        ps = F.when(n >= span, F.sequence(F.lit(0), n - span)).otherwise(
-            F.array().cast("array<int>"))
-        return F.transform(
-            marked(ps, h, table, n_bits),
-            lambda x: F.struct(_around(ws, x["p"]).alias("_w"),
-                               F.least(x["p"], F.lit(REACH)).alias("_p"), x["h"].alias("_hash")))
-
-    cand = [found(SPAN, lambda p: _mask_hash(hs, p, p % n_masks))]
-    cand += [found(k, lambda p, k=k: _hash_at(hs, p, range(k), 100 + k)) for k in lengths]
+    d = _with_parts(docs.select(*keys, words(F.col("text")).alias("_ws")), "_ws", groups)
+    ws = F.col("_ws")
+
+    def found(hashes: Column) -> Column:
+        """(position, hash) of the hashes that may be an item's."""
+        return F.filter(F.transform(hashes, lambda h, p: F.when(
+            maybe(h, table, n_bits), F.struct(p.alias("p"), h.alias("h")))), lambda x: x.isNotNull())
+
+    places = F.concat(*[found(h) for _, h in _patterns(groups)])
+    cand = F.transform(places, lambda x: F.struct(
+        _around(ws, x["p"]).alias("_w"), F.least(x["p"], F.lit(REACH)).alias("_p"),
+        x["h"].alias("_hash")))
     # explode_outer: for explode, the optimizer would infer a filter on the
     # generator's input and so compute the hashes twice
-    hits = (d.select("doc_id", F.explode_outer(F.concat(*cand)).alias("_c"))
-            .filter(F.col("_c").isNotNull()).select("doc_id", "_c.*")
+    hits = (d.select(*keys, F.explode_outer(cand).alias("_c"))
+            .filter(F.col("_c").isNotNull()).select(*keys, "_c.*")
             .join(F.broadcast(seeds) if n_seeds <= BROADCAST_SEEDS else seeds, "_hash"))
 
     # words of item and document along the diagonal of the hit
@@ -173,14 +193,36 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     equal = F.transform(F.sequence(first, last),
                         lambda j: (F.get("_w", shift + j) == F.get("_iws", j)).cast("int"))
     add = (F.lit(0), lambda a, x: a + x)
-    hits = hits.select("doc_id", "item_id", equal.alias("_eq"))
+    hits = (hits.filter(last - first + 1 >= F.col("_least"))
+            .select(*keys, "item_id", equal.alias("_eq")))
     width = F.least(F.lit(STRETCH), F.size("_eq"))
     best = F.array_max(F.transform(F.sequence(F.lit(0), F.size("_eq") - width),
                                    lambda j: F.aggregate(F.slice("_eq", j + 1, width), *add)))
-    return (hits.select("doc_id", "item_id", (best / width).alias("overlap"),
+    return (hits.select(*keys, "item_id", (best / width).alias("overlap"),
                         F.aggregate("_eq", *add).cast("long").alias("_m"),
                         F.size("_eq").cast("long").alias("_c"))
-            .filter(F.col("overlap") >= MIN_SIMILARITY)
+            .filter(F.col("overlap") >= MIN_SIMILARITY))
+
+
+def contaminated_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, n_matched, n_compared, overlap) for every document
+    that holds a benchmark item, or a stretch of one.
+
+    ``n_matched`` of ``n_compared`` words agree around the best hit
+    (``REACH`` words to either side); ``overlap`` is the best share of
+    agreeing words in a stretch of ``STRETCH`` words (the compared words, if
+    fewer).  A pair is kept at ``overlap`` >= ``MIN_SIMILARITY`` if at least
+    ``SPAN`` words were compared.  Items of 5 to 11 words are compared whole;
+    shorter items, null and empty texts match nothing.  Repeated rows and ids
+    count once per (doc_id, item_id).  Empty tables give an empty result.
+
+    Scale: hashing, probing and comparing run in one stage over the documents;
+    a Bloom filter of the benchmark's hashes, at most ``MAX_BITS`` bits, keeps
+    nearly all positions from becoming rows.  The hashes are broadcast up to
+    ``BROADCAST_SEEDS`` rows (counted first), else joined by a shuffle.  Hits
+    are compared where they arise and pre-aggregated per pair."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return (_hits(docs, benchmark, "doc_id")
             # matched first, then the fewest compared, packed into one long each
             .groupBy("doc_id", "item_id")
             .agg(F.max(F.col("_m") * 1000 + 999 - F.col("_c")).alias("_b"),

@@ -112,6 +112,26 @@ def test_decontamination(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5, 6, 7]
 
 
+def test_decontamination_of_changed_items(spark):
+    rng = random.Random(12)
+    items, rows, want = [], [], set()
+    for n in range(5, 19):
+        item = [f"i{n}w{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        most = min(2, n // 4)                                # what 0.75 allows, up to two
+        for at in [(), *((a,) for a in range(n)),
+                   *((a, b) for b in range(n) for a in range(b) if most == 2)]:
+            ws = ["other" if k in at else w for k, w in enumerate(item)]
+            fill = [[f"n{rng.randrange(900)}" for _ in range(rng.randrange(8, 40))] for _ in "ab"]
+            want.add((len(rows), n))
+            rows.append((len(rows), " ".join(fill[0] + ws + fill[1]), None, None, 0))
+        ws = ["other" if k % 2 else w for k, w in enumerate(item)]  # half of it
+        rows.append((len(rows), " ".join(["x"] * 20 + ws + ["y"] * 20), None, None, 0))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.contaminated_pairs(make(spark, rows), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want
+
+
 def jaccard_brute(rows):
     def grams(t):
         ws = (t or "").translate({c: c + 32 for c in range(65, 91)})
