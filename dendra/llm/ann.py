@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dendra.session import cut_lineage
+
 # Projected dimensions (even: the chi-square law then has a closed form).
 DIMS = 8
 CONFIDENCE = 0.98
@@ -58,7 +60,8 @@ def build_tree(p: np.ndarray, leaf: int = LEAF) -> list[tuple]:
 
 
 def search(tree, vecs, ids, proj, q, qid, qp, k: int, confidence: float):
-    """The query's k best (distance, id) among the shard's vectors."""
+    """The query's k best (distance, id) among the shard's vectors, each id
+    once."""
     def gap(n):
         low, high = tree[n][:2]
         return float((np.maximum(0, np.maximum(low - qp, qp - high)) ** 2).sum())
@@ -84,7 +87,10 @@ def search(tree, vecs, ids, proj, q, qid, qp, k: int, confidence: float):
             diff = vecs[rows] - q
             best_d = np.concatenate([best_d, np.sqrt((diff * diff).sum(1))])
             best_i = np.concatenate([best_i, ids[rows]])
-            o = np.lexsort((best_i, best_d))[:k]
+            o = np.lexsort((best_i, best_d))
+            best_d, best_i = best_d[o], best_i[o]
+            # one place for each id
+            o = np.sort(np.unique(best_i, return_index=True)[1])[:k]
             best_d, best_i = best_d[o], best_i[o]
         if len(best_d) == k and front < math.inf:
             kth = best_d[-1] ** 2
@@ -110,16 +116,18 @@ def nearest(vectors: DataFrame, query_every: int = 100, k: int = 10, dims: int =
     of every row whose id is divisible by ``query_every``, among all other
     rows; ties go to the smaller id; fewer rows if there are fewer candidates.
 
-    Rows with an unusable vector take no part (see ``usable``).  Repeated ids
-    are candidates in their own right but a query's own id never is; a vector
-    is only compared with vectors of its own length.  An empty table gives an
-    empty result.
+    Rows with an unusable vector take no part (see ``usable``).  Repeated rows
+    (same id and vector) count as one.  An id with several vectors is one
+    candidate, at the smallest of their distances from any of the query's
+    vectors; a query's own id never is one.  A vector is only compared with
+    vectors of its own length.  An empty table gives an empty result.
 
     Scale: every vector is indexed, in shards of about ``SHARD_ROWS`` by a hash
     of the id; the stated query set meets every shard in blocks of
     ``QUERY_BLOCK`` queries, and each meeting leaves at most ``k`` rows a
-    query.  Projection directions follow from ``seed`` alone."""
-    rows = usable(vectors, id_col, vec_col).withColumn("n_dim", F.size("v"))
+    query vector.  Repeated rows are folded by a shuffle of the vectors.  Projection directions follow from ``seed`` alone."""
+    rows = cut_lineage(usable(vectors, id_col, vec_col).distinct()
+                       .withColumn("n_dim", F.size("v")))
     n = rows.count()
     shards = max(1, math.ceil(n / SHARD_ROWS))
     blocks = max(1, math.ceil(n / query_every / QUERY_BLOCK))
@@ -149,5 +157,6 @@ def nearest(vectors: DataFrame, query_every: int = 100, k: int = 10, dims: int =
     found = (index.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block"))
              .applyInPandas(meet, "query_id long, vec_id long, score double"))
     w = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return (found.distinct().withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return (found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+            .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int"), "vec_id", "score"))

@@ -339,6 +339,27 @@ def test_nearest(spark):
     assert not any(r["query_id"] == 1600 for r in got)       # nothing of its length
 
 
+def test_nearest_with_repeated_rows(spark):
+    rng = np.random.default_rng(9)
+    v = rng.standard_normal((300, 16))
+    rows = [(i, [float(x) for x in v[i]], 0) for i in range(300)]
+    schema = "vec_id long, embedding array<double>, v int"
+
+    def run(rows):
+        return sorted(map(tuple, ann.nearest(spark.createDataFrame(rows, schema),
+                                             query_every=50).collect()))
+    once = run(rows)
+    assert len(once) == 60
+    assert run(rows * 2) == once and run(rows + rows[1:2] * 30) == once
+    # an id with many vectors takes one place
+    near = [(7, [x + 1e-6 * k for x in rows[0][1]], 0) for k in range(1, 31)]
+    got = [r for r in run(rows + near) if r[0] == 0]
+    assert [r[1] for r in got] == list(range(1, 11)) and [r[2] for r in got].count(7) == 1
+    # a query id with several vectors: the best of each candidate
+    got = [r for r in run(rows + [(0, rows[1][1], 0)]) if r[0] == 0]
+    assert [r[1] for r in got] == list(range(1, 11)) and len({r[2] for r in got}) == 10
+
+
 def test_language(spark):
     docs = common.read(spark, "/root/testdata/sf0.01", "documents")
     got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
