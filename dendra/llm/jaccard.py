@@ -120,17 +120,17 @@ def trie_links(x: np.ndarray, partners: list[tuple[int, np.ndarray]]) -> list[in
 
 
 def _profile_sets(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds: (doc_id, n, cls) per document, and (gram, cnt) for
-    n-grams that are frequent within a task."""
+    """Rows of two kinds: (doc_id, key, key2, n, cls) per document, and (gram,
+    cnt) for n-grams that are frequent within a task."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "cls", "gram", "cnt"]
+        names = ["doc_id", "key", "key2", "n", "cls", "gram", "cnt"]
         window, held, seen = [], 0, set()
 
         def heavy():
             u, c = np.unique(np.concatenate(window), return_counts=True)
             u, c = u[c >= HEAVY_COUNT].view(np.int64), c[c >= HEAVY_COUNT]
             none = pa.nulls(len(u), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, pa.array(u), pa.array(c)], names)
+            return pa.RecordBatch.from_arrays([none] * 5 + [pa.array(u), pa.array(c)], names)
 
         for b in batches:
             ns, cs = [], []
@@ -148,12 +148,13 @@ def _profile_sets(docs: DataFrame) -> DataFrame:
                     window, held, seen = [], 0, set()
             none = pa.nulls(len(ns), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(ns, pa.int64()), pa.array(cs, pa.int64()),
-                 none, none], names)
+                [b.column("doc_id"), b.column("key"), b.column("key2"), pa.array(ns, pa.int64()),
+                 pa.array(cs, pa.int64()), none, none], names)
         if window:
             yield heavy()
 
-    return docs.mapInArrow(scan, "doc_id long, n long, cls long, gram long, cnt long")
+    return docs.mapInArrow(scan, "doc_id long, key long, key2 long, n long, cls long, gram long, "
+                           "cnt long")
 
 
 def _ordered(s: np.ndarray, heavy: np.ndarray) -> np.ndarray:
@@ -223,19 +224,19 @@ def _shared(prefixes: DataFrame, partitions: int) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, heavy: np.ndarray) -> DataFrame:
-    """(cls, set) of the wanted classes (``doc_id``, ``cls``)."""
+    """(cls, set) of the wanted classes (``key`` of one of its rows, ``cls``)."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cls, sets = [], []
             for t, c in zip(b.column("text").to_pylist(), b.column("cls").to_pylist()):
                 s = shingle_set(t)
-                if class_of(s) == c:             # else another text under the same id
+                if class_of(s) == c:             # else another text with this key
                     cls.append(c)
                     sets.append(_ordered(s, heavy).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cls, pa.int64()), pa.array(sets, pa.binary())], ["cls", "set"])
 
-    return (docs.join(wanted, "doc_id").select("text", "cls")
+    return (docs.join(wanted, "key").select("text", "cls")
             .mapInArrow(scan, "cls long, set binary").dropDuplicates(["cls"]))
 
 
@@ -316,35 +317,28 @@ def _all_pairs(at: DataFrame) -> DataFrame:
             .select("a", "b").distinct())
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """One row per document: ``doc_id``, ``n_shingles`` (size of its set) and
-    ``component_id`` (smallest doc_id reachable by links, itself included).
+def _keys() -> list:
+    """Two hashes of a row's id and text; a null id counts as none."""
+    return [F.xxhash64(F.lit(i), F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
+                       F.coalesce(F.col("text"), F.lit(""))) for i in range(2)]
 
-    Null and empty texts have empty sets and link with nothing.  Texts of
-    fewer than five words are one shingle, so equal ones link.  Repeated rows
-    each give a row; rows with a null id keep a null ``component_id`` only if
-    nothing with an id is reachable.  An empty table gives an empty result.
-
-    Exact: every pair with Jaccard >= 3/4 shares a prefix element.  Classes
-    are first linked to a pivot of their shared elements (few pairs, which
-    unite hot groups of near copies); then every remaining pair of classes in
-    different components that shares enough prefix elements is verified.
 
-    Scale: one slim row per document and the prefixes (about a quarter of all
-    n-grams, 16 bytes each) are shuffled; whole sets only for classes in
-    candidate pairs.  Groups are joined, never collected."""
+def _members(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, key2, n, comp) of every row; ``comp`` is the component's
+    smallest class, null without words."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = texts(docs)
+    docs = docs.select("*", *[k.alias(n) for k, n in zip(_keys(), ("key", "key2"))])
     scanned = cut_lineage(_profile_sets(docs))
-    rows = scanned.filter(F.col("n").isNotNull()).select("doc_id", "n", "cls")
+    rows = scanned.filter(F.col("n").isNotNull()).select("doc_id", "key", "key2", "n", "cls")
     # at most HEAVY_MAX numbers
     heavy = np.sort(np.array([r[0] for r in (
         scanned.filter(F.col("gram").isNotNull()).groupBy("gram").agg(F.sum("cnt").alias("c"))
         .orderBy(F.desc("c"), "gram").limit(HEAVY_MAX).select("gram").collect())],
         np.int64).view(np.uint64))
     classes = cut_lineage(rows.filter("n > 0").groupBy("cls")
-                          .agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")))
+                          .agg(F.min("key").alias("key"), F.first("n").alias("n")))
     size = classes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)).first()[0] or 0
     blocks = cut_lineage(_shared(_prefixes(docs, heavy),
                                  max(partitions_for(spark), -(-int(size) // PREFIX_ROWS)))
@@ -377,28 +371,69 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
                   .unionByName(pairs.select(F.col("b").alias("cls"))).distinct())
         if sets is not None:
             wanted = wanted.join(sets.select("cls"), "cls", "left_anti")
-        more = cut_lineage(_sets_of(docs, wanted.join(classes.select("cls", "doc_id"), "cls"), heavy))
+        more = cut_lineage(_sets_of(docs, wanted.join(classes.select("cls", "key"), "cls"), heavy))
         sets = more if sets is None else sets.unionByName(more)
         found = cut_lineage(_verified(pairs, sets))
         links = found if links is None else cut_lineage(links.unionByName(found))
         label = components(links)
 
-    member = classes.select("cls", "doc_id")
+    rows = rows.withColumn("comp", F.col("cls"))
     if label is not None:
-        member = (member.join(label.withColumnRenamed("v", "cls"), "cls", "left")
-                  .withColumn("comp", F.coalesce("comp", "cls")))
-    else:
-        member = member.withColumn("comp", F.col("cls"))
-    lowest = member.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    of_class = member.join(lowest, "comp").select("cls", "component_id")
-    return (rows.join(of_class, "cls", "left")
+        rows = (rows.drop("comp").join(label.withColumnRenamed("v", "cls"), "cls", "left")
+                .withColumn("comp", F.coalesce("comp", "cls")))
+    return rows.select("doc_id", "key", "key2", "n", "comp")
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """One row per document: ``doc_id``, ``n_shingles`` (size of its set) and
+    ``component_id`` (smallest doc_id reachable by links, itself included).
+
+    Null and empty texts have empty sets and link with nothing.  Texts of
+    fewer than five words are one shingle, so equal ones link.  Repeated rows
+    each give a row; rows with a null id keep a null ``component_id`` only if
+    nothing with an id is reachable.  An empty table gives an empty result.
+
+    Exact: every pair with Jaccard >= 3/4 shares a prefix element.  Classes
+    are first linked to a pivot of their shared elements (few pairs, which
+    unite hot groups of near copies); then every remaining pair of classes in
+    different components that shares enough prefix elements is verified.
+
+    Scale: one slim row per document and the prefixes (about a quarter of all
+    n-grams, 16 bytes each) are shuffled; whole sets only for classes in
+    candidate pairs.  Groups are joined, never collected."""
+    rows = cut_lineage(_members(docs))
+    lowest = (rows.filter("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id")))
+    return (rows.join(lowest, "comp", "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.coalesce("component_id", "doc_id").alias("component_id")))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents whose id is the smallest of their component, once each
-    (rows with a null id and documents without words all stay)."""
-    found = jaccard_components(docs).filter("n_shingles > 0 AND doc_id <> component_id")
-    kept = docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
-    return kept
+    """One row of each component: that with the smallest id (null comes last),
+    then the smallest hash of its text; of repeated rows with the same id and
+    text one stays.  Rows without words all stay, and rows outside a component
+    with several rows are not touched.
+
+    Scale: rows are told apart by ``_keys``; only the keys of rows that go or
+    are repeated meet the documents."""
+    keys = (_members(docs).filter("n > 0").groupBy("comp", "key", "key2")
+            .agg(F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("c")))
+    keys = cut_lineage(keys)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "key2")
+    first = (keys.groupBy("comp").agg(F.min(order).alias("o"), F.sum("c").alias("total"))
+             .filter("total > 1").select("comp", F.col("o.key").alias("k"),
+                                         F.col("o.key2").alias("k2")))
+    known = keys.join(first, "comp")
+    stays = (F.col("key") == F.col("k")) & (F.col("key2") == F.col("k2"))
+    goes = known.filter(~stays).select(F.col("key").alias("_k"), F.col("key2").alias("_k2"))
+    repeated = known.filter(stays & (F.col("c") > 1)) \
+        .select(F.col("key").alias("_k"), F.col("key2").alias("_k2"))
+
+    key, key2 = _keys()
+    same = (key == F.col("_k")) & (key2 == F.col("_k2"))
+    several = goes.unionByName(repeated)
+    once = docs.join(several, same, "left_anti").select(docs.columns)
+    # one whole row of each repeated key
+    one = (docs.join(repeated, same).groupBy("_k", "_k2")
+           .agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*"))
+    return once.unionByName(one)

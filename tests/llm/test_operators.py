@@ -176,6 +176,40 @@ def test_jaccard_hot_group_of_near_copies(spark):
     assert sorted(got, key=str) == jaccard_brute(rows)
 
 
+def test_stages_tell_rows_apart_by_id_and_text(spark):
+    ws = [f"b{k}" for k in range(60)]
+    near = ws[:]
+    near[30] = "edited"
+    far = [" ".join(f"{c}{k}" for k in range(60)) for c in "pqrst"]
+    rows = [(1, " ".join(ws)), (2, " ".join(near)), (2, far[0]),           # a used id
+            (3, far[1]), (3, far[1]), (3, far[1]),                          # repeated rows
+            (None, " ".join(ws)), (None, far[2]), (None, far[2]),           # null ids
+            (None, far[3] + " x"), (None, far[3] + " y"), (9, far[4]), (8, ""), (8, ""), (7, None)]
+    docs = make(spark, [(*r, None, None, 0) for r in rows])
+    kept = jaccard.keep_one_of_each(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    last = [r for r in got if (r[1] or "").startswith("s0 ")]
+    assert len(last) == 1
+    assert got == sorted([rows[0], rows[2], rows[3], rows[7], last[0], *rows[11:]], key=str)
+    # without any id, classes still link
+    nulls = make(spark, [(None, " ".join(ws), None, None, 0), (None, " ".join(near), None, None, 0),
+                         (None, far[0], None, None, 0)])
+    assert jaccard.keep_one_of_each(nulls).count() == 2
+    # a class without an id bridges two others
+    bridge = [ws[:k] + ["new"] * (k < 60) + ws[k + 1:] for k in (60, 53)]
+    chain = ws[:6] + ["other"] + ws[7:53] + ["new"] + ws[54:]
+    got = jaccard.jaccard_components(make(spark, [
+        (i, " ".join(x), None, None, 0) for i, x in ((1, bridge[0]), (None, bridge[1]), (2, chain))]))
+    assert {r["component_id"] for r in got.collect()} == {1}
+
+    bench = spark.createDataFrame([(0, " ".join(ws[:30]))], "item_id long, text string")
+    clean = decontam.decontaminate(docs, bench)
+    assert clean.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in clean.collect()), key=str)
+    assert got == sorted([r for r in rows if not (r[1] or "").startswith("b0 ")], key=str)
+
+
 def test_trie_links_equal_pairwise():
     rng = random.Random(3)
     for _ in range(200):
