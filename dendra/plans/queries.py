@@ -501,7 +501,8 @@ def _conversation_texts(spark, sf_dir):
 
 def q_project_new_points(spark, sf_dir):
     """Conversation turns placed into a 2-d layout of the documents (both
-    embedded with the offline dense embedding against the corpus IDF)."""
+    embedded with the offline dense embedding against the corpus IDF).  One
+    row a turn; turns without any corpus term have null coordinates."""
     w, dfreq = _doc_weights(spark, sf_dir)
     docs = FE.dense_embed(FE.sparse_vectors(w), FE.DENSE_DIM)
     conv = _conversation_texts(spark, sf_dir)
@@ -512,7 +513,7 @@ def q_project_new_points(spark, sf_dir):
                         n_epochs=EPOCHS, id_col="doc_id", vec="embedding")
     pr = predict.project_new_points(cv, docs, pos, UMAP_NEIGHBORS, new_id="qid",
                                     train_id="doc_id", vec="embedding")
-    return (pr.join(conv.select("qid", "conv_id", "turn"), "qid")
+    return (conv.select("qid", "conv_id", "turn").join(pr, "qid", "left")
             .select("conv_id", "turn", F.transform("coords", lambda x: F.round(x, 4)).alias("coords")))
 
 
