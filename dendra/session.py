@@ -99,7 +99,8 @@ def cut_lineage(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     if partition_by:
         w = w.partitionBy(partition_by)
     w.parquet(path)
-    return spark.read.parquet(path)
+    # the schema is known, and a table without rows may have no file to infer it from
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table_path(sf_dir: str, name: str) -> str:
