@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dendra.llm import urls
+
 ORACLES: dict[str, str] = {}
 
 ORACLES["op1_mix"] = r"""
@@ -109,3 +111,62 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles,
 FROM documents d LEFT JOIN n USING (doc_id)
 LEFT JOIN (SELECT a AS doc_id, min(b) AS lo FROM reach GROUP BY a) m USING (doc_id)
 """
+
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in urls.RULES)
+_TERMS = ", ".join([f"('{t}', {urls.LIMIT})" for t in urls.STRICT] + [f"('{t}', 1)" for t in urls.SOFT])
+
+ORACLES["op11_urls"] = rf"""
+WITH rules(rhost, rpath, rverdict) AS (VALUES {_RULES}), terms(term, w) AS (VALUES {_TERMS}),
+u AS (
+  SELECT page_id, url, row_number() OVER () AS n,
+         coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), '{_UP}', '{_LOW}'), '') AS host,
+         coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path,
+         translate(coalesce(url, ''), '{_UP}', '{_LOW}') AS low
+  FROM pages),
+ruled AS (
+  SELECT u.*, rhost || rpath AS rule, rverdict
+  FROM u LEFT JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+  QUALIFY row_number() OVER (PARTITION BY n ORDER BY len(rhost) + len(rpath) DESC) = 1),
+hits AS (
+  SELECT n, string_agg(term, ' ' ORDER BY term) FILTER (w > 1) AS strict_terms,
+         string_agg(term, ' ' ORDER BY term) FILTER (w = 1) AS soft_terms, sum(w)::BIGINT AS weight
+  FROM ruled JOIN terms ON regexp_matches(low, '(^|[^\p{{L}}\p{{N}}])' || term || '($|[^\p{{L}}\p{{N}}])')
+  WHERE rule IS NULL GROUP BY n)
+SELECT page_id, host, path, rule,
+       coalesce(rverdict, CASE WHEN weight >= {urls.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
+       coalesce(strict_terms, '') AS strict_terms, coalesce(soft_terms, '') AS soft_terms,
+       coalesce(weight, 0)::BIGINT AS weight
+FROM ruled LEFT JOIN hits USING (n)
+"""
+
+ORACLES["op12_trie"] = r"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+                                     coalesce(text, '')) - 1 AS pos,
+         {'r': coalesce(role, ''), 't': coalesce(text, '')} AS v
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list(v ORDER BY pos) AS own FROM t GROUP BY conv_id),
+h AS (
+  SELECT *, conv_id - conv_id % 100 AS base,
+         (4294967295 - list_reduce(list_prepend(4294967295::BIGINT,
+             list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+           lambda acc, ch: list_reduce(list_prepend(xor(acc, ch), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+             lambda a, z: xor(a >> 1, (a & 1) * 3988292384)))) % 6 AS h
+  FROM c),
+r AS (
+  SELECT a.conv_id, list_concat(coalesce(b.own, [])[1 : a.h], a.own[a.h + 1 :]) AS path
+  FROM h a LEFT JOIN c b ON b.conv_id = a.base),
+m AS (SELECT conv_id, path, unnest(range(len(path) + 1)) AS d FROM r),
+n AS (
+  SELECT path[1 : d] AS k, d, min(conv_id) AS conv_id, count(*) AS n_convs, max(len(path)) > d AS goes_on,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(path) = d), '')) AS ends_sha256
+  FROM m GROUP BY 1, 2),
+below AS (
+  SELECT a.k, count(*) FILTER (NOT b.goes_on) AS n_leaves, count(*) FILTER (b.d = a.d + 1) AS n_children,
+         sum(CASE WHEN b.d > 0 THEN (b.n_convs - 1) * length(b.k[b.d].t) ELSE 0 END)::BIGINT AS saved_tokens
+  FROM n a JOIN n b ON b.d >= a.d AND b.k[1 : a.d] = a.k GROUP BY a.k)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, n_children, n_leaves, saved_tokens,
+       n.ends_sha256
+FROM n JOIN below USING (k) LEFT JOIN n p ON n.d > 0 AND p.d = n.d - 1 AND p.k = n.k[1 : n.d - 1]
+"""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dendra.llm import ann, common, decontam, jaccard, langid, licenses, mixing, secrets, substrings, tokens, toxicity
+from pyspark.sql import functions as F
+
+from dendra.llm import ann, common, decontam, jaccard, langid, licenses, mixing, periodic, prefix_trie, secrets, substrings, tokens, toxicity, urls
 
 
 def op1_mix(spark, sf_dir):
@@ -60,5 +62,23 @@ def op10_language(spark, sf_dir):
     return langid.identify(common.read(spark, sf_dir, "documents"))
 
 
+def op11_urls(spark, sf_dir):
+    """The verdict of every page's url."""
+    return urls.judge_urls(common.read(spark, sf_dir, "pages"), urls.rules_table(spark)).select(
+        "page_id", "host", "path", "rule", "verdict", F.concat_ws(" ", "strict_terms").alias("strict_terms"),
+        F.concat_ws(" ", "soft_terms").alias("soft_terms"), F.coalesce("weight", F.lit(0)).cast("long").alias("weight"))
+
+
+def op12_trie(spark, sf_dir):
+    """Every node of the prefix trie of all rebuilt conversations."""
+    return prefix_trie.conversation_trie(common.read(spark, sf_dir, "conversations"))
+
+
+def op13_runs(spark, sf_dir):
+    """The periodic runs of every document."""
+    return periodic.periodic_runs(common.read(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_mix, op2_decontaminate, op3_jaccard, op4_licenses, op5_toxicity, op6_secrets, op7_repeated_substrings, op8_token_counts, op9_nearest, op10_language)}
+    op1_mix, op2_decontaminate, op3_jaccard, op4_licenses, op5_toxicity, op6_secrets, op7_repeated_substrings, op8_token_counts, op9_nearest, op10_language,
+    op11_urls, op12_trie, op13_runs)}
