@@ -343,17 +343,18 @@ def conversation_trie(conversations: DataFrame, most_cells: int = MOST_CELLS) ->
                      (F.col("_f") - F.col("f_above")).alias("saved_tokens"),
                      F.coalesce("ends_sha256", none).alias("ends_sha256")))
     under = alone(firsts.join(parents, ["p1", "p2"], "left"), F.col("_parent"))
-    totals = (nodes.select("depth", "f", "leaf").unionByName(
-        firsts.select("depth", F.lit(0).cast("long").alias("f"), F.lit(1).cast("long").alias("leaf")))
-        .agg(F.sum((F.col("depth") == 1).cast("long")).alias("n_children"),
-             F.sum("leaf").alias("leaf"), F.sum("f").alias("f")))
-    at_root = hashes.filter((F.col("k1") == root[0]) & (F.col("k2") == root[1])).agg(
-        F.max("ends_sha256").alias("ends_sha256"))
-    top = (all_convs.filter("n_convs > 0").crossJoin(totals).crossJoin(at_root)        # one row each
+    parts = (nodes.select("depth", "f", "leaf").unionByName(
+        firsts.select("depth", F.lit(0).cast("long").alias("f"), F.lit(1).cast("long").alias("leaf"))))
+    at_root = hashes.filter((F.col("k1") == root[0]) & (F.col("k2") == root[1]))
+
+    def total(df, what, empty):
+        return F.coalesce(df.select(what.alias("v")).scalar(), empty)
+
+    top = (all_convs.filter("n_convs > 0")
            .select(F.col("rep").alias("conv_id"), F.lit(0).cast("long").alias("depth"),
                    F.lit(None).cast("long").alias("parent_conv_id"), "n_convs",
-                   F.coalesce("n_children", F.lit(0)).alias("n_children"),
-                   F.coalesce("leaf", F.lit(1)).alias("n_leaves"),
-                   F.coalesce("f", F.lit(0)).alias("saved_tokens"),
-                   F.coalesce("ends_sha256", none).alias("ends_sha256")))
+                   total(parts, F.sum((F.col("depth") == 1).cast("long")), F.lit(0)).alias("n_children"),
+                   total(parts, F.sum("leaf"), F.lit(1)).alias("n_leaves"),
+                   total(parts, F.sum("f"), F.lit(0)).alias("saved_tokens"),
+                   total(at_root, F.max("ends_sha256"), none).alias("ends_sha256")))
     return top.unionByName(inner).unionByName(under).unionByName(tails).select(*NODE)

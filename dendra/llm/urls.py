@@ -63,11 +63,10 @@ def longest_rule(urls: DataFrame, rules: DataFrame) -> DataFrame:
          .filter((F.col("_host") != "") & F.col("verdict").isNotNull())
          .groupBy("_host", "_path").agg(F.min("verdict").alias("_verdict")))
     lengths = r.groupBy("_host").agg(F.collect_set(F.length("_path")).alias("_lengths"))
-    deepest = r.agg(F.max(F.size(F.split("_host", r"\."))).alias("_deepest"))
+    deepest = F.coalesce(r.select(F.max(F.size(F.split("_host", r"\."))).alias("n")).scalar(), F.lit(1))
     labels = F.split("host", r"\.")
-    cut = (urls.crossJoin(F.broadcast(deepest))        # one row
-           .withColumn("_labels", F.slice(labels, F.greatest(
-               F.lit(1), F.size(labels) - F.coalesce("_deepest", F.lit(1)) + 1), F.size(labels)))
+    cut = (urls.withColumn("_labels", F.slice(
+        labels, F.greatest(F.lit(1), F.size(labels) - deepest + 1), F.size(labels)))
            .withColumn("_host", F.explode(F.expr(
                "transform(sequence(1, size(_labels)), "
                "i -> array_join(slice(_labels, i, size(_labels)), '.'))"))))
