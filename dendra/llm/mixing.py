@@ -12,11 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dendra.llm.common import n_words
+from dendra.llm.common import n_words, partitions_for
 from dendra.session import cut_lineage
 
-# Hex digits of the shuffle key that split a source into ordered buckets.
-BUCKET_DIGITS = 3
 # Ordered slots per unit of virtual time.
 SLOTS = 1024
 # Finish times above this share wider, logarithmic slots.
@@ -52,6 +50,46 @@ def source_targets(sizes: DataFrame, weights=(3, 1, 2), budget_ratio: float = 1.
             .select("_null", "_src", "source_size", "target", "_budget"))
 
 
+def shuffle_key(doc_id, text, seed: str):
+    """The random order as two longs: the first 30 hex digits of an md5 of the
+    id, of the text's md5 where the id is null."""
+    digits = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(
+        doc_id.cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(text, F.lit("")))))))
+    return [F.conv(F.substring(digits, at, 15), 16, 10).cast("long") for at in (1, 16)]
+
+
+def queues(docs: DataFrame, weights, budget_ratio: float, max_repeats: int, seed: str) -> DataFrame:
+    """One row per document with its source's target and ``_cum``, the words
+    its source hands out up to and including it.
+
+    Documents are range sorted by (source, key), so that a source of any share
+    of the rows spreads over many partitions, also one of equal ids; sums per
+    (source, partition) carry the running totals across."""
+    base = cut_lineage(docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("source"),
+        F.col("source").isNull().alias("_null"), F.coalesce("source", F.lit("")).alias("_src"),
+        n_words(F.col("text")).alias("size"),
+        *[k.alias(n) for k, n in zip(shuffle_key(F.col("doc_id"), F.col("text"), seed), ("_k1", "_k2"))],
+        F.monotonically_increasing_id().alias("_row")))
+    order = ["_null", "_src", "_k1", "_k2", "doc_id", "size", "_row"]
+    ranged = cut_lineage(
+        base.repartitionByRange(partitions_for(docs.sparkSession), *order).sortWithinPartitions(*order)
+        .select("doc_id", "source", "_null", "_src", "size", F.spark_partition_id().alias("_part"),
+                F.monotonically_increasing_id().alias("_at")))
+    src = ["_null", "_src"]
+    sums = cut_lineage(ranged.groupBy(*src, "_part").agg(F.sum("size").alias("_sum")))
+    before = Window.partitionBy(*src).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*src, "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_off"))
+    targets = source_targets(sums.groupBy(*src).agg(F.sum("_sum").alias("source_size")),
+                             weights, budget_ratio, max_repeats)
+    run = (Window.partitionBy(*src, "_part").orderBy("_at")
+           .rowsBetween(Window.unboundedPreceding, 0))
+    return cut_lineage(
+        ranged.withColumn("_cum", F.sum("size").over(run))
+        .join(offsets.join(targets, src), [*src, "_part"])
+        .withColumn("_cum", F.col("_cum") + F.col("_off")).drop("_off", "_at", "_part"))
+
+
 def mix_sources(docs: DataFrame, weights=(3, 1, 2), budget_ratio: float = 1.5,
                 max_repeats: int = 2, seed: str = "mix") -> DataFrame:
     """One row per document: ``doc_id``, ``source``, ``size`` (words),
@@ -63,56 +101,39 @@ def mix_sources(docs: DataFrame, weights=(3, 1, 2), budget_ratio: float = 1.5,
     documents.  An empty table gives an empty result.  The shuffle key is an
     md5 of the id, so reruns agree.
 
-    Scale: one pass over the texts writes (doc_id, source, size); the order
-    inside a source is built from ``16**BUCKET_DIGITS`` key buckets per source
-    and the global order from slots of virtual time, so neither a hot source
-    nor the whole mix is ever sorted in one task.  Only bucket and slot totals
-    pass through single-partition windows."""
-    base = cut_lineage(docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source"),
-        F.col("source").isNull().alias("_null"),
-        F.coalesce(F.col("source"), F.lit("")).alias("_src"),
-        n_words(F.col("text")).alias("size"),
-        F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-        .alias("_key")))
-    src = ["_null", "_src"]
-    base = base.withColumn("_bucket", F.substring("_key", 1, BUCKET_DIGITS))
-    totals = base.groupBy(*src, "_bucket").agg(F.sum("size").alias("_sum"))
-    before = (Window.partitionBy(*src).orderBy("_bucket")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select(*src, "_bucket",
-                            F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_off"))
-    targets = source_targets(base.groupBy(*src).agg(F.sum("size").alias("source_size")),
-                             weights, budget_ratio, max_repeats)
-    in_bucket = Window.partitionBy(*src, "_bucket").orderBy("_key", "doc_id", "size")
-    queued = cut_lineage(
-        base.withColumn("_rn", F.row_number().over(in_bucket))
-        .withColumn("_cum", F.sum("size").over(
-            in_bucket.rowsBetween(Window.unboundedPreceding, 0)))
-        .join(offsets.join(targets, src), [*src, "_bucket"])
-        .withColumn("_cum", F.col("_cum") + F.col("_off")).drop("_off"))
-
-    copies = (queued.filter((F.col("size") > 0) & (F.col("target") > 0))
-              .withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))))
-              .withColumn("_finish", (F.col("_copy") * F.col("source_size") + F.col("_cum"))
-                          / F.col("target"))
-              .withColumn("_slot", F.when(
-                  F.col("_finish") < LINEAR_UNTIL, F.floor(F.col("_finish") * SLOTS))
-                  .otherwise(F.lit(LINEAR_UNTIL * SLOTS) + F.floor(F.log2("_finish") * SLOTS))))
-    slots = copies.groupBy("_slot").agg(F.sum("size").alias("_sum"))
-    slot_before = Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    open_slots = (slots.withColumn("_start", F.coalesce(F.sum("_sum").over(slot_before), F.lit(0)))
-                  .select("_slot", "_start"))
-    in_order = (Window.partitionBy("_slot")
-                .orderBy("_finish", *src, "_key", "_copy", "_rn")
-                .rowsBetween(Window.unboundedPreceding, 0))
-    taken = (copies.select("_slot", "_finish", *src, "_key", "_bucket", "_rn", "_copy", "size",
-                           "_budget")
-             .join(open_slots, "_slot")
-             .filter(F.col("_start") < F.col("_budget"))   # slots after the budget is spent
-             .withColumn("_total", F.col("_start") + F.sum("size").over(in_order))
-             .filter(F.col("_total") <= F.col("_budget"))
-             .groupBy(*src, "_bucket", "_rn").agg(F.sum("size").alias("taken")))
-    return (queued.join(taken, [*src, "_bucket", "_rn"], "left")
-            .select("doc_id", "source", "size", "source_size", "target",
-                    F.coalesce("taken", F.lit(0)).cast("long").alias("taken")))
+    Scale: one pass over the texts writes slim rows; everything after reads
+    those.  The global order is cut into slots of virtual time.  Slots that end
+    before the budget are taken whole, slots that start behind it not at all,
+    and only the one slot in which the budget ends is put in order row by row.
+    So a document's share follows from its own row and one cut point, and
+    nothing is joined back.  The windows without a key run over one row per
+    source or slot."""
+    queued = queues(docs, weights, budget_ratio, max_repeats, seed)
+    copies = F.transform(F.sequence(F.lit(0), F.lit(max_repeats - 1)), lambda c: F.struct(
+        ((c * F.col("source_size") + F.col("_cum")) / F.col("target")).alias("finish"),
+        F.col("_null").alias("null"), F.col("_src").alias("src"), c.alias("copy"), F.col("_cum").alias("cum")))
+    takes_part = (F.col("size") > 0) & (F.col("target") > 0)
+
+    def slot(finish):
+        return F.when(finish < LINEAR_UNTIL, F.floor(finish * SLOTS)).otherwise(
+            F.lit(LINEAR_UNTIL * SLOTS) + F.floor(F.log2(finish) * SLOTS))
+
+    copied = (queued.filter(takes_part).select("size", "_budget", F.explode(copies).alias("_c"))
+              .withColumn("_slot", slot(F.col("_c.finish"))))
+    in_order = Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
+    slots = (copied.groupBy("_slot").agg(F.sum("size").alias("_sum"), F.max("_budget").alias("_budget"))
+             .withColumn("_end", F.sum("_sum").over(in_order)))
+    last = slots.filter(F.col("_end") > F.col("_budget")).agg(
+        F.min(F.struct("_slot", (F.col("_end") - F.col("_sum")).alias("start"), "_budget"))).collect()[0][0]
+    taken = F.size(copies)
+    if last is not None:
+        by_copy = Window.partitionBy("_slot").orderBy("_c").rowsBetween(Window.unboundedPreceding, 0)
+        cut = (copied.filter(F.col("_slot") == last["_slot"])
+               .withColumn("_total", F.sum("size").over(by_copy) + F.lit(last["start"]))
+               .filter(F.col("_total") <= F.lit(last["_budget"]))
+               .agg(F.max("_c").alias("_cut")).scalar())
+        queued = queued.withColumn("_cut", cut)
+        taken = F.size(F.filter(copies, lambda c: (slot(c["finish"]) < last["_slot"]) | (
+            (slot(c["finish"]) == last["_slot"]) & F.coalesce(c <= F.col("_cut"), F.lit(False)))))
+    return queued.select("doc_id", "source", "size", "source_size", "target",
+                         F.when(takes_part, F.col("size") * taken).otherwise(F.lit(0)).cast("long").alias("taken"))

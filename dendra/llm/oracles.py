@@ -10,7 +10,7 @@ ORACLES["op1_mix"] = r"""
 WITH base AS (
   SELECT doc_id, source, source IS NULL AS src_null, coalesce(source, '') AS src,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS key
+         md5('mix:' || coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, '')))) AS key
   FROM documents),
 sizes AS (
   SELECT src_null, src, sum(size)::BIGINT AS source_size,
