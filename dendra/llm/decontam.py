@@ -7,15 +7,18 @@ hit the words of document and item are compared along the diagonal, and the
 pair is kept when a stretch of words agrees in at least ``MIN_SIMILARITY`` of
 its positions.
 
-Patterns of items of 12 words and more ignore one residue modulo 3 (weight 8)
-or two residues modulo 4 (weight 6); shifted copies of one pattern are hashed
-once.  Any two substitutions leave one of the latter intact in every 12 words.
-Items of 8 to 11 words have the patterns modulo 4 over 8 words (weight 4),
-which two substitutions can't break, items of 5 to 7 words four patterns of
-weight 4, which one can't break: ``MIN_SIMILARITY`` allows them no more.
-Three or four substitutions in 12 to 19 words can break every pattern: of all
-places of three, 44 % do at 12 words, 9 % at 15 and 5 % at 16; of four, 20 %
-at 16.  DataFrame functions only.
+No overlap that passes is lost.  Cut a stretch of 16 words into eight pairs: four
+substitutions, the most that 0.75 allows, leave four whole, and two of those
+lie one or two pairs apart (12 to 15 words: three substitutions, three pairs of
+six).  So two patterns of four words, at every position, suffice for items of
+12 words and more; two substitutions in 8 to 11 words need a third one, three
+pairs apart, and one in 5 to 7 words any four of five words.
+
+A document position is hashed in steps: only where the first two words of a
+pattern may be those of a benchmark pattern is the whole pattern hashed, and
+only where that may be the benchmark's does the position become a row.  Both
+tests are Bloom filters, which drop nothing that matches.  DataFrame functions
+only.
 """
 
 from __future__ import annotations
@@ -31,21 +34,15 @@ SPAN = 12
 MIN_WORDS = 5
 # Item lengths (from, to) of each group of patterns.
 GROUPS = {"long": (SPAN, None), "middle": (8, SPAN - 1), "short": (MIN_WORDS, 7)}
-# Partial hashes of a group: (name, left, right, words between them).
-PARTS = {
-    "long": [("_t3", "_h", "_h", 3), ("_g3", "_t3", "_t3", 6),
-             ("_t4", "_h", "_h", 4), ("_g4", "_t4", "_h", 8)],
-    "middle": [("_t4", "_h", "_h", 4)],
-    "short": [("_t1", "_h", "_h", 1), ("_t2", "_h", "_h", 2)],
-}
-# Patterns of a group: (left, right, words between them, words spanned).
+# Hashes of two words: (words between them, as the distance of the second).
+PAIRS = {"_t1": 1, "_t2": 2}
+# Patterns of a group: (first pair, second pair, distance, words spanned).
 PATTERNS = {
-    "long": [("_g3", "_g3", 1, 11), ("_g3", "_g3", 2, 12),
-             ("_g4", "_g4", 1, 10), ("_g4", "_g4", 2, 11), ("_g4", "_g4", 3, 12)],
-    "middle": [("_t4", "_t4", 1, 6), ("_t4", "_t4", 2, 7), ("_t4", "_t4", 3, 8)],
-    "short": [("_t1", "_t1", 2, 4), ("_t1", "_t1", 3, 5), ("_t1", "_t2", 2, 5),
-              ("_t2", "_t1", 2, 5)],
+    "long": [("_t1", "_t1", 2, 4), ("_t1", "_t1", 4, 6)],
+    "middle": [("_t1", "_t1", 2, 4), ("_t1", "_t1", 4, 6), ("_t1", "_t1", 6, 8)],
+    "short": [("_t1", "_t1", 2, 4), ("_t1", "_t1", 3, 5), ("_t1", "_t2", 2, 5), ("_t2", "_t1", 3, 5)],
 }
+EVERY = list(dict.fromkeys(x for g in PATTERNS.values() for x in g))
 # Length of the stretch that is compared, and the share that must agree.
 STRETCH = 16
 MIN_SIMILARITY = 0.75
@@ -54,7 +51,7 @@ REACH = 32
 # Benchmark hashes up to this many rows (about 1 KB each) are broadcast.
 BROADCAST_SEEDS = 100_000
 # Bits of the pre-filter: 16 per benchmark hash, within these bounds.
-MIN_BITS, MAX_BITS = 1 << 14, 1 << 22
+MIN_BITS, MAX_BITS = 1 << 14, 1 << 24
 NON_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -68,27 +65,16 @@ def word_hashes(ws: Column) -> Column:
     return F.transform(ws, lambda w: F.xxhash64(w))
 
 
-def _joined(left: str, right: str, by: int, *kind: Column) -> Column:
-    """Each hash of ``left`` with the one of ``right`` that is ``by`` words on.
-    The last ones lack a partner: no item has their hashes."""
-    later = F.slice(F.col(right), F.lit(by + 1), F.size(right))
-    return F.zip_with(F.col(left), later, lambda x, y: F.xxhash64(*kind, x, y))
-
+def _pair(name: str, at: Column) -> Column:
+    """Hash of the pair of words at a position, from the word hashes."""
+    return F.xxhash64(F.lit(PAIRS[name]), F.get("_h", at), F.get("_h", at + PAIRS[name]))
 
-def _with_parts(rows: DataFrame, ws: str, groups: list[str]) -> DataFrame:
-    """The rows with the partial hashes of the groups' patterns, each hashed
-    once."""
-    rows = rows.withColumn("_h", word_hashes(F.col(ws)))
-    for name, left, right, by in dict.fromkeys(x for g in groups for x in PARTS[g]):
-        rows = rows.withColumn(name, _joined(left, right, by))
-    return rows
 
-
-def _patterns(groups: list[str]):
-    """(span, hashes of all positions) of the groups' patterns."""
-    for g in groups:
-        for k, (left, right, by, span) in enumerate(PATTERNS[g]):
-            yield span, _joined(left, right, by, F.lit(10 * list(PATTERNS).index(g) + k))
+def _pattern(pattern: tuple, at: Column) -> Column:
+    """Hash of a pattern at a position.  Past the end of a text it lacks words
+    and equals no item's."""
+    first, second, by, _ = pattern
+    return F.xxhash64(F.lit(EVERY.index(pattern)), _pair(first, at), _pair(second, at + by))
 
 
 def _around(ws: Column, p: Column) -> Column:
@@ -97,22 +83,21 @@ def _around(ws: Column, p: Column) -> Column:
 
 
 def _item_seeds(items: DataFrame, groups: list[str]) -> DataFrame:
-    """(hash, item_id, words around it, position among them, words compared at
-    least) of every item position under every pattern of its length."""
-    p, out = F.col("_p"), []
+    """(hash of the pattern, of its first pair, item_id, words around it,
+    position among them, words compared at least) of every item position under
+    every pattern of its length."""
+    p = F.col("_p")
+    seeds = None
     for g in groups:
         low, high = GROUPS[g]
-        own = _with_parts(items.filter(F.col("_in").between(low, high or (1 << 30))), "_iws", [g])
-        seeds = F.array(*[F.struct(F.lit(span).alias("span"), h.alias("h"))
-                          for span, h in _patterns([g])])
-        out.append(own.select("item_id", "_iws", "_in", F.explode(seeds).alias("_s"))
-                   .select("item_id", "_iws", "_in", "_s.span",
-                           F.posexplode("_s.h").alias("_p", "_hash"))
-                   .filter(p + F.col("span") <= F.col("_in")))
-    seeds = out[0]
-    for x in out[1:]:
-        seeds = seeds.unionByName(x)
-    return seeds.select("_hash", "item_id", _around(F.col("_iws"), p).alias("_iws"),
+        own = (items.filter(F.col("_in").between(low, high or (1 << 30))).withColumn("_h", word_hashes(F.col("_iws")))
+               .withColumn("_p", F.explode(F.sequence(F.lit(0), F.col("_in") - 1))))
+        found = F.explode(F.array(*[F.struct(F.lit(x[3]).alias("span"), _pattern(x, p).alias("_hash"),
+                                             _pair(x[0], p).alias("_first")) for x in PATTERNS[g]]))
+        rows = (own.select("item_id", "_iws", "_in", "_p", found.alias("_s"))
+                .filter(p + F.col("_s.span") <= F.col("_in")))
+        seeds = rows if seeds is None else seeds.unionByName(rows)
+    return seeds.select("_s._hash", "_s._first", "item_id", _around(F.col("_iws"), p).alias("_iws"),
                         F.least(p, F.lit(REACH)).alias("_ip"),
                         F.least("_in", F.lit(SPAN)).alias("_least"))
 
@@ -121,10 +106,10 @@ def filter_bits(rows: int) -> int:
     return min(MAX_BITS, max(MIN_BITS, 1 << (16 * rows).bit_length()))
 
 
-def bit_table(seeds: DataFrame, n_bits: int) -> Column:
+def bit_table(seeds: DataFrame, n_bits: int, column: str = "_hash") -> Column:
     """A two-probe Bloom filter of the hashes as a constant array of longs;
     at most ``MAX_BITS / 64`` rows come to the driver."""
-    at = F.explode(F.array(*[_probe(F.col("_hash"), i, n_bits) for i in range(2)]))
+    at = F.explode(F.array(*[_probe(F.col(column), i, n_bits) for i in range(2)]))
     rows = (seeds.select(at.alias("_bit"))
             .groupBy((F.col("_bit") / 64).cast("int").alias("i"))
             .agg(F.bit_or(F.expr("shiftleft(1L, cast(_bit % 64 as int))")).alias("v")).collect())
@@ -167,23 +152,22 @@ def _hits(docs: DataFrame, benchmark: DataFrame, *keys: str) -> DataFrame:
     seeds = cut_lineage(_item_seeds(items, groups))
     n_seeds = seeds.count()
     n_bits = filter_bits(n_seeds)
-    table = bit_table(seeds, n_bits)
-    d = _with_parts(docs.select(*keys, words(F.col("text")).alias("_ws")), "_ws", groups)
-    ws = F.col("_ws")
-
-    def found(hashes: Column) -> Column:
-        """(position, hash) of the hashes that may be an item's."""
-        return F.filter(F.transform(hashes, lambda h, p: F.when(
-            maybe(h, table, n_bits), F.struct(p.alias("p"), h.alias("h")))), lambda x: x.isNotNull())
-
-    places = F.concat(*[found(h) for _, h in _patterns(groups)])
-    cand = F.transform(places, lambda x: F.struct(
-        _around(ws, x["p"]).alias("_w"), F.least(x["p"], F.lit(REACH)).alias("_p"),
-        x["h"].alias("_hash")))
-    # explode_outer: for explode, the optimizer would infer a filter on the
-    # generator's input and so compute the hashes twice
-    hits = (d.select(*keys, F.explode_outer(cand).alias("_c"))
-            .filter(F.col("_c").isNotNull()).select(*keys, "_c.*")
+    whole, firsts = bit_table(seeds, n_bits), bit_table(seeds, n_bits, "_first")
+    patterns = list(dict.fromkeys(x for g in groups for x in PATTERNS[g]))
+    ws, p = F.col("_ws"), F.col("_p")
+    # one row per word, made and tested in one generated loop; outer: for a
+    # plain explode the optimizer filters its input and so hashes words twice
+    d = docs.select(*keys, words(F.col("text")).alias("_ws")).withColumn("_h", word_hashes(ws))
+    d = d.select(*keys, "_ws", "_h", F.posexplode_outer("_h").alias("_p", "_x"))
+    may_start = None
+    for name in dict.fromkeys(x[0] for x in patterns):
+        test = maybe(_pair(name, p), firsts, n_bits)
+        may_start = test if may_start is None else may_start | test
+    found = F.array(*[F.when(maybe(h, whole, n_bits), h) for h in (_pattern(x, p) for x in patterns)])
+    hits = (d.filter(may_start)
+            .select(*keys, "_ws", "_p", F.explode_outer(found).alias("_hash"))
+            .filter(F.col("_hash").isNotNull())
+            .select(*keys, _around(ws, p).alias("_w"), F.least(p, F.lit(REACH)).alias("_p"), "_hash")
             .join(F.broadcast(seeds) if n_seeds <= BROADCAST_SEEDS else seeds, "_hash"))
 
     # words of item and document along the diagonal of the hit
@@ -217,8 +201,8 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     count once per (doc_id, item_id).  Empty tables give an empty result.
 
     Scale: hashing, probing and comparing run in one stage over the documents;
-    a Bloom filter of the benchmark's hashes, at most ``MAX_BITS`` bits, keeps
-    nearly all positions from becoming rows.  The hashes are broadcast up to
+    two Bloom filters of the benchmark's hashes, at most ``MAX_BITS`` bits each,
+    keep nearly all positions from reaching the join.  The hashes are broadcast up to
     ``BROADCAST_SEEDS`` rows (counted first), else joined by a shuffle.  Hits
     are compared where they arise and pre-aggregated per pair."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -236,7 +220,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     from its text alone, so rows go by two hashes of the text and ids don't
     matter."""
     marks = [F.xxhash64("text"), F.xxhash64(F.lit(1), "text")]
-    own = docs.select(*[m.alias(f"_k{i}") for i, m in enumerate(marks)], "text")
-    bad = _hits(own, benchmark, "_k0", "_k1").select("_k0", "_k1").distinct()
-    same = (marks[0] == F.col("_k0")) & (marks[1] == F.col("_k1"))
+    taken = {c.lower() for c in docs.columns}
+    keys = [next(n for n in (f"_mark{i}" + "_" * k for k in range(len(taken) + 1)) if n not in taken)
+            for i in range(len(marks))]
+    own = docs.select(*[m.alias(n) for m, n in zip(marks, keys)], "text")
+    bad = _hits(own, benchmark, *keys).select(*keys).distinct()
+    same = (marks[0] == bad[keys[0]]) & (marks[1] == bad[keys[1]])
     return docs.join(bad, same, "left_anti").select(docs.columns)

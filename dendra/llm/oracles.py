@@ -56,24 +56,21 @@ WITH d AS (
 i AS (
   SELECT DISTINCT item_id, list_filter(regexp_split_to_array(
            lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM benchmark),
-lens AS (SELECT DISTINCT len(ws) AS k FROM i WHERE len(ws) BETWEEN 5 AND 11),
-masks AS (
-  SELECT r AS kind, 12 AS span, list_filter(range(12), lambda j: j % 3 <> r) AS offs
-  FROM range(3) t(r)
-  UNION ALL SELECT 100 + k, k, range(k) FROM lens),
+masks(kind, least, most, span, offs) AS (VALUES
+  (0, 5, 1000000000, 4, [0, 1, 2, 3]), (1, 8, 1000000000, 6, [0, 1, 4, 5]), (2, 8, 11, 8, [0, 1, 6, 7]),
+  (3, 5, 7, 5, [0, 1, 3, 4]), (4, 5, 7, 5, [0, 1, 2, 4]), (5, 5, 7, 5, [0, 2, 3, 4])),
 iseeds AS (
   SELECT item_id, ws AS iws, p AS ip, kind,
          list_transform(offs, lambda o: ws[p + o + 1]) AS seed
   FROM (SELECT i.*, m.*, unnest(range(len(ws) - span + 1)) AS p
-        FROM i, masks m WHERE len(ws) >= span AND (kind < 100 OR len(ws) = span))),
+        FROM i, masks m WHERE len(ws) BETWEEN least AND most)),
 dseeds AS (
   SELECT doc_id, ws, p, kind, list_transform(offs, lambda o: ws[p + o + 1]) AS seed
   FROM (SELECT d.*, m.*, unnest(range(len(ws) - span + 1)) AS p
-        FROM d, masks m WHERE len(ws) >= span)
-  WHERE kind >= 100 OR kind = p % 3),
+        FROM d, masks m WHERE len(ws) >= span)),
 hits AS (SELECT * FROM dseeds JOIN iseeds USING (kind, seed)),
 eq AS (
-  SELECT doc_id, item_id,
+  SELECT doc_id, item_id, iws,
          list_transform(range(greatest(0, ip - p, ip - 32),
                               least(len(iws), ip + 44, len(ws) - p + ip)),
                         lambda j: (ws[p - ip + j + 1] = iws[j + 1])::INT) AS e
@@ -86,7 +83,7 @@ scored AS (
   FROM eq)
 SELECT doc_id, item_id, ((max(m * 1000 + 999 - c)) // 1000)::BIGINT AS n_matched,
        (999 - max(m * 1000 + 999 - c) % 1000)::BIGINT AS n_compared, max(overlap) AS overlap
-FROM scored WHERE overlap >= 0.75 GROUP BY doc_id, item_id
+FROM scored WHERE overlap >= 0.75 AND c >= least(len(iws), 12) GROUP BY doc_id, item_id
 """
 
 ORACLES["op3_jaccard"] = r"""

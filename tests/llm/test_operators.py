@@ -132,6 +132,55 @@ def test_decontamination_of_changed_items(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got} == want
 
 
+def contaminated_brute(text, item):
+    """Is there an alignment with a stretch of 16 words (all compared ones, if
+    fewer) that agree in three quarters?"""
+    def split(t):
+        return [w for w in re.split(r"[\W_]+", t.lower()) if w]
+    ws, iws = split(text), split(item)
+    for shift in range(-len(iws) + 1, len(ws)):
+        eq = [ws[shift + j] == iws[j] for j in range(max(0, -shift), min(len(iws), len(ws) - shift))]
+        n = min(16, len(eq))
+        if len(eq) >= min(len(iws), 12) and any(4 * sum(eq[k:k + n]) >= 3 * n for k in range(len(eq) - n + 1)):
+            return True
+    return False
+
+
+def test_decontamination_loses_no_changed_item(spark):
+    rng = random.Random(14)
+    items, rows, want = [], [], set()
+    for n in range(5, 24):
+        item = [f"i{n}w{k % 9 if n % 3 else k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        for _ in range(40):
+            at = set(rng.sample(range(n), min(n, rng.randint(1, 6))))
+            ws = ["other" if k in at else w for k, w in enumerate(item)]
+            cut = rng.choice([0, 0, 0, 1, 4])                 # some at the very end of a text
+            text = " ".join([f"n{rng.randrange(900)}" for _ in range(rng.randrange(0, 30))] + ws[:n - cut])
+            rows.append((len(rows), text, None, None, 0))
+    for r in rows:
+        want |= {(r[0], n) for n, t in items if contaminated_brute(r[1], t)}
+    docs = make(spark, rows)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated_pairs(docs, bench).collect()}
+    assert got == want and 200 < len(want) < len(rows)
+    # the SQL of the query says the same
+    import duckdb
+    import pandas as pd
+    from dendra.llm import oracles
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame([r[:2] for r in rows], columns=["doc_id", "text"]))
+    con.register("benchmark", pd.DataFrame(items, columns=["item_id", "text"]))
+    assert {r[:2] for r in con.sql("SELECT doc_id, item_id FROM (" + oracles.ORACLES["op2_decontaminate"] + ")").fetchall()} == want
+
+
+def test_decontamination_of_clashing_and_map_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k l m n", {"k": 1}, 2, 3), (2, "clean", None, 4, 5)],
+                                 "doc_id long, text string, m map<string, int>, _mark0 int, _k1 int")
+    bench = spark.createDataFrame([(0, "a b c d e f g h i j k l m n")], "item_id long, text string")
+    assert [tuple(r) for r in decontam.decontaminate(docs, bench).collect()] == [(2, "clean", None, 4, 5)]
+
+
 def jaccard_brute(rows):
     def grams(t):
         ws = (t or "").translate({c: c + 32 for c in range(65, 91)})
