@@ -92,6 +92,55 @@ SELECT c.vec_id, least(c.vec_id, coalesce(x.lo, c.vec_id)) AS component
 FROM core c LEFT JOIN (SELECT a, min(b) AS lo FROM reach GROUP BY a) x ON x.a = c.vec_id"""
 
 
+# Density clusters with leaf selection, least size 3.  Prim's algorithm in the
+# strict order (w, lo, hi) gives the tree; ``lab`` holds every point's component
+# after each of its edges.  A leaf of the cluster tree is born where two small
+# components reach the size together; a point that leaves a component which
+# holds one birth alone leaves that leaf.
+ORACLES["hdbscan_leaf"] = f"""
+WITH RECURSIVE {_MRD},
+ids AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS i FROM core),
+m AS MATERIALIZED (
+  SELECT i, list(CASE WHEN w IS NOT NULL THEN {{'w': w, 'lo': least(i, j), 'hi': greatest(i, j)}} END ORDER BY j) AS ws
+  FROM (SELECT a.i, b.i AS j, g.w FROM ids a CROSS JOIN ids b
+        LEFT JOIN g ON g.vec_id = a.vec_id AND g.nbr_id = b.vec_id)
+  GROUP BY i),
+prim(step, dist, e) AS (
+  SELECT 0, ws, NULL::STRUCT(w DOUBLE, lo BIGINT, hi BIGINT) FROM m WHERE i = 1
+  UNION ALL
+  SELECT step + 1,
+         list_transform(dist, lambda x, k: CASE WHEN x IS NULL OR k = m.i THEN NULL
+                                           WHEN m.ws[k] < x THEN m.ws[k] ELSE x END),
+         list_min(dist)
+  FROM prim JOIN m ON m.i = list_position(dist, list_min(dist))
+  WHERE list_min(dist) IS NOT NULL),
+edges AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY e) AS r, e.w AS w, e.lo AS lo, e.hi AS hi FROM prim WHERE e IS NOT NULL),
+lab(r, l) AS (
+  SELECT 0, (SELECT list(i ORDER BY i) FROM ids)
+  UNION ALL
+  SELECT e.r, list_transform(l, lambda x: CASE WHEN x = l[e.hi] THEN l[e.lo] ELSE x END)
+  FROM lab JOIN edges e ON e.r = lab.r + 1),
+spots AS MATERIALIZED (
+  SELECT r, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS c FROM lab),
+sized AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY r, c) AS n FROM spots),
+births AS (
+  SELECT e.r, e.w, e.lo FROM edges e
+  JOIN sized a ON a.r = e.r - 1 AND a.i = e.lo JOIN sized b ON b.r = e.r - 1 AND b.i = e.hi
+  WHERE a.n < 3 AND b.n < 3 AND a.n + b.n >= 3),
+falls AS (SELECT i, min(r) AS r FROM sized WHERE n >= 3 GROUP BY i),
+inside AS (
+  SELECT f.i, max(b.r) AS birth, count(*) AS n, max(e.w) AS w, max(b.w) AS bw
+  FROM falls f JOIN edges e ON e.r = f.r JOIN spots p ON p.r = f.r AND p.i = f.i
+  JOIN births b ON b.r <= f.r JOIN spots q ON q.r = f.r AND q.i = b.lo AND q.c = p.c
+  GROUP BY f.i),
+own AS (SELECT * FROM inside WHERE n = 1 AND (SELECT count(*) FROM births) > 1),
+firsts AS (SELECT birth, row_number() OVER (ORDER BY min(i)) - 1 AS cluster FROM own GROUP BY birth)
+SELECT ids.vec_id, coalesce(f.cluster, -1)::INTEGER AS cluster,
+       round(CASE WHEN o.i IS NULL THEN 0.0 ELSE greatest(o.bw, 1e-12) / greatest(o.w, 1e-12) END, 4) AS confidence
+FROM ids LEFT JOIN own o ON o.i = ids.i LEFT JOIN firsts f ON f.birth = o.birth"""
+
+
 def _ari_sql(src: str, truth: str, pred: str) -> str:
     """ARI of two columns of relation ``src`` in pair-confusion form."""
     return f"""(

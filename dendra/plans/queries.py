@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from dendra.session import cut_lineage, read_table
 from dendra.functions import text as TX
 from dendra.operators import features as FE
-from dendra.operators import density, ingest, knn, layout, metrics, predict, vote
+from dendra.operators import density, descent, ingest, knn, layout, metrics, predict, vote
 from dendra.operators.ordering import consecutive_index
 from dendra.sources import tables as SRC
 from dendra.plans import reports as RP
@@ -585,6 +585,34 @@ def q_knn_lsh_recall(spark, sf_dir):
         F.round(F.col("found_pairs") / F.col("exact_pairs"), 4).alias("recall"))
 
 
+def _recall(found, exact, key):
+    """Share of neighbours found that are as near as the exact ones (of equally
+    near ones any will do)."""
+    far = exact.groupBy(key).agg(F.min("score").alias("far"))
+    hit = found.join(far, key).filter(F.col("score") >= F.col("far") - 1e-9).groupBy().count()
+    return exact.groupBy().count().select(
+        F.col("count").alias("exact_pairs"),
+        F.coalesce(hit.select("count").scalar(), F.lit(0)).alias("found_pairs")).withColumn(
+        "recall", F.round(F.col("found_pairs") / F.col("exact_pairs"), 4))
+
+
+def q_knn_descent_recall(spark, sf_dir):
+    """Neighbour descent against the exact 5 nearest, over all embeddings and
+    over the dense vectors of all documents: recall, rounds and pairs compared."""
+    w, _ = _doc_weights(spark, sf_dir)
+    docs = FE.dense_embed(FE.sparse_vectors(w), FE.DENSE_DIM).withColumnRenamed("doc_id", "vec_id")
+    out = None
+    for name, vecs in (("embeddings", _emb(spark, sf_dir)), ("documents", docs)):
+        vecs = cut_lineage(vecs.select("vec_id", "embedding"))
+        found, stats = descent.descent_top_k(vecs, TOP_K, id_col="vec_id", vec="embedding")
+        exact = knn.self_top_k(vecs, TOP_K, id_col="vec_id", vec="embedding", metric="cosine", round_digits=9)
+        row = _recall(found, exact, "vec_id").select(
+            F.lit(name).alias("vectors"), "exact_pairs", "found_pairs", "recall",
+            F.lit(stats["rounds"]).cast("long").alias("rounds"), F.lit(stats["compared"]).cast("long").alias("compared"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def q_stream_first_seen(spark, sf_dir):
     """Streaming first-seen dedup of page hits (one row per distinct ID)."""
     from dendra.streaming import dedup
@@ -742,6 +770,7 @@ QUERIES = {
     "predict_report": q_predict_report,
     "sweep_ranked": q_sweep_ranked,
     "knn_lsh_recall": q_knn_lsh_recall,
+    "knn_descent_recall": q_knn_descent_recall,
     "stream_first_seen": q_stream_first_seen,
     "search_report": q_search_report,
     "related_vote": q_related_vote,

@@ -82,7 +82,8 @@ def run_sweep(points: DataFrame, truth: DataFrame, grid: DataFrame, *, id_col: s
                 F.col("i").alias("id"), F.col("d").alias("core")))
             mst = cut_lineage(density.mst_boruvka(pts, core, id_col="id", vec="coords",
                                                   candidates=nn.select("i", "j", "d")))
-            tree, closed = density.condensed_tree(mst, pts.select("id"), mcs)
+            tree = density.condensed_tree(mst, pts.select("id"), mcs)
+            closed = density.closed_clusters(tree)
             for r in runs:
                 sel = (density.select_eom(closed) if r["hdbscan_method"] == "eom"
                        else density.select_leaf(tree))
