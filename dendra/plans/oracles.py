@@ -141,6 +141,32 @@ SELECT ids.vec_id, coalesce(f.cluster, -1)::INTEGER AS cluster,
 FROM ids LEFT JOIN own o ON o.i = ids.i LEFT JOIN firsts f ON f.birth = o.birth"""
 
 
+# Smooth-kNN weights by the same bisection: 64 steps, a sigma is kept once its
+# sum is within 1e-5 of log2(5).
+ORACLES["project_start"] = f"""
+WITH RECURSIVE {_PAIRS_COS},
+nn AS (
+  SELECT vec_id, nbr_id, greatest(0.0, 1.0 - s) AS d, rk
+  FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, nbr_id) AS rk FROM p) WHERE rk <= 5),
+ds AS (SELECT vec_id, list(d ORDER BY rk) FILTER (rk > 1) AS ds FROM nn GROUP BY vec_id),
+b(vec_id, step, ds, lo, hi, mid, found) AS (
+  SELECT vec_id, 0, ds, 0.0::DOUBLE, 'inf'::DOUBLE, 1.0::DOUBLE, false FROM ds
+  UNION ALL
+  SELECT vec_id, step + 1, ds,
+         CASE WHEN found OR ok OR s > t THEN lo ELSE mid END,
+         CASE WHEN found OR ok OR s <= t THEN hi ELSE mid END,
+         CASE WHEN found OR ok THEN mid WHEN s > t THEN (lo + mid) / 2
+              WHEN isinf(hi) THEN mid * 2 ELSE (mid + hi) / 2 END,
+         found OR ok
+  FROM (SELECT *, log2(5) AS t, abs(s - log2(5)) < 1e-5 AS ok
+        FROM (SELECT *, list_sum(list_transform(ds, lambda x: CASE WHEN x > 0 THEN exp(-(x / mid)) ELSE 1.0 END)) AS s
+              FROM b)) WHERE step < 64),
+sig AS (SELECT vec_id, greatest(mid, 1e-3 * (SELECT avg(d) FROM nn)) AS sigma FROM b WHERE step = 64),
+w AS (SELECT nn.*, exp(-d / sigma) / sum(exp(-d / sigma)) OVER (PARTITION BY nn.vec_id) AS w FROM nn JOIN sig USING (vec_id))
+SELECT w.vec_id, round(sum(w * e.v[1]), 6) AS x, round(sum(w * e.v[2]), 6) AS y
+FROM w JOIN e ON e.vec_id = w.nbr_id GROUP BY w.vec_id"""
+
+
 def _ari_sql(src: str, truth: str, pred: str) -> str:
     """ARI of two columns of relation ``src`` in pair-confusion form."""
     return f"""(

@@ -517,6 +517,39 @@ def q_project_new_points(spark, sf_dir):
             .select("conv_id", "turn", F.transform("coords", lambda x: F.round(x, 4)).alias("coords")))
 
 
+def q_project_start(spark, sf_dir):
+    """Every embedding placed at the smooth-kNN weighted mean of its nearest
+    other embeddings, whose coordinates are their first two components: where
+    the transform into a layout starts."""
+    e = _emb(spark, sf_dir)
+    at = e.select(F.col("vec_id").alias("id"), F.slice(F.col("embedding").cast("array<double>"), 1, 2).alias("coords"))
+    pr = predict.project_start(e, e, at, UMAP_NEIGHBORS, new_id="vec_id", train_id="vec_id", vec="embedding",
+                               self_join=True)
+    return pr.select("vec_id", F.round(F.col("coords")[0], 6).alias("x"), F.round(F.col("coords")[1], 6).alias("y"))
+
+
+def q_predict_in_layout(spark, sf_dir):
+    """Conversation turns transformed into the documents' fitted 40-d layout
+    and assigned by the hierarchy fitted there; turns without any corpus term
+    are noise without coordinates."""
+    w, dfreq = _doc_weights(spark, sf_dir)
+    docs = cut_lineage(FE.dense_embed(FE.sparse_vectors(w), FE.DENSE_DIM))
+    g = layout.fuzzy_graph(docs, UMAP_NEIGHBORS, id_col="doc_id", vec="embedding")
+    pos = cut_lineage(layout.layout(docs, g, n_components=UMAP_COMPONENTS, min_dist=UMAP_MIN_DIST, seed=SEED,
+                                    n_epochs=EPOCHS, id_col="doc_id", vec="embedding"))
+    model = density.hdbscan(pos, id_col="id", vec="coords", min_cluster_size=MIN_CLUSTER_SIZE)
+    model |= {"layout": pos, "train": docs.select(F.col("doc_id").alias("id"), "embedding")}
+    conv = cut_lineage(_conversation_texts(spark, sf_dir))
+    cw = FE.query_tfidf(conv, "qid", "text", dfreq)
+    cv = FE.dense_embed(FE.sparse_vectors(cw), FE.DENSE_DIM).withColumnRenamed("doc_id", "qid")
+    p = predict.predict_in_layout(model, cv, UMAP_NEIGHBORS, MIN_CLUSTER_SIZE, new_id="qid", vec="embedding",
+                                  min_dist=UMAP_MIN_DIST, seed=SEED)
+    return (conv.select("qid", "conv_id", "turn").join(p, "qid", "left")
+            .select("conv_id", "turn", F.coalesce("cluster", F.lit(-1)).alias("cluster"),
+                    F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
+                    F.transform("coords", lambda x: F.round(x, 4)).alias("coords")))
+
+
 def q_approximate_predict(spark, sf_dir):
     """Cluster and strength for every conversation turn from the documents'
     fitted density hierarchy (TF-IDF cosine, neighbours among the documents)."""
@@ -766,6 +799,8 @@ QUERIES = {
     "umap_layout": q_umap_layout,
     "plot_points_2d": q_plot_points_2d,
     "project_new_points": q_project_new_points,
+    "project_start": q_project_start,
+    "predict_in_layout": q_predict_in_layout,
     "approximate_predict": q_approximate_predict,
     "predict_report": q_predict_report,
     "sweep_ranked": q_sweep_ranked,

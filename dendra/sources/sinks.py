@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from dendra.operators.metrics import attach
 
-MODEL_TABLES = ("tree", "closed", "mst", "core", "selected", "assignments")
+MODEL_TABLES = ("tree", "closed", "mst", "core", "selected", "assignments", "train", "layout")
 
 
 def write_articles(articles: DataFrame, path: str, format: str = "parquet") -> None:
