@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dendra import schemas
+from dendra.sources import json_split
 
 # URL shape of the driver's `pages` table: host/<lang>/<numeric id>...
 PAGES_ID_PATTERN = r"/[a-z]{2}/(\d+)"
@@ -22,32 +23,39 @@ def table_glob(sf_dir: str, name: str) -> str:
 
 
 # ----------------------------------------------------------------- JSON inputs
+# Arrays are read in splits (``json_split``); ``multi_line=False`` reads JSON
+# lines with Spark's own reader.
+
+def _read_json(spark: SparkSession, path: str, schema, multi_line: bool) -> DataFrame:
+    if multi_line:
+        return json_split.read_elements(spark, path, schema)
+    return spark.read.schema(schema).json(path)
+
 
 def read_articles(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Articles from a JSON array, or from JSON lines with ``multi_line=False``
-    (an array is one document and can't be split: lines or parquet at scale)."""
-    return spark.read.schema(schemas.ARTICLE).option("multiLine", multi_line).json(path)
+    """Articles from a JSON array, or from JSON lines with ``multi_line=False``."""
+    return _read_json(spark, path, schemas.ARTICLE, multi_line)
 
 
 def read_dense_embeddings(spark: SparkSession, path: str, multi_line: bool = True,
                           drop: tuple[str, ...] = ()) -> DataFrame:
     """Dense embeddings; ``drop`` names metadata keys that are left out."""
     meta = F.col("metadata").dropFields(*drop) if drop else F.col("metadata")
-    return (spark.read.schema(schemas.DENSE_EMBEDDING).option("multiLine", multi_line).json(path)
+    return (_read_json(spark, path, schemas.DENSE_EMBEDDING, multi_line)
             .select("id", "values", "metadata.category", "metadata.title",
                     meta.alias("metadata")))
 
 
 def read_sparse_embeddings(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    return spark.read.schema(schemas.SPARSE_EMBEDDING).option("multiLine", multi_line).json(path)
+    return _read_json(spark, path, schemas.SPARSE_EMBEDDING, multi_line)
 
 
 def read_run_result(spark: SparkSession, path: str):
-    """A run-result object -> (params+metrics row, flat assignments)."""
-    run = spark.read.schema(schemas.RUN_RESULT).option("multiLine", True).json(path)
-    runs = run.select("embedding_type", "model", "umap_params", "hdbscan_params", "metrics")
-    assignments = run.select(F.inline("assignments"))
-    return runs, assignments
+    """Run-result objects, one a file -> (a params+metrics row per run, flat
+    assignments); ``run_file`` tells the runs apart.  A run's list of
+    assignments is read in splits, never as one row."""
+    heads, items = json_split.read_object_with_list(spark, path, schemas.RUN_RESULT, "assignments")
+    return heads.withColumnRenamed("file", "run_file"), items.withColumnRenamed("file", "run_file")
 
 
 # ------------------------------------------------------------ test-table adapters
