@@ -95,27 +95,29 @@ def quota_before_dedup(valid: DataFrame, topics: DataFrame) -> DataFrame:
     """Topics filled in order; an ID accepted by an earlier topic is skipped
     while filling, so a later hit takes its place.
 
-    What topic t may take depends on what topics < t accepted, so this runs
-    one Spark job per topic (topics are configuration, a short list) with an
-    anti join against the accepted IDs.  What a topic takes is written before
-    the next one, so the plan stays flat."""
+    All topics propose together: each its first ``target`` hits still open to
+    it.  An ID goes to the earliest topic that proposes it and closes for all
+    later ones, which propose their next hits in the next round.  An ID only ever
+    moves to an earlier topic, and all IDs rank topics alike, so the rounds end in
+    the one stable outcome, which is that of filling topics one after the other.
+    The number of jobs follows the longest chain of displaced hits, not the number
+    of topics; a round is one window and one join over the hits still open."""
     h = _with_topic_no(valid, topics)
-    per_topic = cut_lineage(_first_per(h, ["topic", "pmid"], ["query_no", "rank"]))
-    order = [(int(r["topic_id"]), r["name"], int(r["target"]))
-             for r in topics.select("topic_id", "name", "target").orderBy("topic_id").collect()]
-    accepted = None
+    bound = _max_target(topics)
     w = Window.partitionBy("topic").orderBy("query_no", "rank")
-    for _, name, target in order:
-        cand = per_topic.filter(F.col("topic") == name)
-        if accepted is not None:
-            cand = cand.join(accepted.select("pmid"), "pmid", "left_anti")
-        take = (cand.withColumn("_rn", F.row_number().over(w))
-                .filter(F.col("_rn") <= target).drop("_rn"))
-        take = cut_lineage(take)
-        accepted = take if accepted is None else accepted.unionByName(take)
-    if accepted is None:
-        return per_topic.limit(0)
-    return accepted
+    still_open = cut_lineage(_first_per(h, ["topic", "pmid"], ["query_no", "rank"]))
+    while True:
+        proposed = (still_open.withColumn("_rn", F.row_number().over(w))
+                    .filter(F.col("_rn") <= bound)
+                    .filter(F.col("_rn") <= F.col("target")).drop("_rn"))
+        proposed = cut_lineage(proposed)
+        held = proposed.groupBy("pmid").agg(F.min("topic_no").alias("_held"),
+                                            F.count(F.lit(1)).alias("_n"))
+        if held.filter(F.col("_n") > 1).isEmpty():
+            return proposed
+        still_open = cut_lineage(
+            still_open.join(held.drop("_n"), "pmid", "left")
+            .filter(F.col("_held").isNull() | (F.col("topic_no") <= F.col("_held"))).drop("_held"))
 
 
 def to_articles(accepted: DataFrame, category_col: str = "topic") -> DataFrame:

@@ -269,7 +269,8 @@ def _search_inputs(spark, sf_dir):
     bench = read_table(spark, sf_dir, "benchmark")
     qw = FE.query_tfidf(bench, "item_id", "text", dfreq)
     qs = FE.sparse_vectors(qw).withColumnRenamed("doc_id", "item_id")
-    return docs, qs
+    # the search counts both sides before it joins them: weigh the texts once
+    return cut_lineage(docs), cut_lineage(qs)
 
 
 def q_sparse_top5(spark, sf_dir):
@@ -292,8 +293,8 @@ def q_dense_embed(spark, sf_dir):
 def q_hybrid_top5(spark, sf_dir):
     """Hybrid search: dense dot + sparse dot, unweighted, top-5 per benchmark text."""
     docs, qs = _search_inputs(spark, sf_dir)
-    docs = docs.join(FE.dense_embed(docs, FE.DENSE_DIM), "doc_id")
-    qs = qs.join(FE.dense_embed(qs, FE.DENSE_DIM, id_col="item_id"), "item_id")
+    docs = cut_lineage(docs.join(FE.dense_embed(docs, FE.DENSE_DIM), "doc_id"))
+    qs = cut_lineage(qs.join(FE.dense_embed(qs, FE.DENSE_DIM, id_col="item_id"), "item_id"))
     nn = knn.top_k(qs, docs, TOP_K, q_id="item_id", i_id="doc_id", q_vec="embedding",
                    i_vec="embedding", q_terms="terms", q_weights="weights", i_terms="terms",
                    i_weights="weights", metric="hybrid", round_digits=9, out_id="doc_id")

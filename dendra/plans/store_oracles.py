@@ -156,3 +156,12 @@ t AS (SELECT * FROM (SELECT 'all' AS list, * FROM res {_BEST} LIMIT 30)
       UNION ALL SELECT * FROM (SELECT 'dims=2' AS list, * FROM res WHERE umap_dims = 2 {_BEST} LIMIT 10))
 SELECT t.*, (SELECT count(*) FROM res WHERE ari = 1.0) AS perfect, (SELECT count(*) FROM res) AS runs FROM t""",
 }
+
+ORACLES["articles_array"] = ORACLES["articles_roundtrip"]
+ORACLES["run_results_read"] = f"""WITH {_RUN},
+h AS (SELECT id // 1000 AS file_no, count(DISTINCT CASE WHEN cluster <> -1 THEN cluster END)::INT AS n_clusters,
+             round(100.0 * count(*) FILTER (WHERE cluster = -1) / count(*), 1)::DOUBLE AS noise_pct
+      FROM run GROUP BY 1)
+SELECT id::VARCHAR AS pmid, cluster, confidence, '}}], "' || label AS category,
+       'run "' || file_no || '" {{[' AS model, 40 AS n_components, n_clusters, noise_pct
+FROM run JOIN h ON h.file_no = id // 1000"""

@@ -52,6 +52,47 @@ def q_articles_roundtrip(spark, sf_dir):
     return SRC.read_articles(spark, path, multi_line=False)
 
 
+def q_articles_array(spark, sf_dir):
+    """First-seen hits written as JSON arrays of up to 1,000 ids a file and read
+    back in splits."""
+    valid, topics = _pubmed_valid(spark, sf_dir)
+    a = ingest.to_articles(ingest.first_seen(valid, topics))
+    items = a.select(F.floor(F.col("pmid").cast("long") / 1000).alias("file_no"),
+                     F.col("pmid").alias("place"), F.to_json(F.struct(*a.columns)).alias("json"))
+    frames = items.select("file_no").distinct().select(
+        "file_no", F.lit("[").alias("head"), F.lit("]").alias("tail"))
+    path = _folder(spark, "arrays")
+    sinks.write_json_lists(items, frames, path)
+    return SRC.read_articles(spark, path)
+
+
+def q_run_results_read(spark, sf_dir):
+    """Run results, one nested JSON object a file (1,000 ids each), read back as
+    runs and flat assignments and joined by file."""
+    run = _stored_run(spark, sf_dir).withColumn("file_no", F.floor(F.col("id") / 1000))
+    noise = F.col("cluster") == -1
+    frames = run.groupBy("file_no").agg(
+        F.count_distinct(F.when(~noise, F.col("cluster"))).cast("int").alias("n_clusters"),
+        F.round(100 * F.count_if(noise) / F.count(F.lit(1)), 1).alias("noise_pct"))
+    head = F.to_json(F.struct(
+        F.lit("dense").alias("embedding_type"),
+        F.concat(F.lit('run "'), F.col("file_no").cast("string"), F.lit('" {[')).alias("model"),
+        F.struct(F.lit(40).alias("n_components"), F.lit("cosine").alias("metric")).alias("umap_params"),
+        F.struct("n_clusters", "noise_pct").alias("metrics")))
+    head = F.concat(F.left(head, F.length(head) - 1), F.lit(', "assignments": ['))
+    frames = frames.select("file_no", head.alias("head"), F.lit("]}").alias("tail"))
+    items = run.select("file_no", F.col("id").alias("place"), F.to_json(F.struct(
+        F.col("id").cast("string").alias("pmid"), "cluster", "confidence",
+        F.concat(F.lit('}], "'), F.col("label").cast("string")).alias("category"))).alias("json"))
+    path = _folder(spark, "results")
+    sinks.write_json_lists(items, frames, path)
+    runs, asg = SRC.read_run_result(spark, path)
+    head = runs.select("run_file", "model", F.col("umap_params.n_components").alias("n_components"),
+                       "metrics.n_clusters", "metrics.noise_pct")
+    return (asg.select("run_file", "pmid", "cluster", "confidence", "category")
+            .join(head, "run_file").drop("run_file"))
+
+
 def q_dense_roundtrip(spark, sf_dir):
     """Embeddings with metadata (title cut to 60, abstract to 500 characters)
     written as JSON lines, read back without the ``url`` metadata key."""
@@ -220,7 +261,7 @@ def q_sweep_best(spark, sf_dir):
 
 
 QUERIES = {f.__name__[2:]: f for f in (
-    q_clean_hits, q_unique_hits_total, q_articles_roundtrip, q_dense_roundtrip, q_sparse_roundtrip,
+    q_clean_hits, q_unique_hits_total, q_articles_roundtrip, q_articles_array, q_run_results_read, q_dense_roundtrip, q_sparse_roundtrip,
     q_run_roundtrip, q_cached_table, q_model_roundtrip, q_stored_run_summary, q_stored_run_members,
     q_stored_run_composition,    q_stored_run_flags, q_stored_run_metrics, q_run_compare_missing, q_lookup_report,
     q_matches_with_clusters, q_named_clusters, q_dense_sparse_misses, q_upsert_partial, q_sweep_best)}

@@ -3,15 +3,15 @@
 Everything is written as partitioned parquet through Spark writers; nothing
 passes through the driver.  A run is two tables - ``runs`` (one row per run:
 params and metrics structs) and ``assignments`` (one row per point) - both
-partitioned by ``run_id``; the reference's single nested JSON object is not
-produced because it would gather every assignment of a run into one row.
+partitioned by ``run_id``.  ``write_json_lists`` writes the single nested JSON
+object (or array) a file line by line, so no row holds a whole run.
 """
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dendra.operators.metrics import attach
@@ -27,6 +27,22 @@ def write_embeddings(emb: DataFrame, path: str, format: str = "parquet") -> None
     emb.write.mode("overwrite").format(format).save(path)
 
 
+def write_json_lists(items: DataFrame, frames: DataFrame, path: str) -> None:
+    """JSON files that hold a list: ``frames`` (file_no, head, tail) has the text
+    before and after each file's list, ``items`` (file_no, place, json) the
+    elements.  A file is written by one task, an element a line, from sorted rows;
+    choose ``file_no`` so that files are of a bounded size."""
+    w = Window.partitionBy("file_no").orderBy("place")
+    n = F.row_number().over(w)
+    lines = items.select("file_no", F.lit(1).alias("part"), n.alias("n"),
+                         F.concat(F.when(n > 1, ",").otherwise(""), F.col("json")).alias("line"))
+    for part, col in ((0, "head"), (2, "tail")):
+        lines = lines.unionByName(frames.select("file_no", F.lit(part).alias("part"),
+                                                F.lit(0).alias("n"), F.col(col).alias("line")))
+    (lines.repartition("file_no").sortWithinPartitions("file_no", "part", "n")
+     .select("file_no", "line").write.mode("overwrite").partitionBy("file_no").text(path))
+
+
 def write_run(run_id: str, params: DataFrame, metrics_row: DataFrame, assignments: DataFrame,
               base: str) -> None:
     """Append one run: params + metrics (one row) and its assignments."""

@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from dendra.functions import text as TX
@@ -81,3 +84,40 @@ def test_upsert_latest(spark):
                                "id long, v string, batch_no int")
     got = {r["id"]: r["v"] for r in ingest.upsert_latest(ex, up).collect()}
     assert got == {1: "new2", 2: "keep", 3: "ins"}
+
+
+def _filled_in_order(hits, quotas):
+    """Topics one after the other, as a plain loop."""
+    seen, out = set(), set()
+    for topic, target in quotas:
+        n = 0
+        for t, _, _, pmid in sorted(h for h in hits if h[0] == topic):
+            if n < target and pmid not in seen:
+                seen.add(pmid)
+                out.add((t, pmid))
+                n += 1
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_quota_before_dedup_equals_filling_in_order(spark, seed):
+    rnd = random.Random(seed)
+    quotas = [(f"t{i}", rnd.randrange(0, 6)) for i in range(9)]
+    hits = [(t, q, r, str(rnd.randrange(30))) for t, _ in quotas for q in range(3) for r in range(6)]
+    hits += [("t1", 9, r, h[3]) for r, h in enumerate(hits[:4])]          # met again later
+    valid = spark.createDataFrame(hits, "topic string, query_no int, rank int, pmid string")
+    got = ingest.quota_before_dedup(valid, _topics(spark, quotas)).collect()
+    assert {(r["topic"], r["pmid"]) for r in got} == _filled_in_order(hits, quotas)
+    assert len(got) == len({r["pmid"] for r in got})
+
+
+def test_quota_before_dedup_follows_a_chain_of_displaced_hits(spark):
+    # every topic's first hit is the second one of the topic before it
+    n = 6
+    hits = [(f"t{i}", 0, r, str(i + r)) for i in range(n) for r in range(3)]
+    valid = spark.createDataFrame(hits, "topic string, query_no int, rank int, pmid string")
+    quotas = [(f"t{i}", 2) for i in range(n)]
+    got = {(r["topic"], r["pmid"])
+           for r in ingest.quota_before_dedup(valid, _topics(spark, quotas)).collect()}
+    assert got == _filled_in_order(hits, quotas)
+    assert ingest.quota_before_dedup(valid.limit(0), _topics(spark, quotas)).count() == 0
