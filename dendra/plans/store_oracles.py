@@ -1,5 +1,6 @@
 """DuckDB SQL of the queries in ``store_queries``."""
 
+from dendra.plans.oracles import ORACLES as _SEARCH
 from dendra.plans.oracles import _EMB, _PAIRS_COS, _PAIRS_EUC, _STRIP, _ari_sql, _db_sql, _sil_sql, _tfidf_sql
 
 _PUBMED = rf"""src AS (
@@ -165,3 +166,11 @@ h AS (SELECT id // 1000 AS file_no, count(DISTINCT CASE WHEN cluster <> -1 THEN
 SELECT id::VARCHAR AS pmid, cluster, confidence, '}}], "' || label AS category,
        'run "' || file_no || '" {{[' AS model, 40 AS n_components, n_clusters, noise_pct
 FROM run JOIN h ON h.file_no = id // 1000"""
+
+ORACLES["stored_index_rows"] = """
+SELECT vec_id, label, len(embedding)::BIGINT AS dim, round(embedding[1]::DOUBLE, 6) AS first,
+       round(embedding[-1]::DOUBLE, 6) AS last FROM embeddings"""
+ORACLES["stored_index_stats"] = """
+SELECT count(*)::BIGINT AS n_vectors, min(len(embedding))::BIGINT AS min_dim,
+       max(len(embedding))::BIGINT AS max_dim, count(DISTINCT label)::BIGINT AS n_values FROM embeddings"""
+ORACLES["stored_index_search"] = _SEARCH["knn_filtered"]

@@ -15,6 +15,7 @@ from dendra.plans import sweep as SW
 from dendra.session import ensure_checkpoint_dir, read_table
 from dendra.sources import sinks
 from dendra.sources import tables as SRC
+from dendra.sources import vector_index as VI
 
 TOP_K = 5
 TOPIC_TARGET = 10
@@ -260,8 +261,54 @@ def q_sweep_best(spark, sf_dir):
     return metrics.attach(top, SW.perfect_count(res))
 
 
+_INDEX = {"key": "vec_id", "vec": "embedding", "meta": "label"}
+
+
+def _stored_index(spark, sf_dir):
+    """The embeddings as a stored index that was written with every fourth vector
+    reversed and every seventh missing, then corrected by one upsert that also
+    brings an older row for each corrected key."""
+    e = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    i = F.col("vec_id")
+    base = _folder(spark, "index")
+    flipped = F.when(i % 4 == 0, F.reverse("embedding")).otherwise(F.col("embedding"))
+    VI.create_index(e.filter(i % 7 != 0).withColumn("embedding", flipped), base, **_INDEX)
+    fix = e.filter((i % 4 == 0) | (i % 7 == 0))
+    old = (fix.withColumn("embedding", F.reverse("embedding"))
+           .withColumn("label", F.lit(-5).cast(e.schema["label"].dataType)))
+    VI.upsert_index(fix.withColumn("batch_no", F.lit(2)).unionByName(old.withColumn("batch_no", F.lit(1))),
+                    base, order="batch_no", **_INDEX)
+    return base, e
+
+
+def q_stored_index_rows(spark, sf_dir):
+    """All rows of the stored index after its upsert."""
+    base, e = _stored_index(spark, sf_dir)
+    r = VI.read_index(spark, base, e.schema, meta="label")
+    return r.select("vec_id", "label", F.size("embedding").cast("long").alias("dim"),
+                    F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first"),
+                    F.round(F.element_at("embedding", -1).cast("double"), 6).alias("last"))
+
+
+def q_stored_index_stats(spark, sf_dir):
+    """Statistics of the stored index, from its manifest alone."""
+    base, _ = _stored_index(spark, sf_dir)
+    return VI.index_stats(spark, base).drop("n_versions")
+
+
+def q_stored_index_search(spark, sf_dir):
+    """Top-5 neighbours of every embedding among the stored rows of label 3; only
+    buckets that hold the label are opened."""
+    base, e = _stored_index(spark, sf_dir)
+    nn = VI.search_index(e, base, e.schema, TOP_K, value=3, q_id="vec_id", q_vec="embedding",
+                         self_join=True, **_INDEX)
+    return nn.select("vec_id", F.col("rank").cast("long").alias("rank"), "nbr_id",
+                     F.round("score", 6).alias("score"))
+
+
 QUERIES = {f.__name__[2:]: f for f in (
     q_clean_hits, q_unique_hits_total, q_articles_roundtrip, q_articles_array, q_run_results_read, q_dense_roundtrip, q_sparse_roundtrip,
     q_run_roundtrip, q_cached_table, q_model_roundtrip, q_stored_run_summary, q_stored_run_members,
     q_stored_run_composition,    q_stored_run_flags, q_stored_run_metrics, q_run_compare_missing, q_lookup_report,
-    q_matches_with_clusters, q_named_clusters, q_dense_sparse_misses, q_upsert_partial, q_sweep_best)}
+    q_matches_with_clusters, q_named_clusters, q_dense_sparse_misses, q_upsert_partial, q_sweep_best,
+    q_stored_index_rows, q_stored_index_stats, q_stored_index_search)}

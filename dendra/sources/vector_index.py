@@ -10,14 +10,15 @@ A row's bucket is a hash of its key.  An upsert rewrites only the buckets that
 its updates fall into, as a new version, and then writes a manifest that points
 there and leaves the other buckets where they are.  The manifest comes last and
 is written once: a reader sees the index before or after an upsert, never
-between, and an upsert that fails leaves files nobody points to.  One writer at a
-time.  Statistics come from the manifest, which has at most buckets x metadata
+between, and what an upsert that failed has left is overwritten by the next.
+One writer at a time.  Statistics come from the manifest, which has at most buckets x metadata
 values rows; a filter on the metadata value skips the buckets and (rows are
 sorted by it) the row groups that don't hold it.
 
 Defined results: keys are unique (of repeated keys the one with the greatest
 ``order`` stays, ties are broken by the row itself); null keys form one key;
-null metadata is a value of its own; an index without rows can be made and read.
+null metadata is a value of its own; an index without rows can be made and read;
+rows must not have a column ``bucket``.
 """
 
 from __future__ import annotations
@@ -58,7 +59,7 @@ def _write_version(rows: DataFrame, base: str, version: int, key: str, vec: str,
     """Write bucketed rows (column ``bucket``) and return their manifest rows."""
     path = f"{base}/data/v={version}"
     (rows.repartition("bucket").sortWithinPartitions("bucket", meta, key)
-     .write.partitionBy("bucket").parquet(path))
+     .write.mode("overwrite").partitionBy("bucket").parquet(path))
     back = rows.sparkSession.read.schema(rows.schema).parquet(path)
     dim = F.size(vec)
     return back.groupBy("bucket", F.col(meta).cast("string").alias("meta")).agg(
@@ -82,7 +83,7 @@ def create_index(rows: DataFrame, base: str, *, key: str, vec: str, meta: str,
     if _versions(rows.sparkSession, base):
         raise FileExistsError(f"an index is stored at {base}")
     m = _write_version(rows.withColumn("bucket", _bucket(key, buckets)), base, 0, key, vec, meta)
-    m.coalesce(1).write.parquet(f"{base}/manifest/v=0")
+    m.coalesce(1).write.mode("overwrite").parquet(f"{base}/manifest/v=0")
 
 
 def read_index(spark: SparkSession, base: str, schema, *, meta: str,
@@ -124,7 +125,7 @@ def upsert_index(updates: DataFrame, base: str, *, key: str, vec: str, meta: str
     kept = old.join(same, F.col(key).eqNullSafe(F.col("_k")), "left_anti")
     before = manifest(spark, base).filter(~F.col("bucket").isin(touched))
     m = _write_version(kept.unionByName(new), base, version, key, vec, meta)
-    before.unionByName(m).coalesce(1).write.parquet(f"{base}/manifest/v={version}")
+    before.unionByName(m).coalesce(1).write.mode("overwrite").parquet(f"{base}/manifest/v={version}")
     return len(touched)
 
 
