@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -353,10 +354,38 @@ def test_suffix_array_and_plcp():
             assert phi[i] == j and plcp[i] == m
 
 
+@pytest.mark.parametrize("rounds", [1, 2, 16])
+def test_suffix_array_of_runs_and_periods(monkeypatch, rounds):
+    monkeypatch.setattr(suffix, "ROUNDS", rounds)
+    monkeypatch.setattr(suffix, "STRETCH", 1 << rounds)
+    rng = random.Random(rounds)
+    for _ in range(120):
+        unit = [rng.randint(1, 3) for _ in range(rng.randint(1, 7))]
+        t = unit * rng.randint(1, 12)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(t))
+            t[at:at + 1] = [rng.randint(1, 3)] * rng.randint(1, 40)
+        sa = suffix.suffix_array(np.array(t + [0]))
+        assert sa.tolist() == sorted(range(len(t) + 1), key=lambda i: (t + [0])[i:])
+        starts = suffix.repeated_starts([bytes(t), bytes(unit)], 4)
+        grams = [bytes(x[i:i + 4]) for x in (t, unit) for i in range(len(x) - 3)]
+        want = [[i for i in range(len(x) - 3) if grams.count(bytes(x[i:i + 4])) > 1]
+                for x in (t, unit)]
+        assert [x.tolist() for x in starts] == want
+
+
+@pytest.mark.parametrize("unit", [b"a", b"long ", b"ab" * 500 + b"c"])
+def test_a_megabyte_of_one_period(unit):
+    data = unit * (1_000_000 // len(unit))
+    begun = time.process_time()
+    starts, = suffix.repeated_starts([data], 400)
+    assert time.process_time() - begun < 30          # about a second; quadratic sorting takes hours
+    assert starts.tolist() == list(range(len(data) - 399))
+
+
 @pytest.mark.parametrize("anchor_bytes", [8 << 20, 1])     # suffix arrays; string hashes
 def test_repeats_equal_brute_force(spark, rows, anchor_bytes):
-    length = 60
-    texts = [r for r in rows if len(r[1] or "") < 20000]
+    length, texts = 60, rows
     got = substrings.remove_repeats(make(spark, texts), length=length, gram=8,
                                     shard_bytes=4096, anchor_bytes=anchor_bytes).collect()
     count = {}
