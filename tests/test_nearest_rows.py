@@ -72,3 +72,30 @@ def test_vectors_of_two_lengths_are_refused(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0, 3.0])], "id long, vec array<double>")
     with pytest.raises(Exception, match="one length"):
         knn.self_top_k(df, 1).collect()
+
+
+def test_distance_tiles(spark):
+    """Copies are at distance 0, near points keep their digits."""
+    rng = np.random.default_rng(2)
+    X = rng.normal(size=(60, 5)) * 100
+    X[20:40] = X[:20]
+    X[40:50] = X[:10] + rng.normal(size=(10, 5)) * 1e-7
+    want = np.sqrt(((X[:, None] - X[None]) ** 2).sum(axis=2))
+    got = np.full((60, 60), -1.0)
+    for r, c, d in V.distance_tiles(X, X, rows=13, cols=7):
+        got[r:r + d.shape[0], c:c + d.shape[1]] = d
+    assert np.allclose(got, want, rtol=1e-9, atol=0)
+    assert (got[np.arange(20), np.arange(20, 40)] == 0).all()
+
+
+def test_silhouette_takes_large_blocks(spark, monkeypatch):
+    """12,000 points were 36 pairs of blocks of 2048; rows sent grew with that."""
+    from dendra.operators import metrics
+    asked = []
+    plan = metrics.plan_blocks
+    monkeypatch.setattr(metrics, "plan_blocks", lambda s, a, b, rows, *per: asked.append(rows) or plan(s, a, b, rows, *per))
+    df = spark.range(12000).select("id", F.array(F.rand(1), F.rand(2) + F.col("id") % 2).alias("v"),
+                                   (F.col("id") % 2).alias("c"))
+    got = metrics.silhouette(df, id_col="id", vec="v", cluster="c").first()[0]
+    small = metrics.silhouette(df, id_col="id", vec="v", cluster="c", block_rows=1000).first()[0]
+    assert asked[0] > 12000 and asked[1] == 1000 and abs(got - small) < 1e-9
