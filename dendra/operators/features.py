@@ -152,10 +152,17 @@ def dense_embed(sparse: DataFrame, dim: int = DENSE_DIM, id_col: str = "doc_id")
             w = np.concatenate([np.asarray(v, dtype=np.float64) for v in pdf["weights"]]) if lens.sum() else np.zeros(0)
             row = np.repeat(np.arange(n), lens)
             out = np.zeros((n, dim))
-            step = 200_000
+            step = 100_000
             for s in range(0, len(tid), step):
-                contrib = _signs(tid[s:s + step], dim) * w[s:s + step, None]
-                np.add.at(out, row[s:s + step], contrib)
+                # signs once per distinct term; a row's terms lie together
+                terms, at = np.unique(tid[s:s + step], return_inverse=True)
+                signs = _signs(terms, dim)
+                for c in range(0, len(at), 8192):
+                    contrib = signs[at[c:c + 8192]]
+                    contrib *= w[s:s + step][c:c + 8192, None]
+                    r = row[s:s + step][c:c + 8192]
+                    first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+                    out[r[first]] += np.add.reduceat(contrib, first, axis=0)
             nrm = np.sqrt((out * out).sum(axis=1))
             out = np.where(nrm[:, None] > 0, out / np.where(nrm[:, None] > 0, nrm[:, None], 1.0), out)
             yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), "embedding": list(out)})

@@ -455,8 +455,9 @@ def q_dense_sparse_join(spark, sf_dir):
     """Dense and sparse vectors of every document joined by id, with the
     count of dense rows lacking a sparse vector (must be 0)."""
     w, _ = _doc_weights(spark, sf_dir)
-    sp = FE.sparse_vectors(w)
-    de = FE.dense_embed(sp, FE.DENSE_DIM)
+    # both vectors are read by the join and by the count: weighed and embedded once
+    sp = cut_lineage(FE.sparse_vectors(w))
+    de = cut_lineage(FE.dense_embed(sp, FE.DENSE_DIM))
     j = de.join(sp, "doc_id")
     missing = de.join(sp, "doc_id", "left_anti").agg(F.count(F.lit(1)).cast("long").alias("n_missing"))
     return metrics.attach(j.select("doc_id", F.size("embedding").cast("long").alias("dim"),
