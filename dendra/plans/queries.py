@@ -241,7 +241,7 @@ def _doc_weights(spark, sf_dir):
 def q_tfidf_weights(spark, sf_dir):
     """L2-normalised TF-IDF weight of every (document, term)."""
     w, _ = _doc_weights(spark, sf_dir)
-    return w.select("doc_id", "term", "term_id", _r6("weight").alias("weight"))
+    return FE.entries(w).select("doc_id", "term", "term_id", _r6("weight").alias("weight"))
 
 
 def q_vocab_index(spark, sf_dir):
@@ -263,14 +263,14 @@ def q_corpus_sparsity(spark, sf_dir):
     return FE.corpus_sparsity(w)
 
 
-def _search_inputs(spark, sf_dir):
+def _search_inputs(spark, sf_dir, vectors=lambda sparse, id_col: sparse):
     w, dfreq = _doc_weights(spark, sf_dir)
     docs = FE.sparse_vectors(w)
     bench = read_table(spark, sf_dir, "benchmark")
     qw = FE.query_tfidf(bench, "item_id", "text", dfreq)
     qs = FE.sparse_vectors(qw).withColumnRenamed("doc_id", "item_id")
     # the search counts both sides before it joins them: weigh the texts once
-    return cut_lineage(docs), cut_lineage(qs)
+    return cut_lineage(vectors(docs, "doc_id")), cut_lineage(vectors(qs, "item_id"))
 
 
 def q_sparse_top5(spark, sf_dir):
@@ -292,9 +292,9 @@ def q_dense_embed(spark, sf_dir):
 
 def q_hybrid_top5(spark, sf_dir):
     """Hybrid search: dense dot + sparse dot, unweighted, top-5 per benchmark text."""
-    docs, qs = _search_inputs(spark, sf_dir)
-    docs = cut_lineage(docs.join(FE.dense_embed(docs, FE.DENSE_DIM), "doc_id"))
-    qs = cut_lineage(qs.join(FE.dense_embed(qs, FE.DENSE_DIM, id_col="item_id"), "item_id"))
+    # a document's dense vector is made beside its sparse one, so nothing is joined
+    docs, qs = _search_inputs(spark, sf_dir, lambda sparse, id_col: FE.dense_embed(
+        sparse, FE.DENSE_DIM, id_col=id_col, keep=True))
     nn = knn.top_k(qs, docs, TOP_K, q_id="item_id", i_id="doc_id", q_vec="embedding",
                    i_vec="embedding", q_terms="terms", q_weights="weights", i_terms="terms",
                    i_weights="weights", metric="hybrid", round_digits=9, out_id="doc_id")

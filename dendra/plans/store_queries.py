@@ -120,10 +120,11 @@ def q_sparse_roundtrip(spark, sf_dir):
     """TF-IDF vectors written as JSON lines in the sparse shape and read back."""
     docs = read_table(spark, sf_dir, "documents")
     w, _ = FE.corpus_tfidf(docs, "doc_id", "text")
-    rows = FE.sparse_vectors(w).join(docs.select("doc_id", "lang", "text"), "doc_id").select(
+    # the titles are cut before the join, so that no whole text is sent
+    titles = docs.select("doc_id", F.col("lang").alias("category"), TX.truncate("text", 60).alias("title"))
+    rows = FE.sparse_vectors(w).join(titles, "doc_id").select(
         F.col("doc_id").cast("string").alias("id"), F.col("terms").alias("sparse_indices"),
-        F.col("weights").alias("sparse_values"), F.col("lang").alias("category"),
-        TX.truncate("text", 60).alias("title"))
+        F.col("weights").alias("sparse_values"), "category", "title")
     path = _folder(spark, "sparse")
     sinks.write_embeddings(rows, path, "json")
     r = SRC.read_sparse_embeddings(spark, path, multi_line=False)
