@@ -126,7 +126,7 @@ def q_sparse_roundtrip(spark, sf_dir):
         F.col("doc_id").cast("string").alias("id"), F.col("terms").alias("sparse_indices"),
         F.col("weights").alias("sparse_values"), "category", "title")
     path = _folder(spark, "sparse")
-    sinks.write_embeddings(rows, path, "json")
+    sinks.write_embeddings(rows, path, "json", compression="gzip")     # numbers as text
     r = SRC.read_sparse_embeddings(spark, path, multi_line=False)
     total = F.aggregate("sparse_values", F.lit(0.0), lambda a, x: a + x)
     return r.select("id", F.size("sparse_indices").cast("long").alias("nnz"),

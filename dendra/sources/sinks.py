@@ -23,8 +23,9 @@ def write_articles(articles: DataFrame, path: str, format: str = "parquet") -> N
     articles.write.mode("overwrite").format(format).save(path)
 
 
-def write_embeddings(emb: DataFrame, path: str, format: str = "parquet") -> None:
-    emb.write.mode("overwrite").format(format).save(path)
+def write_embeddings(emb: DataFrame, path: str, format: str = "parquet", compression: str | None = None) -> None:
+    w = emb.write.mode("overwrite").format(format)
+    (w if compression is None else w.option("compression", compression)).save(path)
 
 
 def write_json_lists(items: DataFrame, frames: DataFrame, path: str) -> None:

@@ -62,3 +62,26 @@ def test_triples_are_summed_where_they_are_joined(spark):
         assert "hashpartitioning(doc_id" not in got._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_hybrid_vectors_are_written_once(spark, sf_dir, monkeypatch):
+    from dendra.plans import queries as Q
+    written = []
+    cut = Q.cut_lineage
+    monkeypatch.setattr(Q, "cut_lineage", lambda df, *a: written.append(df) or cut(df, *a))
+    assert Q.q_hybrid_top5(spark, sf_dir).count() > 0
+    assert [df.columns[0] for df in written] == ["doc_id", "item_id"]
+    assert "Join" not in written[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sparse_lines_are_compressed(spark, sf_dir, monkeypatch):
+    from dendra.plans import store_queries as SQ
+    seen = []
+    write = SQ.sinks.write_embeddings
+    monkeypatch.setattr(SQ.sinks, "write_embeddings",
+                        lambda rows, path, *a, **k: seen.extend((rows, path)) or write(rows, path, *a, **k))
+    n = SQ.q_sparse_roundtrip(spark, sf_dir).count()
+    rows, path = seen
+    assert n == rows.count()
+    files = spark.read.format("binaryFile").load(path).select("path").collect()
+    assert files and all(f["path"].endswith(".json.gz") for f in files)
