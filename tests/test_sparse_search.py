@@ -78,3 +78,25 @@ def test_blocks_by_bytes_send_rows_less_often(spark, monkeypatch):
     df = spark.range(3).selectExpr("id", "array_repeat(id, 300) t")
     n, rows = knn.sparse_size(df, "t", knn.SPARSE_LEFT_BYTES)
     assert n == 3 and 300 * 16 * rows <= knn.SPARSE_LEFT_BYTES and rows > 8 * knn.DEFAULT_BLOCK_ROWS
+
+
+def test_no_vector_is_shuffled(spark, monkeypatch):
+    """Blocks are rows of written tables, met where they lie; a task keeps the best of its pairs."""
+    rng = np.random.default_rng(4)
+    vs = vectors(120, rng)
+    df = cut_lineage(spark.createDataFrame([(f"d{i:03}", f"d{i + 1:03}", t.tolist(), w.tolist())
+                                            for i, (t, w) in enumerate(vs)],
+                                           "id string, x string, t array<long>, w array<double>"))
+    seen = []
+    cut = knn.cut_lineage
+    monkeypatch.setattr(knn, "cut_lineage", lambda d, *a: seen.append(d) or cut(d, *a))
+    monkeypatch.setattr(knn, "HELD_BLOCKS", 1)
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    nn = knn.top_k(df, df, 3, q_vec=None, i_vec=None, q_terms="t", q_weights="w", i_terms="t", i_weights="w",
+                   metric="dot", exclude="x", round_digits=9, block_rows=40)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == kept
+    plans = [d._jdf.queryExecution().executedPlan().toString() for d in seen]
+    assert len(plans) == 3 and "CartesianProduct" in plans[-1] and not any("Exchange" in p for p in plans)
+    S = V.sparse_scores(*zip(*vs), *zip(*vs))
+    want = sorted((f"d{r:03}", f"d{c:03}", s) for r, c, s in best(S, range(120), 3, np.arange(120) + 1))
+    assert sorted((r["id"], r["nbr_id"], r["score"]) for r in nn.collect()) == want
